@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("pii",)
+MODULES = ("pii", "warc")
 
 
 def _all(attr: str) -> dict:
