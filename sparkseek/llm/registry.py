@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("pii", "warc", "webp")
+MODULES = ("langid", "pii", "warc", "webp")
 
 
 def _all(attr: str) -> dict:
