@@ -118,16 +118,23 @@ def write_archives(pages: DataFrame, name: str = "warc") -> DataFrame:
     return materialise(rows.mapInArrow(_pack, ARCHIVE_SCHEMA), name)
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
+def _members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """Gzip members, fed piece by piece: what a member leaves over is copied, so it has to stay small."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("the archive ends early")
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
+
+
+def parse_archive(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
     """Records of one archive (gzip members, or plain) in order."""
-    raw = []
-    if data[:2] == b"\x1f\x8b":
-        while data:
-            z = zlib.decompressobj(31)
-            raw.append(z.decompress(data) + z.flush())
-            data = z.unused_data
-    else:
-        raw.append(data)
+    raw = _members(data) if data[:2] == b"\x1f\x8b" else iter([data])
     for text in raw:
         at = 0
         while at < len(text):
@@ -140,34 +147,33 @@ def parse_archive(data: bytes) -> Iterator[dict]:
                 k, _, v = x.partition(":")
                 head.setdefault(k.strip().lower(), []).append(v.strip())
             n = int(head["content-length"][0])
-            yield {"head": head, "block": text[end + 4 : end + 4 + n]}
+            yield head, text[end + 4 : end + 4 + n]
             at = end + 4 + n
             while text[at : at + 2] == b"\r\n":
                 at += 2
 
 
-def _row(head: dict[str, list[str]], block: bytes, with_payload: bool) -> dict:
-    get = lambda k: head.get(k, [None])[0]
+def _row(head: dict[str, list[str]], block: bytes, with_payload: bool) -> tuple:
+    """In the order of RECORD_SCHEMA."""
+    get = lambda k: head[k][0] if k in head else None
     kind = get("warc-type")
-    out = {
-        "record_id": (get("warc-record-id") or "").strip("<>"), "warc_type": kind, "concurrent_to": [x.strip("<>") for x in head.get("warc-concurrent-to", [])],
-        "target_uri": get("warc-target-uri"), "date": get("warc-date"), "status": None, "fields": {}, "payload_bytes": None, "payload_digest": None, "payload": None,
-    }
+    status = n = digest = payload = None
+    fields: list[tuple[str, str]] = []
     if kind in ("response", "revisit"):
         top, _, body = block.partition(b"\r\n\r\n")
         lines = top.decode("latin-1").split("\r\n")
         m = re.match(r"HTTP/\S+ (\d+)", lines[0])
-        out["status"] = int(m[1]) if m else None
+        status = int(m[1]) if m else None
         if kind == "response":
-            out |= {"payload_bytes": len(body), "payload_digest": hashlib.sha1(body).hexdigest(), "payload": body if with_payload else None}
+            n, digest, payload = len(body), hashlib.sha1(body).hexdigest(), body if with_payload else None
         else:  # what the stored headers say of the full payload
-            n = [x.partition(":")[2].strip() for x in lines if x.lower().startswith("content-length:")]
-            digest = get("warc-payload-digest") or ""
-            out |= {"payload_bytes": int(n[0]) if n else None, "payload_digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None}
+            n = next((int(x.partition(":")[2]) for x in lines if x.lower().startswith("content-length:")), None)
+            said = get("warc-payload-digest") or ""
+            digest = base64.b32decode(said[5:]).hex() if said.startswith("sha1:") else None
     elif kind == "metadata":
-        pairs = [x.partition(":") for x in block.decode().split("\r\n") if x]
-        out["fields"] = {k.strip(): v.strip() for k, _, v in pairs}
-    return out
+        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode().split("\r\n") if x)]
+    to = [x.strip("<>") for x in head.get("warc-concurrent-to", ())]
+    return (get("warc-record-id") or "").strip("<>"), kind, to, get("warc-target-uri"), get("warc-date"), status, list(dict(fields).items()), n, digest, payload
 
 
 def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -177,17 +183,20 @@ def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     schema = to_arrow_schema(_parse_datatype_string(RECORD_SCHEMA))
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                rows: list[dict] = []
-                for r in parse_archive(data.as_py()):
-                    rows.append(_row(r["head"], r["block"], with_payload))
+                rows: list[tuple] = []
+                for head, block in parse_archive(data.as_py()):
+                    rows.append(_row(head, block, with_payload))
                     if len(rows) == 1024:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield batch(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield batch(rows)
 
     return archives.select("content").mapInArrow(parse, RECORD_SCHEMA)
 
