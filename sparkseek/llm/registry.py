@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("langid", "pii", "warc", "webp")
+MODULES = ("langid", "chat", "pii", "decontaminate", "toxicity", "webp", "warc")
 
 
 def _all(attr: str) -> dict:
