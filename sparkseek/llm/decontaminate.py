@@ -77,11 +77,15 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     one = 1 << 32
     for i in range(len(item)):
         same = key + one * (padded[i : i + width] != item[i])  # item[i] against text[i + diagonal]
-        gone = np.append(key[1:], far * one) + one  # item[i] is missing in the text
+        gone = np.empty_like(key)  # item[i] is missing in the text
+        gone[:-1] = key[1:] + one
+        gone[-1] = far * one
         new = np.minimum(same, gone)
         ok = (place + i + 1 >= 0) & (place + i + 1 <= len(text))
         new = np.where(ok, new, far * one)
         key = np.minimum.accumulate(new - one * steps) + one * steps  # text has more
+        if i % 8 == 7 and int(key.min()) >= (most + 1) * one:
+            return None
     ends = place + len(item)
     key = np.where((ends >= 0) & (ends <= len(text)), key, far * one)
     edits = key >> 32
@@ -134,12 +138,19 @@ class Index:
         band = diagonal // self.width[item]
         top = int(band.max()) + 2 if len(band) else 1
         out = []
-        if (len(ends) * len(self.texts)) * top >= 1 << 62:
+        if len(ends) * len(self.texts) * top * (self.longest + 1) >= 1 << 62:
             raise ValueError("too many items and texts at once")
         pair = (text * len(self.texts) + item) * top
         key, n = np.unique(np.concatenate([pair + band, (pair + band - 1)[band > 0]]), return_counts=True)
         got = key[n >= self.least[(key // top) % len(self.texts)]]
-        for x in got.tolist():
+        # What is left counts each place of the item once only, for a text may repeat a q-gram.
+        place, longest = self.place[occurrence], self.longest + 1
+        left = []
+        for k, b in ((pair + band, band >= 0), (pair + band - 1, band > 0)):
+            use = b & np.isin(k, got)
+            left.append(k[use] * longest + place[use])
+        key, n = np.unique(np.unique(np.concatenate(left)) // longest, return_counts=True)
+        for x in key[n >= self.least[(key // top) % len(self.texts)]].tolist():
             out.append((x // top // len(self.texts), x // top % len(self.texts), x % top))
         return out
 
