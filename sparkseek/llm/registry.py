@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("langid", "chat", "pii", "decontaminate", "toxicity", "webp", "warc")
+MODULES = ("langid", "chat", "neardup", "pii", "substrings", "decontaminate", "toxicity", "webp", "warc")
 
 
 def _all(attr: str) -> dict:
