@@ -221,43 +221,73 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     # What one centre could not tell: nodes of a bucket in different components.
     placed = near.join(comp.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("band", "n")
-    left = placed.join(mixed, "band").join(nodes.select("node", "short"), "node").select("band", "n", "node", "c", "short")
-    more = materialise(verified(_alike(left), texts), "verified")
-    return members, found.unionByName(more)
+    left = placed.join(mixed, "band").join(nodes.select("node", "short", "bands"), "node").join(texts, "node").select("band", "n", "node", "c", "short", "bands", "text")
+    return members, found.unionByName(materialise(_joined_up(left), "verified"))
 
 
-def _alike(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket but different components whose signatures agree in `ALIKE` components or more.
+def _joined_up(rows: DataFrame) -> DataFrame:
+    """Verified links between nodes of one bucket and different components: all that are needed to connect them.
 
-    Buckets of more than `BLOCK` nodes are cut into blocks at random, and each pair of blocks is compared by itself."""
+    Pairs whose signatures agree in `ALIKE` components or more are verified, the most alike first, unless links found before
+    already connect them; each in the first bucket that they share. Buckets of more than `BLOCK` nodes are cut into blocks at
+    random, and each pair of blocks is compared by itself."""
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("node", F.lit(5)), blocks)
+    data = ("node", "c", "short", "bands", "text")
     dealt = rows.withColumn("own", own).select(
-        "band", "node", "c", "short", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
-    ).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "short")
+        "band", *data, "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    ).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *data)
     dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
 
-    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
-        _, i, j, own, node, c, short = zip(*group, strict=True)
-        own, node, c = np.array(own), np.array(node, np.int64), np.array(c, np.int64)
-        sig = np.frombuffer(b"".join(short), np.uint8).reshape(len(node), -1)
-        a, b = [], []
+    def compare(group: list[tuple]) -> list[tuple[int, int, float]]:
+        band, i, j, own, node, c, short, bands, text = zip(*group, strict=True)
+        own, c = np.array(own), np.array(c, np.int64)
+        sig, keys = np.frombuffer(b"".join(short), np.uint8).reshape(len(node), -1), np.array(bands, np.int64)
+        place = int(np.argmax(keys[0] == band[0]))
+        pairs = []
         for k in range(len(node) - 1):
             others = np.flatnonzero(c[k + 1 :] != c[k]) + k + 1
             if i[0] != j[0]:
                 others = others[own[others] != own[k]]
             if len(others):
-                same = others[(sig[others] == sig[k]).sum(1) >= ALIKE]
-                a += [int(node[k])] * len(same)
-                b += node[same].tolist()
-        return a, b
+                same = (sig[others] == sig[k]).sum(1)
+                others, same = others[same >= ALIKE], same[same >= ALIKE]
+            if len(others):
+                new = ~(keys[others, :place] == keys[k, :place]).any(1)
+                pairs.append(np.column_stack([same[new], np.full(new.sum(), k), others[new]]))
+        out: list[tuple[int, int, float]] = []
+        if not pairs:
+            return out
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        every = np.concatenate(pairs)
+        known: dict[int, tuple] = {}
+        label = c.tolist()
+        for _, a, b in every[np.argsort(-every[:, 0], kind="stable")].tolist():
+            ra, rb = root(label[a]), root(label[b])
+            if ra == rb:
+                continue
+            for k in (a, b):
+                if k not in known:
+                    known[k] = weighted(words_of(text[k]))
+            p = probability_jaccard(known[a], known[b])
+            if p >= SIMILAR:
+                parent[ra] = rb
+                out.append((node[a], node[b], p))
+        return out
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
 
         def out(rows_: list[tuple]) -> pa.RecordBatch:
-            a, b = compare(rows_) if len(rows_) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            cols = list(zip(*(compare(rows_) if len(rows_) > 1 else []), strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -267,7 +297,7 @@ def _alike(rows: DataFrame) -> DataFrame:
                 group.append(row)
         yield out(group)
 
-    return dealt.mapInArrow(go, "a long, b long").distinct()
+    return dealt.mapInArrow(go, "a long, b long, similarity double")
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
