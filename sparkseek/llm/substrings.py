@@ -343,8 +343,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     one = texts.join(want.join(nodes.select("key", "node"), "key"), "key").where(F.col("doc_id").eqNullSafe(F.col("node")))
     runs = _repeats(_stretches(one)).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    single = runs.join(nodes.where("copies = 1").select("key"), "key")
-    kept = _kept(texts.select("key", "text").join(single, "key"), with_text)
+    single = runs.join(nodes.where("copies = 1").select("key", "node"), "key")
+    # The same columns as above, so that the texts are shuffled once.
+    kept = _kept(texts.join(single, "key").where(F.col("doc_id").eqNullSafe(F.col("node"))), with_text)
     whole = meta.drop("hash", "place", "low", "high").join(nodes.select("key", "copies"), "key")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     same = F.coalesce("n_removed", F.lit(0))
