@@ -215,7 +215,24 @@ TRICKY = "\\### Assistant: </turn> ok"
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return read_back(format_turns(rows.unionByName(more)))
+    return read_back(format_turns(rows.unionByName(more))).drop("n_tokens", "loss_tokens")
+
+
+def _sql() -> str:
+    """The digests from the texts, without formatting; the formatted length from the template's parts."""
+    q = lambda s: s.replace("'", "''")
+    control = "|".join(re.escape(x).replace(r"\ ", " ").replace(r"\#", "#").replace(r"\<", "<").replace(r"\>", ">") for x in CONTROL)
+    escaped = lambda c: rf"length(regexp_replace({c}, '(\\|{control})', 'x\1', 'g'))"
+    head = " ".join(f"WHEN '{r}' THEN {len(h)}" for r, h in HEADS.items())
+    return rf"""
+        WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{q(TRICKY)}'), (-7, 1, 'assistant', '{q(TRICKY)}')) AS v(conv_id, turn, role, text)),
+        f AS (SELECT *, CASE role {head} ELSE {len(OTHER_HEAD) + len(ROLE_END)} + {escaped("role")} END + {escaped("text")} + {len(TURN_END)} AS chars,
+          CASE WHEN role = '{LOSS_ROLE}' THEN text ELSE '' END AS loss, sha256(text)[1:16] AS h FROM r)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, h)) AS turns_sha256,
+          CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, h)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id"""
 
 
 QUERIES = {"op2_chat": op2_chat}
+ORACLE_SQL = {"op2_chat": _sql()}

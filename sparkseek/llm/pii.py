@@ -23,8 +23,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Texts without these characters can't match, and skip the pattern.
@@ -157,4 +157,37 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(docs).select("doc_id", *n, F.sha2(_listed(*BASE), 256).alias("base_sha256"), _listed(*PATTERNS).alias("spans"))
 
 
+def _sql() -> str:
+    """The same spans by the plain patterns, which RE2 matches from the left as well."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": PATTERNS["iban"], "ssn": PATTERNS["ssn"],
+    }
+    digits = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+    luhn = f"(list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({digits})[i]::INT ELSE (reverse({digits})[i]::INT * 2) // 10 + (reverse({digits})[i]::INT * 2) % 10 END)) % 10 = 0)"
+    flat = "replace(x.v, ' ', '')"
+    mod97 = f"(list_reduce(list_transform(string_split({flat}[5:] || {flat}[1:4], ''), lambda c: (CASE WHEN ascii(c) >= 65 THEN ascii(c) + 945 ELSE ascii(c) - 48 END)::BIGINT), lambda a, c: CASE WHEN c >= 1000 THEN (a * 100 + c - 1000) % 97 ELSE (a * 10 + c) % 97 END, 0::BIGINT) = 1)"
+    ok = {
+        "email": "true", "ip": "list_bool_and(list_transform(string_split(x.v, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(p AS HUGEINT), 999) <= 255))",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15", "iban": f"length({flat}) BETWEEN 15 AND 34 AND {mod97}", "ssn": "true",
+    }
+    near = f"lower(t[greatest(x.s + 1 - {CONTEXT_CHARS}, 1):greatest(x.s + 1 - {CONTEXT_CHARS}, 1) + x.e - x.s + {2 * CONTEXT_CHARS} - 1])"
+    parts, lists = [], []
+    for k, p in plain.items():
+        if k not in BASE:
+            ok[k] += f" AND {SCORE[k]} + CASE WHEN regexp_matches({near}, '\\b(?:{CONTEXT[k]})\\b') THEN {CONTEXT_BONUS} ELSE 0.0 END >= {MIN_SCORE}"
+        parts.append(f"regexp_extract_all(t, '{p}') AS m_{k}, string_split_regex(t, '{p}') AS p_{k}")
+        # Ends of matches as running sums, then the spans that hold.
+        lists.append(
+            f"list_filter(list_transform(range(1, len(m_{k}) + 1), lambda i: {{'s': list_sum(list_transform(p_{k}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{k}[1:i - 1], lambda y: length(y))), 0), "
+            f"'e': list_sum(list_transform(p_{k}[1:i], lambda y: length(y))) + list_sum(list_transform(m_{k}[1:i], lambda y: length(y))), 'v': m_{k}[i]}}), lambda x: {ok[k]}) AS {k}"
+        )
+    shown = lambda ks: "array_to_string(" + " || ".join(f"list_transform({k}, lambda x: '{k}:' || x.s || ':' || x.e)" for k in ks) + ", ',')"
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS (SELECT doc_id, t, {', '.join(parts)} FROM d), b AS (SELECT doc_id, {', '.join(lists)} FROM a) "
+        f"SELECT doc_id, {', '.join(f'CAST(len({k}) AS BIGINT) AS n_{k}' for k in BASE)}, sha256(coalesce({shown(BASE)}, '')) AS base_sha256, coalesce({shown(plain)}, '') AS spans FROM b"
+    )
+
+
 QUERIES = {"op5_pii": op5_pii}
+ORACLE_SQL = {"op5_pii": _sql()}
