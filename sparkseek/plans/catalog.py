@@ -634,3 +634,15 @@ def _(spark, d):
 @query("list_dir", f"WITH {C} SELECT source AS dir, lang AS name, count(*) AS chunks FROM c GROUP BY source, lang ORDER BY source, lang")
 def _(spark, d):
     return chunks(spark, d).groupBy(F.col("source").alias("dir"), F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("chunks")).orderBy("dir", "name")
+
+
+@query("bm25_batch_200", f"""WITH {C}, q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_CLASS}')) AS term FROM benchmark) GROUP BY ALL),
+  tk AS (SELECT id, path, {TOK} AS tok FROM c), tf AS (SELECT id, path, len(tok) AS dl, unnest(tok) AS term FROM tk), n AS (SELECT id, path, dl, term, count(*) AS tf FROM tf GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM n GROUP BY term), st AS (SELECT count(*) AS n, avg(len(tok)) AS avgdl FROM tk),
+  bm AS (SELECT item_id, id, path, sum(qtf * ln(1 + (st.n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM n JOIN df USING (term) JOIN q USING (term) CROSS JOIN st GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rank FROM bm)
+  SELECT item_id AS query_id, id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
+def _(spark, d):
+    # Every benchmark item as a query, in one batch.
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("").alias("scope"))
+    return lexical.ranked(lexical.bm25(q, chunks(spark, d)), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
