@@ -20,7 +20,7 @@ def doc_lengths(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, path, tf, dl. Counted within each chunk's own array, so nothing is shuffled."""
+    """term, id, path, tf, dl. Tokens are counted where their chunk is; what is shuffled is a row per term and chunk."""
     t = tokenize(indexed_text())
     base = chunks.select("id", "path", t.alias("terms")).withColumn("dl", F.size("terms"))
     counted = base.select("id", "path", "dl", F.explode("terms").alias("term"))
