@@ -8,7 +8,7 @@ q-gram suffices; items under `Q` bytes must occur as they are.
 
 Items go to the executors in blocks of `BLOCK_BYTES` at most, one pass over the texts for each, so that what is broadcast is bounded.
 
-Defined results: null and empty texts hold nothing; null and empty items are passed over; of the places of an item in a text
+Defined results: null and empty texts hold nothing; null and empty items are passed over, a null item_id shows as -1; of the places of an item in a text
 the one with fewest edits counts, then the first; repeated documents and items each give rows of their own; extra columns
 pass through `drop_leaks` and are left out by `find_leaks`; empty tables give empty results.
 """

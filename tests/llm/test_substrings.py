@@ -89,4 +89,4 @@ def test_no_rows_and_odd_ids(spark):
     t = "some text " * 80
     rows = [(None, t, "k"), (None, t, "k"), (5, t + "!", "k"), (5, "other", None)]
     got = sorted(((r.doc_id or 0, r.n_removed) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()))
-    assert got == [(0, 800), (0, 800), (5, 0), (5, 801 - 1)] or got[0] == (0, 800)
+    assert got == [(0, 800), (0, 800), (5, 0), (5, 800)]
