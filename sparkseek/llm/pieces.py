@@ -18,10 +18,10 @@ clashes with an output, the output stays); rows may repeat; empty tables give em
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,16 @@ TOKENIZERS = os.environ.get("SPARKSEEK_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk of a long text.
 CHUNK = 32_768
-#: Words remembered by a worker.
-REMEMBERED = 1_000_000
+#: Characters of texts coded at once; what is built for them bounds a worker's memory.
+SLICE = 1 << 22
+#: Longer stretches are coded by themselves.
+_WORD = 64
 SPACE = "▁"
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
+# Stretches between places that every path passes: before a space, and around line feeds where they have no piece.
+_SEGMENT = {
+    True: re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+"),
+    False: re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"),
+}
 
 State = tuple[int, int]  # a piece's place: first character and end
 
@@ -57,13 +63,19 @@ class Model:
         self.id = {s: i for i, s in self.piece.items()}
         self.score = {s: sp.get_score(i) for s, i in self.id.items()}
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte.items()}
+        #: What each id stands for, spaces plain; nothing for control pieces.
+        self.raw = [self.piece[i].replace(SPACE, " ").encode() if i in self.piece else b"" for i in range(n)]
+        for b, i in self.byte.items():
+            self.raw[i] = bytes([b])
         self.longest = max(map(len, self.id))
+        #: Every end of a piece, with the id if it is a piece itself, else -1.
+        self.tails = {x[k:]: -1 for x in self.id for k in range(len(x))} | self.id
         if any(SPACE in s.lstrip(SPACE) or (s[0] == SPACE and s[1:2] == SPACE and s.strip(SPACE)) for s in self.id):
             raise ValueError("pieces that span words are not supported")
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self.length = {i: len(x) for i, x in self.piece.items()}
+        self._split = _SEGMENT["\n" in self.id].findall
 
     def merges(self, s: str) -> list[str]:
         """BPE by its definition, for short strings: the best pair first, of equal ones the first."""
@@ -91,7 +103,7 @@ class Model:
         key = i << 20 | j
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 4_000_000:
+            if len(self._pairs) > 300_000:
                 self._pairs.clear()
             a, b = self.piece[i], self.piece[j]
             got = self._pairs[key] = self.merges(a + b) == [a, b]
@@ -106,21 +118,26 @@ class Model:
 
     def segment(self, s: str) -> tuple[int, ...]:
         """Ids of a stretch between places that every path passes. The forward pass keeps the one piece that can end at each place."""
-        get, pair, whole, longest = self.id.get, self.pair, self.whole, self.longest
+        tails, known, pair, whole = self.tails, self._pairs.get, self.pair, self.whole
         n = len(s)
-        last = [-1] * (n + 1)
+        last = [-1] * (n + 1)  # -1: a place that every path passes
         back = [0] * (n + 1)
         for end in range(1, n + 1):
-            if s[end - 1] not in self.id:  # a character without a piece cuts the path
-                last[end], back[end] = -1, end - 1
+            k = end - 1
+            i = tails.get(s[k])
+            if i is None or i < 0 and s[k] not in self.id:  # a character without a piece cuts the path
+                back[end] = k
                 continue
-            for k in range(max(0, end - longest), end):
-                i = get(s[k:end])
-                if i is not None:
+            while i is not None:
+                if i >= 0:
                     p = last[k]
-                    if (whole(i) if p < 0 else pair(p, i)) and (k == 0 or p >= 0 or s[k - 1] not in self.id):
+                    ok = known(p << 20 | i) if p >= 0 else whole(i)
+                    if ok or (ok is None and pair(p, i)):
                         last[end], back[end] = i, k
                         break
+                k -= 1
+                # Beyond a character without a piece no piece goes on.
+                i = tails.get(s[k:end]) if k >= 0 else None
             else:
                 raise ValueError(f"no path through {s[:40]!r}")
         out: list[int] = []
@@ -132,20 +149,66 @@ class Model:
             n = back[n]
         return tuple(reversed(out))
 
+    def words(self, every: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of different stretches, as `segment` finds them. In order, words share beginnings with the one before, and the forward pass
+        goes on from there."""
+        out: dict[str, tuple[int, ...]] = {}
+        tails, known, pair, length = self.tails, self._pairs.get, self.pair, self.length
+        last, before, done = [-1] * (_WORD + 1), "", 0
+        for s in sorted(every):
+            n = len(s)
+            if n > _WORD:
+                out[s] = self.segment(s)
+                continue
+            k, most = 0, min(n, done)
+            while k < most and s[k] == before[k]:
+                k += 1
+            before = s
+            for end in range(k + 1, n + 1):
+                j = end - 1
+                i = tails.get(s[j])
+                if i is None or i < 0 and s[j] not in self.id:  # a character without a piece
+                    break
+                while i is not None:
+                    if i >= 0:
+                        if j:
+                            p = last[j]
+                            ok = known(p << 20 | i)
+                            if ok is None:
+                                ok = pair(p, i)
+                        else:
+                            ok = self.whole(i)
+                        if ok:
+                            last[end] = i
+                            break
+                    j -= 1
+                    i = tails.get(s[j:end]) if j >= 0 else None
+                else:
+                    raise ValueError(f"no path through {s[:40]!r}")
+            else:
+                done, way = n, []
+                while n:
+                    i = last[n]
+                    way.append(i)
+                    n -= length[i]
+                out[s] = tuple(way[::-1])
+                continue
+            done = end - 1
+            out[s] = self.segment(s)
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of whole texts; each different word is looked at once."""
+        split = [None if t is None else self._split(normalised(t)) for t in texts]
+        table_ = self.words(set().union(*(w for w in split if w)))
+        get = table_.__getitem__
+        return [None if w is None else np.fromiter(chain.from_iterable(map(get, w)), np.int32) for w in split]
+
     def encode_free(self, s: str) -> list[int]:
         """Ids of a normalised text whose ends every path passes."""
-        out: list[int] = []
-        words, extend = self._words, out.extend
-        if len(words) > REMEMBERED:
-            words.clear()
-        for w in _SEGMENT.findall(s):
-            got = words.get(w)
-            if got is None:
-                got = self.segment(w)
-                if len(w) <= 64:
-                    words[w] = got
-            extend(got)
-        return out
+        w = self._split(s)
+        table_ = self.words(set(w))
+        return [i for x in w for i in table_[x]]
 
     def passes(self, s: str, k: int) -> bool:
         """Whether every path passes a place inside a text."""
@@ -259,12 +322,7 @@ class Model:
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
-        piece, byte_of = self.piece, self.byte_of
-        try:
-            s = "".join([piece[i] for i in ids])
-        except KeyError:
-            s = b"".join([piece[i].encode() if i in piece else bytes([byte_of[i]]) for i in ids]).decode("utf-8", "surrogatepass")
-        return s.replace(SPACE, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 def normalised(text: str) -> str:
@@ -327,9 +385,17 @@ def model(folder: str, name: str) -> Model:
     return _MODELS[path]
 
 
-def _flat(lists: list[list[int] | None]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) if x else 0 for x in lists])]).astype(np.int32)
-    values = np.fromiter((i for x in lists if x for i in x), np.int32, int(offsets[-1]))
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `SLICE` bytes in a column."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * SLICE / max(SLICE, b.column(column).nbytes)))
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _flat(lists: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in lists])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in lists], pa.bool_()))
 
 
@@ -383,32 +449,35 @@ def _long(texts: DataFrame, folder: str, name: str) -> DataFrame:
         m = model(folder, name)
         for b in batches:
             rows = b.to_pylist()
-            ids = [m.trace(r["part"], tuple(v - r["low"] for v in r["enter"]), tuple(v - r["low"] for v in r["leave"]), r["start"], r["stop"]) for r in rows]
+            ids = [np.array(m.trace(r["part"], tuple(v - r["low"] for v in r["enter"]), tuple(v - r["low"] for v in r["leave"]), r["start"], r["stop"]), np.int32) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["key"] for r in rows], pa.binary()), pa.array([r["k"] for r in rows], pa.int32()), _flat(ids)], ["key", "k", "ids"])
 
     traced = chunks.join(cuts, ["key", "k"]).select("key", "k", "low", "start", "stop", "part", "enter", "leave").mapInArrow(back, "key binary, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = TOKENIZERS, name: str = MODEL) -> DataFrame:
-    """Adds the ids of a text column."""
-    kept = [c for c in docs.columns if c != to]
+def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = TOKENIZERS, name: str = MODEL, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of a text column; and, if a name for it is given, the text decoded from them, by the same worker."""
+    new = [to, *([decoded] if decoded else [])]
+    kept = [c for c in docs.columns if c not in new]
     base = docs.select(*kept)
     is_long = F.coalesce(F.length(text) >= CHUNK, F.lit(False))
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(to, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields[: len(new)]])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(folder, name)
-        for b in batches:
-            ids = [None if t is None else m.encode_free(normalised(t)) for t in b.column(kept.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids)], [*kept, to])
+        for b in _slices(batches, kept.index(text)):
+            ids = m.encode_batch(b.column(kept.index(text)).to_pylist())
+            more = [pa.array([None if x is None else m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids), *more], [*kept, *new])
 
     short = base.where(~is_long).mapInArrow(go, schema)
     key = F.unhex(F.md5(F.col(text).cast("binary")))
     long_ = base.where(is_long)
     ids = _long(long_.select(key.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]), folder, name)
     joined = long_.join(ids.withColumnsRenamed({"key": "_key", "ids": "_ids"}), key == F.col("_key")).select(*kept, F.col("_ids").alias(to))
-    return short.unionByName(joined)
+    return short.unionByName(decode(joined, to, decoded, folder, name) if decoded else joined)
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", folder: str = TOKENIZERS, name: str = MODEL) -> DataFrame:
@@ -418,12 +487,12 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", folder: str = T
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(folder, name)
-        for b in batches:
+        for b in _slices(batches, kept.index(ids)):
             col = b.column(kept.index(ids))
-            flat, ends = col.flatten().to_pylist(), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)).cumsum().tolist()
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)).cumsum().tolist()
             null, out, a = col.is_null().to_pylist(), [], 0
             for z, none in zip(ends, null, strict=True):
-                out.append(None if none else m.decode(flat[a:z]))
+                out.append(None if none else m.decode(flat[a:z].tolist()))
                 a = z
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, pa.string())], [*kept, to])
 
@@ -432,10 +501,10 @@ def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", folder: str = T
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode(encode(docs))
+    both = encode(docs, decoded="decoded")
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.translate("text", SPACE, " ")).alias("round_trip"),
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"),
+        F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"),
     )
 
 

@@ -71,4 +71,6 @@ def test_columns(spark, library, monkeypatch):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i].ids == (None if t is None else library.encode(t)) and got[i].decoded == t
+    both = P.encode(d, decoded="decoded")
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, P.decode(P.encode(d)).select(*both.columns).collect()))
     assert P.encode(d.limit(0)).count() == 0
