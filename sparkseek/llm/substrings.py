@@ -339,6 +339,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     rows = unique.select("key", F.explode(F.arrays_zip("hash", "place", "low", "high")).alias("x")).select("key", "x.*")
     rows = materialise(rows, "places")
     often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", (F.col("n") > HOT).alias("hot"))
+    often = materialise(often, "often")  # read again, a join with it can split a hash that very many anchors have
     want = rows.join(often, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "place", "low", "high", "hot")).alias("want"))
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     one = texts.join(want.join(nodes.select("key", "node"), "key"), "key").where(F.col("doc_id").eqNullSafe(F.col("node")))
