@@ -37,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk of a long text.
 CHUNK = 32_768
 #: Characters of texts coded at once; what is built for them bounds a worker's memory.
-SLICE = 1 << 22
+SLICE = 1 << 23
 #: Longer stretches are coded by themselves.
 _WORD = 64
 SPACE = "▁"
