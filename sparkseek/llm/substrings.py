@@ -208,18 +208,25 @@ def _meta(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(go, META)
 
 
-STRETCH = "hash long, key binary, start int, n int, stretch binary"
+STRETCH = "hash long, n int, stretch binary, at array<struct<key:binary,start:int>>"
+_STRETCH_TYPES = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("key", pa.binary()), ("start", pa.int32())])))
+_STRETCH_NAMES = ["hash", "n", "stretch", "at"]
 
 
 def _stretches(rows: DataFrame) -> DataFrame:
-    """rows: key, text, want (array of hash, place, low, high, hot)."""
+    """rows: key, text, want (array of hash, place, low, high, hot). Equal stretches are gathered before they are shuffled."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        found: dict[tuple[int, bytes], list] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            cols = ([k[0] for k in found], [v[0] for v in found.values()], [k[1] for k in found], [v[1] for v in found.values()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STRETCH_TYPES, strict=True)], _STRETCH_NAMES)
+
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            size = 0
             for key, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in want:
@@ -232,21 +239,21 @@ def _stretches(rows: DataFrame) -> DataFrame:
                             core = xxhash.xxh64_intdigest(data[z : a + LENGTH], seed=j + 1)
                             parts.append((core - (1 << 63), max(a, low), min(z, high)))
                     for h, a, z in parts:
-                        for c, v in zip(cols, (h, key, a, z - a + 1, data[a : z + LENGTH]), strict=True):
-                            c.append(v)
-                        size += z + LENGTH - a
+                        s = data[a : z + LENGTH]
+                        old = found.get((h, s))
+                        if old is None:
+                            old = found[h, s] = [z - a + 1, []]
+                            size += len(s)
+                        old[1].append({"key": key, "start": a})
+                        size += 32
                 if size > PIECE:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STRETCH_TYPES, strict=True)], _STRETCH_NAMES)
-                    cols, size = ([], [], [], [], []), 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _STRETCH_TYPES, strict=True)], _STRETCH_NAMES)
+                    yield out()
+                    found, size = {}, 0
+        yield out()
 
     return rows.select("key", "text", "want").mapInArrow(go, STRETCH)
 
 
-_STRETCH_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-_STRETCH_NAMES = ["hash", "key", "start", "n", "stretch"]
-
-
 def _repeats(stretches: DataFrame) -> DataFrame:
     """key, first and last starts of runs of repeated strings. Stretches come sorted by hash; whole hashes are sorted together."""
 
@@ -255,17 +262,15 @@ def _repeats(stretches: DataFrame) -> DataFrame:
         uniq: list[bytes] = []
         n: list[int] = []
         seen: list[int] = []
-        of: list[int] = []
         per: dict[int, int] = {}
-        for h, _, _, k, s in rows:
+        for h, k, s, at in rows:
             i = index.setdefault((h, s), len(uniq))
             if i == len(uniq):
                 uniq.append(s)
                 n.append(k)
                 seen.append(0)
                 per[h] = per.get(h, 0) + 1
-            seen[i] += 1
-            of.append(i)
+            seen[i] += len(at)
         # A hash with one kind of stretch needs no sorting.
         sort = [i for (h, _), i in index.items() if per[h] > 1]
         hits: dict[int, np.ndarray] = {}
@@ -273,14 +278,16 @@ def _repeats(stretches: DataFrame) -> DataFrame:
             hits = dict(zip(sort, repeated_starts([uniq[i] for i in sort], [n[i] for i in sort], [seen[i] > 1 for i in sort]), strict=True))
         keys, first, last = [], [], []
         runs: dict[int, tuple[list, list]] = {}
-        for (_, key, start, k, _), i in zip(rows, of, strict=True):
+        for h, k, s, at in rows:
+            i = index[h, s]
             if i not in runs:
                 a, z = _runs(hits[i] if i in hits else np.full(k, seen[i] > 1))
                 runs[i] = (a.tolist(), z.tolist())
             for a, z in zip(*runs[i], strict=True):
-                keys.append(key)
-                first.append(start + a)
-                last.append(start + z)
+                for x in at:
+                    keys.append(x["key"])
+                    first.append(x["start"] + a)
+                    last.append(x["start"] + z)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["key", "first", "last"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,11 +299,10 @@ def _repeats(stretches: DataFrame) -> DataFrame:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[2])
         if rows:
             yield solve(rows)
 
-    # More partitions than usual, as their bytes are expanded in memory.
     return stretches.repartition("hash").sortWithinPartitions("hash").mapInArrow(go, "key binary, first long, last long")
 
 
