@@ -139,7 +139,7 @@ class Engine:
         return self.spark.createDataFrame([(k, t, scope) for k, t in enumerate(texts)], "query_id int, query string, scope string")
 
     def _lexical(self, queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-        return {"path": lexical.ranked(paths.path_arm(queries, chunks), fuse.FUSE_CAP), "bm25": lexical.ranked(lexical.bm25(queries, chunks), fuse.FUSE_CAP)}
+        return {"path": lexical.ranked(paths.path_arm(queries, chunks)), "bm25": lexical.ranked(lexical.bm25(queries, chunks))}
 
     def _vector(self, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         rows = [(r.query_id, list(self.cache.get(r.query)), r.scope) for r in queries.collect()]

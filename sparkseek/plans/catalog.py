@@ -186,7 +186,9 @@ _SHOW = "query_id, id, path, round(score, 6) AS score, CAST(n_arms AS INT) AS n_
 
 
 def _arms(spark, d) -> dict[str, DataFrame]:
-    return {"bm25": lexical.ranked(lexical.bm25(searches(spark), chunks(spark, d)), 100), "vec": _vec(spark, d, 32)}
+    """Path and BM25 arms come whole; the vector arm has its k, and fusion its cap."""
+    q, c = searches(spark), chunks(spark, d)
+    return {"path": lexical.ranked(paths.path_arm(q, c)), "bm25": lexical.ranked(lexical.bm25(q, c)), "vec": _vec(spark, d, 32)}
 
 
 def _show(df: DataFrame) -> DataFrame:
