@@ -241,8 +241,7 @@ def _(spark, d):
   UNION ALL SELECT query_id, class, id, round(score, 6), CAST(r AS INT) FROM k WHERE r <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END""")
 def _(spark, d):
     arms = _arms(spark, d)
-    lexical_only = {"bm25": arms["bm25"].where("query_id <> 1")}  # the first query has no words that occur
-    return fuse.two_phase(lexical_only, arms["vec"]).select("query_id", "class", "id", F.round("score", 6).alias("score"), "rank")
+    return fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, arms["vec"]).select("query_id", "class", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- scope, ids, tokens -------------------------------------------------------------------------------------------------

@@ -32,3 +32,22 @@ def test_engine_arms_are_whole(spark, tmp_path):
     chunks = spark.range(600).selectExpr("concat('d', id, '-0') id", "concat('/a/d', id, '.txt') path", "0 ordinal", "'some words' content")
     arms = e._lexical(e.queries(["words", "d"]), chunks)
     assert arms["bm25"].where("query_id = 0").count() == 600 and arms["path"].where("query_id = 1").count() == 600
+
+
+def test_two_phase_takes_all_queries(spark, duck):  # noqa: F811
+    sql = registry.oracle_sql()["two_phase_search"].replace("rank <= 100 AND query_id <> 1", "true")
+    rows, want = compared(spark, duck, "two_phase_search", sql)
+    assert rows == want
+
+
+def test_phase_two_without_lexical_match(spark):
+    from pyspark.sql import functions as F
+
+    from sparkseek.operators import fuse
+    from sparkseek.plans import catalog
+
+    arms = catalog._arms(spark, SF)
+    vec = arms["vec"].where("query_id = 1")
+    vec = vec.unionByName(vec.withColumn("query_id", F.lit(6)))  # the one query without a word that occurs
+    got = fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, vec)
+    assert {tuple(r.arms) for r in got.where("query_id = 1").collect()} == {("bm25",)} and {tuple(r.arms) for r in got.where("query_id = 6").collect()} == {("vec",)}
