@@ -472,9 +472,8 @@ def _(spark, d):
 @query("admit_filter", """SELECT page_id FROM pages WHERE strlen(coalesce(html, '')) <= 1048576 AND position(chr(0) IN coalesce(html, '')) = 0""")
 def _(spark, d):
     p = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b"))
-    # The first bytes only are looked at by the operator; a page cut inside a character at that place would be kept out, so pages are sniffed whole here.
-    head = F.when(F.octet_length("b") <= walk.SNIFF, F.col("b")).otherwise(F.encode(F.substring(F.col("b").cast("string"), 1, walk.SNIFF // 4), "UTF-8"))
-    return p.where(walk.admitted(F.lit("/page.txt"), F.octet_length("b"), head, max_mb=1)).select("page_id")
+    # A page is a column, not a file to be opened, so all of it is sniffed, as in the SQL.
+    return p.where(walk.admitted(F.lit("/page.txt"), F.octet_length("b"), F.col("b"), max_mb=1, sniff=None)).select("page_id")
 
 
 SECRETS = [("/h/.ssh/id",), ("/h/a.pem",), ("/h/x.key/y",), ("/h/.env.local",), ("/h/.aws/credentials",), ("/h/ok.txt",), ("/h/envy",), (".env",), ("/h/.gnupg",), ("/h/keys/a.txt",)]

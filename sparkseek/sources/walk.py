@@ -170,11 +170,11 @@ def walk_df(spark: SparkSession, roots: list[str], excludes: Excludes | None = N
     return spark.createDataFrame(rows, "path string, size bigint, mtime_ns bigint")
 
 
-def admitted(path: Column, size: Column, head: Column, max_mb: int = 10, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """By size, extension and the first bytes: no NUL and valid UTF-8 (so a character cut at the limit keeps a file out). PDFs
-    are not sniffed."""
+def admitted(path: Column, size: Column, head: Column, max_mb: int = 10, allowed: tuple[str, ...] = ALLOWED, sniff: int | None = SNIFF) -> Column:
+    """By size, extension and the first bytes (None: all): no NUL and valid UTF-8 (so a character cut at the limit keeps a file
+    out). PDFs are not sniffed."""
     ext = extension(path)
-    first = F.substring(head, 1, SNIFF)
+    first = F.substring(head, 1, sniff) if sniff else head
     text = ~F.contains(first, F.lit(b"\x00")) & F.is_valid_utf8(first.cast("string"))
     return (size <= max_mb * (1 << 20)) & ext.isin(*allowed) & ((ext == ".pdf") | text)
 

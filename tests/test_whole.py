@@ -51,3 +51,9 @@ def test_phase_two_without_lexical_match(spark):
     vec = vec.unionByName(vec.withColumn("query_id", F.lit(6)))  # the one query without a word that occurs
     got = fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, vec)
     assert {tuple(r.arms) for r in got.where("query_id = 1").collect()} == {("bm25",)} and {tuple(r.arms) for r in got.where("query_id = 6").collect()} == {("vec",)}
+
+
+def test_pages_are_sniffed_whole(spark, tmp_path):
+    pages = [(1, "x" * 3000 + "\0" + "x" * 9000), (2, "x" * 9000 + "\0"), (3, "x" * 8191 + "é" * 100), (4, "a\0"), (5, None), (6, "x" * (1 << 20) + "x"), (7, "x" * 9000)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r.page_id for r in registry.queries()["admit_filter"](spark, str(tmp_path)).collect()) == [3, 5, 7]
