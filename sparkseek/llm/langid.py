@@ -26,8 +26,10 @@ from pyspark.sql.window import Window
 from sparkseek.llm.common import held_out, table
 
 ORDER = 4
-#: Bounds of the labelled sample: documents of each language, their characters, and languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 64
+#: Bounds of the labelled sample of each language: documents, and their characters (of longer ones, the beginning is taken).
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Languages whose code lengths share a table; each table has a column for each, so more of them would waste memory.
+GROUP = 8
 #: Bytes scored at once.
 PIECE = 1 << 21
 UND = "und"
@@ -50,16 +52,19 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Code lengths of all languages: for each order, sorted grams with a row of bits (inf: not seen) and sorted contexts with a row of escape bits."""
+    """Code lengths of all languages, in groups of `GROUP`: for each order, sorted grams with a row of bits (inf: not seen) and sorted contexts with a row of escape bits."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
-        self.levels = []
+        self.groups = [self._levels([counts[k] for k in self.languages[i : i + GROUP]]) for i in range(0, len(self.languages), GROUP)]
+
+    @classmethod
+    def _levels(cls, counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+        levels = []
         for order in range(ORDER, -1, -1):
             mask = np.uint64((1 << 8 * (order + 1)) - 1)
             per = []
-            for lang in self.languages:
-                g, n = counts[lang]
+            for g, n in counts:
                 keys, inverse = np.unique(g & mask, return_inverse=True)
                 c = np.bincount(inverse, weights=n.astype(np.float64))
                 ctx, first = np.unique(keys >> np.uint64(8), return_index=True)
@@ -67,7 +72,8 @@ class Model:
                 kinds = np.diff(np.append(first, len(keys)))
                 bits = np.log2(np.repeat(total + kinds, kinds) / c)
                 per.append((keys, bits, ctx, np.log2((total + kinds) / kinds)))
-            self.levels.append((*self._merged([(p[0], p[1]) for p in per], np.inf), *self._merged([(p[2], p[3]) for p in per], 0.0)))
+            levels.append((*cls._merged([(p[0], p[1]) for p in per], np.inf), *cls._merged([(p[2], p[3]) for p in per], 0.0)))
+        return levels
 
     @staticmethod
     def _merged(parts: list[tuple[np.ndarray, np.ndarray]], missing: float) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +88,11 @@ class Model:
         at = np.searchsorted(keys, asked)
         return np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, len(keys))
 
-    def bits(self, gram: np.ndarray) -> np.ndarray:
-        """Code lengths of grams (sorted ones are looked up faster), by language."""
-        out = np.zeros((len(gram), len(self.languages)), np.float64)
+    def _bits(self, gram: np.ndarray, levels: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Code lengths of grams (sorted ones are looked up faster), by language of a group."""
+        out = np.zeros((len(gram), levels[0][1].shape[1]), np.float64)
         open_ = np.ones(out.shape, bool)
-        for order, (keys, bits, contexts, escapes) in zip(range(ORDER, -1, -1), self.levels, strict=True):
+        for order, (keys, bits, contexts, escapes) in zip(range(ORDER, -1, -1), levels, strict=True):
             part = gram & np.uint64((1 << 8 * (order + 1)) - 1)
             b = bits[self._rows(keys, part)]
             seen = open_ & np.isfinite(b)
@@ -115,7 +121,6 @@ class Model:
         for a in range(0, max(len(data) - ORDER, 0), PIECE):  # a very long text comes in several pieces
             g = grams(data[a : a + PIECE + ORDER])
             uniq, inverse = np.unique(g, return_inverse=True)
-            cost = self.bits(uniq)
             at = np.arange(a + ORDER, a + ORDER + len(g))
             doc = np.searchsorted(ends, at, side="right")
             own = at - starts[doc] >= ORDER  # not the line feeds before a text
@@ -123,22 +128,25 @@ class Model:
             if len(doc) == 0:
                 continue
             first = np.flatnonzero(np.diff(doc, prepend=-1))
-            for k in range(len(self.languages)):
-                sums[doc[first], k] += np.add.reduceat(cost[inverse, k], first)
+            for i, levels in enumerate(self.groups):
+                cost = self._bits(uniq, levels)
+                for k in range(cost.shape[1]):
+                    sums[doc[first], i * GROUP + k] += np.add.reduceat(cost[inverse, k], first)
         return sums
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """Counts over at most `SAMPLE_DOCS` labelled texts of each language that aren't held out; None if there are none."""
-    known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id) & (F.col(lang) != UND))
-    per = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()
-    if not per:
-        return None
-    # Twice the sample by a threshold, so that the exact choice sorts a bounded number of rows.
-    share = F.create_map(*[F.lit(x) for r in per for x in (r[0], min(1.0, 2.0 * SAMPLE_DOCS / r[1]))])
+    size = F.length(text)
+    known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id) & (F.col(lang) != UND) & (size > 0))
+    # Twice the sample by a threshold, so that the exact choice sorts a bounded number of rows. A language has one row here.
+    per = known.groupBy(F.col(lang).alias("lang")).agg(F.least(F.lit(1.0), 2.0 * SAMPLE_DOCS / F.count(F.lit(1))).alias("share"))
     order = F.xxhash64(F.col(doc_id).cast("string"), F.lit(17))
-    some = known.where((F.pmod(order, F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)) & F.length(text).between(1, SAMPLE_CHARS))
-    ranked = some.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.row_number().over(Window.partitionBy(lang).orderBy(order, text)).alias("n"))
+    piece = F.substring(F.col(text), 1, SAMPLE_CHARS)
+    some = known.select(F.col(lang).alias("lang"), piece.alias("text"), (size > SAMPLE_CHARS).alias("long"), order.alias("order")).join(F.broadcast(per), "lang")
+    some = some.where(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # Beginnings of long texts where there are too few others.
+    ranked = some.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("long", "order", "text")).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

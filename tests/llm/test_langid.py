@@ -81,3 +81,12 @@ def test_predict(spark):
     assert out[200, None].score == 0.0 and 0 <= out[5, "DER UNG"].score <= 1
     assert L.train(d.where("lang is null")) is None and L.predict(d.limit(0), m).count() == 0
     assert {x.lang_pred for x in L.predict(d, None).collect()} == {"und"}
+
+
+def test_all_languages(spark):
+    own = lambda k: chr(0x4E00 + 2 * k) + chr(0x4E01 + 2 * k)
+    rows = [(i, own(k) * 30, f"l{k:02}") for k in range(70) for i in range(10 * k, 10 * k + 10)]
+    rows += [(i, own(70) * 15_000, "long") for i in range(700, 710)]
+    m = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.languages == ["l" + f"{k:02}" for k in range(70)] + ["long"]
+    assert [m.languages[k] for k in m.lengths([own(k) * 5 for k in range(71)]).argmin(1)] == m.languages
