@@ -3,8 +3,8 @@
 The lexicon is learnt from a bounded sample of labelled documents that aren't held out: whole words and word stems whose
 share of toxic documents is far above chance, chosen one after another by what they add (so words that merely come along
 in the same documents stay out). All words are run through one deterministic automaton, built as needed, which is the
-product of the lexicon's trie with the Levenshtein automata of its entries (one edit for words of `FUZZY_FROM` letters or
-more, none for shorter ones and for stems). Each hit is weighed by the `WINDOW` words before it: quotation marks and reporting verbs lower its
+product of the lexicon's trie with the Levenshtein automata of its entries (one edit for words and stems of `FUZZY_FROM`
+letters or more, none for shorter ones). Each hit is weighed by the `WINDOW` words before it: quotation marks and reporting verbs lower its
 weight, an address raises it. A logistic regression over the sums, fitted on the same sample, gives the score.
 
 Texts are used whole and lower case. Defined results: a null or empty text has no hits and gets the score of such texts;
@@ -46,17 +46,18 @@ FEATURES = ("weight", "exact", "fuzzy", "quoted", "density")
 
 
 class Automaton:
-    """All words within the edits allowed of an entry. Entries that end in * are stems, and match any longer word that begins so."""
+    """All words within the edits allowed of an entry. Entries that end in * are stems, and match any longer word that begins so;
+    with fuzzy_stems, one that begins with a string within the edits allowed."""
 
     MAX_STATES = 100_000
 
-    def __init__(self, entries: list[str]):
+    def __init__(self, entries: list[str], fuzzy_stems: bool = False):
         self.child: list[dict[str, int]] = [{}]
         self.edits: list[dict[bool, int]] = [{}]  # of a node that ends an entry: is it a stem -> edits allowed
         self.most = [0]
         for e in entries:
             stem, word = e.endswith("*"), e.rstrip("*")
-            allowed = 1 if len(word) >= FUZZY_FROM and not stem else 0
+            allowed = 1 if len(word) >= FUZZY_FROM and (fuzzy_stems or not stem) else 0
             node = 0
             self.most[0] = max(self.most[0], allowed)
             for c in word:
@@ -127,7 +128,7 @@ class Scorer:
     """Hits of a text and their weights; words seen before are remembered."""
 
     def __init__(self, entries: list[str]):
-        self.automaton, self.seen = Automaton(entries), {}
+        self.automaton, self.seen = Automaton(entries, fuzzy_stems=True), {}
 
     def features(self, text: str) -> tuple[float, ...]:
         low = text.lower()

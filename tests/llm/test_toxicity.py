@@ -69,3 +69,19 @@ def test_learning(spark):
     assert sum(x.predicted == (x.doc_id % 4 == 0) for x in held) / len(held) > 0.97
     assert X.train(docs, lab.limit(0)) is None and {x.score for x in X.score(docs, None).collect()} == {0.0}
     assert X.score(docs.limit(0), m).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fuzzy_stems(seed):
+    r = random.Random(seed)
+    entries = ["".join(r.choice("abc") for _ in range(r.randint(3, 7))) + r.choice(["", "*", "*"]) for _ in range(8)]
+    a = X.Automaton(entries, fuzzy_stems=True)
+
+    def stems(w):
+        near = [min(distance(e[:-1], w[:k]) for k in range(len(w))) for e in entries if e.endswith("*") and len(e) > X.FUZZY_FROM and w]
+        return min((d for d in near if d <= 1), default=-1)
+
+    for _ in range(2000):
+        w = "".join(r.choice("abcd") for _ in range(r.randint(0, 10)))
+        assert a.match(w) == min((d for d in (brute(entries, w), stems(w)) if d >= 0), default=-1), w
+    assert [X.Scorer(["grobl*"]).features(w)[2] > 0 for w in ("groblering", "grxblering", "groobleering", "gxxblering")] == [False, True, True, False]
