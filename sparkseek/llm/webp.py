@@ -1,13 +1,17 @@
 """Lossless WebP (VP8L): a full decoder and an encoder for media columns.
 
 The decoder handles prefix codes (simple and normal), meta prefix codes, back-references, colour cache, and the predictor,
-cross-colour, subtract-green and palette transforms. Streams of literals and back-references under one prefix code group
-are decoded with arrays: the end of a literal pixel is computed for every bit offset at once, and the chain of offsets is
-followed. Other streams go symbol by symbol.
+cross-colour, subtract-green and palette transforms. Many images are decoded in step: one symbol of each at a time, with
+arrays over the images. Streams with several groups of codes go symbol by symbol.
+
+The encoder works out several plans for each image (grey samples with subtract-green; palettes with bundled pixels; four bytes a
+pixel, with or without a colour cache; predictor with cross-colour or subtract-green), each with back-references, and writes
+the one with the least estimated size; it depends on the image alone.
 
 Defined results of the column operators: null bytes stay null; empty bytes give empty media; bytes that are no multiple of
 `ROW_BYTES` are padded with zero bytes, and `n_bytes` says how many count; more than `IMAGE_BYTES` go to several images
-one after another; equal bytes give equal media; extra columns pass through.
+one after another; equal bytes give equal media, whatever is coded beside them; extra columns pass through (one that has the name
+of the new column is replaced); an empty table gives an empty result; damaged media raise ValueError.
 """
 
 from __future__ import annotations
@@ -16,9 +20,12 @@ import hashlib
 import heapq
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +40,12 @@ PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 WIDTH = 16
 ROW_BYTES = 4 * WIDTH
-IMAGE_BYTES = 16384 * ROW_BYTES
+#: Payload bytes of an image; longer ones go to several, which are decoded in step.
+IMAGE_BYTES = 64 * ROW_BYTES
+#: Bytes coded together.
+SLICE = 1 << 21
+#: Payload bytes encoded at once, and images decoded in step at most.
+ENCODE, LANES = 1 << 18, 4096
 #: Longest code that our encoder writes; keeps the decoder's tables small.
 ENCODER_BITS = 11
 
@@ -176,62 +188,7 @@ def _copy(out: np.ndarray, at: int, n: int, d: int) -> None:
         at, n, d = at + k, n - k, d + k
     
 
-def _near_literals(b: Bits, codes: list[Prefix], width: int, n: int) -> np.ndarray:
-    """Pixels under one group without colour cache, the literals with arrays."""
-    start = b.at >> 3
-    data = np.frombuffer(b.data, np.uint8, offset=start).astype(np.int32)
-    data = np.concatenate([data, np.zeros(16, np.int32)])
-    # No literal is longer than 60 bits, and none is needed beyond n of them.
-    some = min(len(data) - 4, (n * 60 >> 3) + 9)
-    w = data[:some] | data[1 : some + 1] << 8 | data[2 : some + 2] << 16
-    window = ((w[:, None] >> np.arange(8, dtype=np.int32)) & 0x7FFF).ravel()
-    last = len(window) - 1
-    green, red, blue, alpha = codes[:4]
-    g = window & green.mask
-    end = np.arange(len(window), dtype=np.int32) + green.length[g]
-    after = [end]
-    for c in (red, blue, alpha):
-        np.minimum(end, last, out=end)
-        after.append(end)
-        end = end + c.length[window[end] & c.mask]
-    stop = np.where(green.symbol[g] >= 256, -1, end).tolist()
-    out, at, pos = np.zeros(n, np.uint32), 0, b.at - 8 * start
-    where: list[int] = []
-    runs: list[tuple[int, int]] = []  # first pixel and number of each run of literals
-    copies: list[tuple[int, int, int]] = []
-    first = 0
-    while at < n:
-        try:
-            nxt = stop[pos]
-        except IndexError:
-            raise ValueError("the stream ends early") from None
-        if nxt >= 0:
-            where.append(pos)
-            at, pos = at + 1, nxt
-            continue
-        runs.append((first, at - first))
-        b.at = pos + 8 * start
-        length = _value(b, green.read(b) - 256)
-        copies.append((at, length, _distance(_value(b, codes[4].read(b)), width)))
-        at, pos = at + length, b.at - 8 * start
-        first = at
-    runs.append((first, at - first))
-    b.at = pos + 8 * start
-    p = np.array(where, np.int64)
-    ch = [c.symbol[window[a[p]] & c.mask].astype(np.uint32) for c, a in zip((red, blue, alpha), after[1:], strict=True)]
-    lit = ch[2] << 24 | ch[0] << 16 | green.symbol[g[p]].astype(np.uint32) << 8 | ch[1]
-    if not copies:
-        return lit
-    k = 0
-    for at, m in runs:
-        out[at : at + m] = lit[k : k + m]
-        k += m
-    for at, m, d in copies:
-        _copy(out, at, m, d)
-    return out
-
-
-def _symbols(b: Bits, group_of, groups: list[list[Prefix]], cache_bits: int, width: int, n: int) -> np.ndarray:
+def _symbols(b: Bits, group_of, groups: list[list[Prefix]], cache_bits: int, width: int, n: int, told: dict | None = None) -> np.ndarray:
     """Any stream, symbol by symbol."""
     out, at = np.zeros(n, np.uint32), 0
     cache, cached = [0] * (1 << cache_bits), 0
@@ -256,14 +213,21 @@ def _symbols(b: Bits, group_of, groups: list[list[Prefix]], cache_bits: int, wid
             m = _value(b, s - 256)
             _copy(out, at, m, _distance(_value(b, dist.read(b)), width))
             at += m
+            if told is not None:
+                told["copies"] += 1
         else:
+            if not cache_bits:
+                raise ValueError("no colour cache")
             fill(at)
+            if told is not None:
+                told["cached"] += 1
             out[at] = cache[s - 256 - N_LENGTHS]
             at += 1
     return out
 
 
-def read_image(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
+def _read_codes(b: Bits, width: int, height: int, main: bool) -> tuple:
+    """(bits of the colour cache, groups of codes, the group of a place)"""
     cache_bits = b.read(4) if b.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache of more than 11 bits")
@@ -275,10 +239,13 @@ def read_image(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = max(index) + 1
         group_of = lambda at: index[(at // width >> bits) * w + (at % width >> bits)]
     sizes = (256 + N_LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, N_DISTANCES)
-    groups = [_read_group(b, sizes) for _ in range(n_groups)]
-    if cache_bits or n_groups > 1:
-        return _symbols(b, group_of, groups, cache_bits, width, width * height)
-    return _near_literals(b, groups[0], width, width * height)
+    return cache_bits, [_read_group(b, sizes) for _ in range(n_groups)], group_of
+
+
+def read_image(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """A small image, symbol by symbol."""
+    cache_bits, groups, group_of = _read_codes(b, width, height, main)
+    return _symbols(b, group_of, groups, cache_bits, width, width * height)
 
 
 def _channels(px: np.ndarray) -> np.ndarray:
@@ -363,69 +330,8 @@ def _width_bits(n: int) -> int:
 
 
 def decode_vp8l(data: bytes) -> np.ndarray:
-    """Pixels as uint32 (alpha, red, green, blue from the top byte), rows by columns."""
-    b = Bits(data)
-    if b.read(8) != 0x2F:
-        raise ValueError("no VP8L signature")
-    width, height = b.read(14) + 1, b.read(14) + 1
-    b.read(1)
-    if b.read(3):
-        raise ValueError("unknown version")
-    todo, w = [], width
-    while b.read(1):
-        kind = b.read(2)
-        if kind in (x[0] for x in todo):
-            raise ValueError("a transform occurs twice")
-        if kind in (PREDICTOR, CROSS):
-            bits = b.read(3) + 2
-            shape = (-(-height >> bits), -(-w >> bits))
-            todo.append((kind, w, bits, read_image(b, shape[1], shape[0], False).reshape(shape)))
-        elif kind == PALETTE:
-            n = b.read(8) + 1
-            colours = np.cumsum(_channels(read_image(b, n, 1, False)), 0, dtype=np.uint8)
-            todo.append((kind, w, _width_bits(n), colours))
-            w = -(-w >> _width_bits(n))
-        else:
-            todo.append((kind, w, 0, None))
-    px = read_image(b, w, height, True).reshape(height, w)
-    if b.at > 8 * len(data):
-        raise ValueError("the stream ends early")
-    for kind, w, bits, extra in reversed(todo):
-        if kind == PALETTE:
-            n, per = 8 >> bits, 1 << bits
-            index = (px >> 8) & 255
-            index = ((index[:, :, None] >> (np.arange(per, dtype=np.uint32) * n)) & ((1 << n) - 1)).reshape(height, -1)[:, :w]
-            table_ = np.zeros((256, 4), np.uint8)
-            table_[: len(extra)] = extra
-            px = table_[index].view("<u4")[..., 0]
-            continue
-        ch = _channels(px)
-        if kind == PREDICTOR:
-            ch = add_predictions(ch, (extra >> 8) & 255, bits)
-        elif kind == CROSS:
-            ch = cross_colour(ch, _channels(extra), bits, 1)
-        else:
-            ch = ch.copy()
-            ch[..., 0] += ch[..., 1]
-            ch[..., 2] += ch[..., 1]
-        px = np.ascontiguousarray(ch).view("<u4")[..., 0]
-    return px
-
-
-def images(media: bytes) -> Iterator[np.ndarray]:
-    """The images of one or more RIFF files that follow each other."""
-    at = 0
-    while at < len(media):
-        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 12] != b"WEBP":
-            raise ValueError("no WebP file")
-        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        k = at + 12
-        while k < end:
-            n = int.from_bytes(media[k + 4 : k + 8], "little")
-            if media[k : k + 4] == b"VP8L":
-                yield decode_vp8l(media[k + 8 : k + 8 + n])
-            k += 8 + n + (n & 1)
-        at = end
+    """Pixels of one stream as uint32 (alpha, red, green, blue from the top byte), rows by columns."""
+    return decode_streams([data])[0][0]
 
 
 # --- encoder ---------------------------------------------------------------------------------------------------------
@@ -685,70 +591,968 @@ def encode_image(
     return _riff(out.done())
 
 
-def encode_samples(data: bytes) -> bytes:
-    """Bytes (a multiple of `ROW_BYTES`, `IMAGE_BYTES` at most) as one image of literals; four bytes are a pixel's red, green, blue and alpha."""
-    b = np.frombuffer(data, np.uint8)
-    lengths = code_lengths(np.bincount(b, minlength=256))
-    code, n = codes_of(lengths), lengths.astype(np.uint64)
-    if np.count_nonzero(lengths) < 2:
-        n = np.zeros(256, np.uint64)
+# --- many images at once ---------------------------------------------------------------------------------------------
+#
+# Payload bytes are stored in one of two layouts, told apart by the width: grey images of `GREY` samples a row (red, green and blue are
+# alike, so that the subtract-green transform leaves one channel) or images of `WIDTH` pixels a row whose red, green, blue and
+# alpha are four bytes that follow each other. For each image every plan that may pay is worked out, its size estimated from the
+# image's own counts of symbols (in whole sixteenths of a bit, so that it doesn't depend on what is coded beside it), and the
+# least is written.
+
+
+@dataclass
+class Plan:
+    """How some images are to be written: transforms, and the symbols of their main image."""
+
+    name: str
+    images: np.ndarray  # which of the batch
+    width: np.ndarray  # of the main image, after bundling
+    px: np.ndarray
+    start: np.ndarray  # of each image in px, and the end
+    cache_bits: int
+    grey: bool
+    head: list  # of each image: what goes before its main image, as (value, bits)
+    cost: np.ndarray | None = None
+
+
+GREY = 64
+#: Most pixels of a back-reference; the least are 8 of one channel, or 2.
+MOST_COPY = 128
+#: Pixels coded together are fewer than 2 to this.
+_PLACE_BITS = 24
+CACHE = 8
+_SIZE = 256 + N_LENGTHS
+_XLOG = np.zeros(1, np.int64)
+
+
+def _xlog(c: np.ndarray) -> np.ndarray:
+    """c log2 c in sixteenths of a bit, from one table."""
+    global _XLOG
+    top = int(c.max(initial=0))
+    if top >= len(_XLOG):
+        x = np.arange(max(top + 1, 1 << 14), dtype=np.float64)
+        x[0] = 1
+        _XLOG = np.round(16 * x * np.log2(x)).astype(np.int64)
+    return _XLOG[c]
+
+
+def _bits_for(hist: np.ndarray) -> np.ndarray:
+    """Estimated sixteenths of a bit of each row's symbols and of their code."""
+    total = hist.sum(1)
+    return _xlog(total) - _xlog(hist).sum(1) + 16 * 5 * (hist > 0).sum(1)
+
+
+def _prefix_parts(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_prefix_of` for arrays."""
+    v = v.astype(np.int64) - 1
+    extra = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 2, 0)
+    small = v < 4
+    extra = np.where(small, 0, extra)
+    return np.where(small, v, 2 * extra + 2 + ((v >> extra) & 1)), v & ((1 << extra) - 1), extra
+
+
+def _last_alike(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, distance, length) of the repeats of the last place in the same image that begins with the same 8 bytes."""
+    px, start = plan.px, plan.start
+    raw = ((px >> np.uint32(8)).astype(np.uint8) if plan.grey else px).tobytes()
+    unit = 1 if plan.grey else 4  # bytes of a pixel here
+    least = 8 // unit
+    data = np.frombuffer(raw + b"\0" * 16, np.uint8)
+    words = np.empty(len(px), np.uint64)
+    for k in range(min(least, len(px))):
+        w = np.frombuffer(data, "<u8", (len(px) - k + least - 1) // least, k * unit)
+        words[k::least] = w
+    # Sorted by hash, then place; hashes depend on the pixels alone.
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    key = words * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    key &= ~low
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    same = np.flatnonzero((key[1:] ^ key[:-1]) <= low)
+    at, before = (key[same + 1] & low).astype(np.int64), (key[same] & low).astype(np.int64)
+    del key
+    by = np.argsort(at)
+    at, before = at[by], before[by]
+    of = np.searchsorted(start, at, side="right") - 1
+    room = np.minimum(start[of + 1] - at, MOST_COPY)
+    use = (before >= start[of]) & (room >= least)
+    use &= words[at] == words[before]
+    at, before, room = at[use], before[use], room[use]
+    length = np.full(len(at), least, np.int64)
+    todo = np.flatnonzero(room >= 2 * least)
+    while len(todo):
+        k = length[todo]
+        differ = words[at[todo] + k] ^ words[before[todo] + k]
+        length[todo[differ == 0]] += least
+        todo = todo[differ == 0]
+        todo = todo[length[todo] + least <= room[todo]]
+    rest = np.flatnonzero(length < room)  # what is left of less than 8 bytes
+    a, b = at[rest], before[rest]
+    for _ in range(least - 1):
+        k = length[rest]
+        go = (k < room[rest]) & (px[np.minimum(a + k, len(px) - 1)] == px[b + k])
+        rest, a, b = rest[go], a[go], b[go]
+        length[rest] += 1
+    return at, at - before, length
+
+
+def _near_codes(width: int) -> np.ndarray:
+    """Distance codes of short distances; 0: none of its own."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for k in range(len(NEAR) - 1, -1, -1):
+        out[max(1, NEAR[k][0] + NEAR[k][1] * width)] = k + 1
+    return out
+
+
+_NEAR_CODES: dict[int, np.ndarray] = {}
+
+
+@dataclass
+class Tokens:
+    image: np.ndarray
+    symbol: np.ndarray  # under the green code
+    place: np.ndarray
+    literal: np.ndarray
+    copy: np.ndarray  # tokens that are copies
+    extra: tuple[np.ndarray, np.ndarray]  # value and bits, of copies
+    distance: tuple[np.ndarray, np.ndarray, np.ndarray]  # symbol, extra value and bits, of copies
+
+
+def _tokens_of(plan: Plan) -> Tokens:
+    px, start, n = plan.px, plan.start, len(plan.px)
+    of = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    at, dist, length = _last_alike(plan)
+    took, stop = [], 0
+    for k, (p, m) in enumerate(zip(at.tolist(), length.tolist(), strict=True)):  # greedy
+        if p >= stop:
+            took.append(k)
+            stop = p + m
+    at, dist, length = at[took], dist[took], length[took]
+    inside = np.zeros(n + 1, np.int8)
+    inside[at] += 1
+    inside[at + length] -= 1
+    token = np.cumsum(inside[:n], dtype=np.int8) == 0
+    token[at] = True
+    place = np.flatnonzero(token)
+    copy = np.searchsorted(place, at)
+    symbol = ((px[place] >> np.uint32(8)) & np.uint32(255)).astype(np.int64)
+    literal = np.ones(len(place), bool)
+    literal[copy] = False
+    if plan.cache_bits:
+        slot = ((px.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - plan.cache_bits)
+        order = np.argsort((of.astype(np.uint64) << np.uint64(plan.cache_bits)) | slot, kind="stable")
+        key = (of[order] << plan.cache_bits) | slot[order].astype(np.int64)
+        hit = np.zeros(n, bool)
+        hit[order[1:][(key[1:] == key[:-1]) & (px[order[1:]] == px[order[:-1]])]] = True
+        cached = literal & hit[place]
+        symbol[cached] = _SIZE + slot[place[cached]].astype(np.int64)
+        literal &= ~cached
+    a, b, c = _prefix_parts(length)
+    symbol[copy] = 256 + a
+    code = dist + len(NEAR)
+    for w in np.unique(plan.width).tolist():
+        near = _NEAR_CODES.setdefault(w, _near_codes(w))
+        own = np.flatnonzero((plan.width[of[at]] == w) & (dist < len(near)))
+        code[own] = np.where(near[dist[own]] > 0, near[dist[own]], code[own])
+    return Tokens(of[place], symbol, place, literal, copy, (b, c), _prefix_parts(code))
+
+
+def _histograms(plan: Plan, t: Tokens) -> list[np.ndarray]:
+    """Green, red, blue, alpha and distance symbols of each image."""
+    n, size = len(plan.images), _SIZE + (1 << plan.cache_bits if plan.cache_bits else 0)
+    count = lambda image, s, m: np.bincount(image * m + s, minlength=n * m).reshape(n, m)
+    out = [count(t.image, t.symbol, size)]
+    v, image = plan.px[t.place[t.literal]], t.image[t.literal]
+    for shift in (16, 0, 24):
+        s = ((v >> np.uint32(shift)) & np.uint32(255)).astype(np.int64)
+        out.append(count(image, s, 256))
+    out.append(count(t.image[t.copy], t.distance[0], N_DISTANCES))
+    return out
+
+
+def _estimate(plan: Plan, t: Tokens, hist: list[np.ndarray]) -> np.ndarray:
+    bits = sum(_bits_for(h) for h in hist) + np.array([16 * sum(k for _, k in h) for h in plan.head], np.int64)
+    return bits + 16 * np.bincount(t.image[t.copy], weights=t.extra[1] + t.distance[2], minlength=len(plan.images)).astype(np.int64)
+
+
+def _fields(w: Writer) -> list[tuple[int, int]]:
+    """(value, bits) in parts of 32 bits at most."""
+    return [((w.value >> k) & 0xFFFFFFFF, min(32, w.at - k)) for k in range(0, w.at, 32)]
+
+
+def _by_image(image: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(image * 256 + v, minlength=n * 256).reshape(n, 256)
+
+
+def _header(width: int, height: int) -> Writer:
     w = Writer()
-    for v, k in ((0x2F, 8), (WIDTH - 1, 14), (len(b) // ROW_BYTES - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+    for v, k in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         w.put(v, k)
-    write_prefix(w, np.concatenate([lengths, np.zeros(N_LENGTHS, np.uint8)]))
-    other = Writer()
-    write_prefix(other, lengths)
-    for _ in range(3):
-        w.put(other.value, other.at)
-    write_prefix(w, np.zeros(N_DISTANCES, np.uint8))
-    # In the order green, red, blue, alpha; a pixel takes 44 bits at most.
-    q = b.reshape(-1, 4)[:, [1, 0, 2, 3]]
-    c, k = code[q], n[q]
-    ends = np.cumsum(k, 1, dtype=np.uint64)
-    whole = c[:, 0] | c[:, 1] << ends[:, 0] | c[:, 2] << ends[:, 1] | c[:, 3] << ends[:, 2]
-    end = np.cumsum(ends[:, 3], dtype=np.uint64) + np.uint64(w.at)
-    at = end - ends[:, 3]
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    out = np.zeros(int(end[-1] >> np.uint64(6)) + 2, np.uint64)
-    head = np.frombuffer(w.done() + b"\0" * (-len(w.done()) % 8), "<u8")
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    out[word[first]] = np.bitwise_or.reduceat(whole << shift, first)
-    out[word[first] + 1] |= np.bitwise_or.reduceat((whole >> np.uint64(1)) >> (np.uint64(63) - shift), first)
-    out[: len(head)] |= head
-    return _riff(out.astype("<u8").tobytes()[: (int(end[-1]) + 7) >> 3])
+    return w
+
+
+def _palette_head(w: Writer, colours: np.ndarray) -> None:
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(colours) - 1, 8)
+    ch = _channels(colours)
+    write_image(w, np.ascontiguousarray(np.diff(ch, axis=0, prepend=np.zeros((1, 4), np.uint8))).view("<u4").ravel(), len(colours), False)
+
+
+def _bundled(index: np.ndarray, width: int, n_colours: int) -> tuple[np.ndarray, int]:
+    """Rows of colour numbers as pixels, several in one where there are few colours, and how many a row has."""
+    bits = _width_bits(n_colours)
+    per, n = 1 << bits, 8 >> bits
+    rows = index.reshape(-1, width)
+    wide = np.zeros((len(rows), -(-width // per) * per), np.uint32)
+    wide[:, :width] = rows
+    packed = (wide.reshape(len(rows), -1, per) << (np.arange(per, dtype=np.uint32) * n)).sum(-1).astype(np.uint32)
+    return ((packed << np.uint32(8)) | np.uint32(0xFF000000)).ravel(), packed.shape[1]
+
+
+def _as_pixels(data: np.ndarray) -> np.ndarray:
+    """Four bytes are a pixel's red, green, blue and alpha."""
+    q = data.reshape(-1, 4).astype(np.uint32)
+    return q[:, 3] << np.uint32(24) | q[:, 0] << np.uint32(16) | q[:, 1] << np.uint32(8) | q[:, 2]
+
+
+def _plan(name: str, parts: list[tuple[int, int, np.ndarray, Writer]], cache_bits: int, grey: bool) -> Plan:
+    """parts: image, width, pixels, head."""
+    return Plan(
+        name, np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64), np.concatenate([p[2] for p in parts]),
+        np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])]).astype(np.int64), cache_bits, grey, [_fields(p[3]) for p in parts],
+    )
+
+
+#: Predictor modes that are tried, each for a whole image.
+MODES = (1, 2, 11, 12)
+
+
+def _entropy(b: np.ndarray) -> int:
+    c = np.bincount(b, minlength=256)
+    return int(_xlog(np.array([len(b)]))[0] - _xlog(c).sum())
+
+
+def _predicted(ch: np.ndarray, mode: int) -> np.ndarray:
+    """Residuals of the predictor transform with one mode (not one that looks to the top right)."""
+    src = ch.astype(np.int64)
+    p = np.empty_like(src)
+    p[0, 0] = (0, 0, 0, 255)
+    p[0, 1:], p[1:, 0] = src[0, :-1], src[:-1, 0]
+    p[1:, 1:] = predict(mode, src[1:, :-1], src[:-1, 1:], src[:-1, 1:], src[:-1, :-1])
+    return ((src - p) & 255).astype(np.uint8)
+
+
+def _decorrelated(w: Writer, px: np.ndarray, width: int) -> np.ndarray | None:
+    """Predictor, and cross-colour or subtract-green behind it, as far as they lower the entropy of the image's bytes; their heads go to
+    `w`. None if the predictor doesn't."""
+    ch = _channels(px.reshape(-1, width))
+    h = len(ch)
+    best, mode = _entropy(ch.ravel()), None
+    for m in MODES:
+        e = _entropy(_predicted(ch, m).ravel())
+        if e < best:
+            best, mode = e, m
+    if mode is None:
+        return None
+    out = _predicted(ch, mode)
+    shape = (-(-h >> 9), -(-width >> 9))
+    w.put(1, 1)
+    w.put(PREDICTOR, 2)
+    w.put(7, 3)
+    write_image(w, np.full(shape[0] * shape[1], mode << 8, np.uint32), shape[1], False)
+    split = lambda c: sum(_entropy(c[..., k].ravel()) for k in range(3))
+    green, plain = _signed(out[..., 1]), split(out)
+    slope = lambda c: int(np.clip(round(32 * float((_signed(c) * green).sum()) / max(1.0, float((green * green).sum()))), -128, 127)) & 255
+    element = np.uint32(slope(out[..., 2]) | slope(out[..., 0]) << 8 | 0xFF << 24)
+    crossed = cross_colour(out, _channels(np.full(shape, element)), 9, -1)
+    less = out.copy()
+    less[..., 0] -= out[..., 1]
+    less[..., 2] -= out[..., 1]
+    if split(crossed) + 16 * 60 < min(plain, split(less)):
+        w.put(1, 1)
+        w.put(CROSS, 2)
+        w.put(7, 3)
+        write_image(w, np.full(shape[0] * shape[1], element, np.uint32), shape[1], False)
+        out = crossed
+    elif split(less) < plain:
+        w.put(1, 1)
+        w.put(GREEN, 2)
+        out = less
+    return np.ascontiguousarray(out).view("<u4").ravel()
+
+
+def _plans(payloads: list[bytes]) -> list[Plan]:
+    n = len(payloads)
+    every = np.frombuffer(b"".join(payloads), np.uint8)
+    size = np.array([len(p) for p in payloads], np.int64)
+    first = np.cumsum(size) - size
+    image = np.repeat(np.arange(n), size)
+    hist = _by_image(image, every, n)
+    px = _as_pixels(every)
+    order = np.sort((image[::4].astype(np.uint64) << np.uint64(32)) | px)
+    fresh = np.concatenate([[True], order[1:] != order[:-1]])
+    distinct = np.bincount((order[fresh] >> np.uint64(32)).astype(np.int64), minlength=n)
+    # Like their left or upper neighbours?
+    entropy = lambda h: _xlog(h.sum(1)) - _xlog(h).sum(1)
+    alike = np.zeros(n, bool)
+    for k in (4, ROW_BYTES):
+        inside = image[k:] == image[:-k]
+        alike |= entropy(_by_image(image[k:][inside], (every[k:] - every[:-k])[inside], n)) < entropy(hist)
+    green = []
+    for h in (size // ROW_BYTES).tolist():
+        w = _header(GREY, h)
+        w.put(1, 1)
+        w.put(GREEN, 2)
+        w.put(0, 1)
+        green.append(_fields(w))
+    out = [Plan("grey", np.arange(n), np.full(n, GREY), (every.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), np.append(first, len(every)), 0, True, green)]
+    few: list[tuple] = []
+    colour: list[tuple] = []
+    palette: list[tuple] = []
+    smooth: list[tuple] = []
+    kinds = (hist > 0).sum(1)
+    for i in np.flatnonzero((kinds <= 16) | (2 * distinct <= size // 4) | alike).tolist():
+        b = every[first[i] : first[i] + size[i]]
+        own = px[first[i] // 4 : (first[i] + size[i]) // 4]
+        h = len(b) // ROW_BYTES
+        if kinds[i] <= 16:
+            values = np.flatnonzero(hist[i])
+            w = _header(GREY, h)
+            _palette_head(w, (values.astype(np.uint32) * np.uint32(0x010101)) | np.uint32(0xFF000000))
+            w.put(0, 1)
+            packed, width = _bundled(np.searchsorted(values, b).astype(np.uint32), GREY, len(values))
+            few.append((i, width, packed, w))
+        if 2 * distinct[i] <= len(own):  # a cache, a palette or four bytes at once need pixels that recur
+            w = _header(WIDTH, h)
+            w.put(0, 1)
+            colour.append((i, WIDTH, own, w))
+            if distinct[i] <= 256:
+                colours, index = np.unique(own, return_inverse=True)
+                w = _header(WIDTH, h)
+                _palette_head(w, colours)
+                w.put(0, 1)
+                packed, width = _bundled(index.astype(np.uint32), WIDTH, len(colours))
+                palette.append((i, width, packed, w))
+        if alike[i]:
+            w = _header(WIDTH, h)
+            left = _decorrelated(w, own, WIDTH)
+            if left is not None:
+                w.put(0, 1)
+                smooth.append((i, WIDTH, left, w))
+    tried = (("few", few, 0, True), ("colour", colour, 0, False), ("cache", colour, CACHE, False), ("palette", palette, 0, True), ("smooth", smooth, 0, False))
+    return out + [_plan(name, parts, bits, flat) for name, parts, bits, flat in tried if parts]
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """Images (bytes: a multiple of `ROW_BYTES`, at least one row and `IMAGE_BYTES` at most), each as the WebP file that is estimated to be the
+    smallest."""
+    if not payloads:
+        return []
+    work = []
+    for p in _plans(payloads):
+        t = _tokens_of(p)
+        hist = _histograms(p, t)
+        p.cost = _estimate(p, t, hist)
+        work.append((p, t, hist))
+    best, which = np.full(len(payloads), np.iinfo(np.int64).max), np.zeros(len(payloads), np.int64)
+    for k, (p, _, _) in enumerate(work):
+        better = p.cost < best[p.images]
+        best[p.images[better]], which[p.images[better]] = p.cost[better], k
+    out: list[bytes] = [b""] * len(payloads)
+    for k, (p, t, hist) in enumerate(work):
+        chosen = np.flatnonzero(which[p.images] == k)
+        if len(chosen):
+            _write(p, t, hist, chosen, out)
+    return out
 
 
-def encode_bytes(data: bytes) -> bytes:
+#: Codes of the query's encoder have so many bits at most.
+_MOST = 11
+
+
+def lengths_of(hist: np.ndarray) -> np.ndarray:
+    """Lengths of a complete prefix code for each row's counts (0 in rows of less than two symbols). Every symbol first gets
+    the bits that its share calls for, rounded up; what room that leaves goes to those that gain most."""
+    every = np.zeros(hist.shape, np.int64)
+    some = np.flatnonzero(hist.any(0))
+    hist = hist[:, some]
+    used = hist > 0
+    several = used.sum(1) > 1
+    c = np.where(used & several[:, None], hist + hist.sum(1)[:, None] // 1024 + 1, 0).astype(np.int64)
+    total = c.sum(1)[:, None]
+    asked = -(-total // np.maximum(c, 1))
+    out = np.where(c > 0, np.maximum(np.frexp((asked - 1).astype(np.float64))[1], 1), 0).astype(np.int64)
+    room = (1 << _MOST) - np.where(c > 0, 1 << (_MOST - out), 0).sum(1)
+    room[~several] = 0
+    order = np.argsort(-(c << out), axis=1, kind="stable")
+    rows, most = np.arange(len(hist)), int(used.sum(1).max(initial=0))
+    while room.any():
+        for r in range(most):
+            at = order[:, r]
+            n = out[rows, at]
+            cost = 1 << (_MOST - np.minimum(n, _MOST))
+            fits = (n > 1) & (cost <= room)
+            out[rows[fits], at[fits]] -= 1
+            room -= np.where(fits, cost, 0)
+    every[:, some] = out
+    return every
+
+
+def _canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes of each row, first bit lowest."""
+    out = np.zeros(lengths.shape, np.uint64)
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol]
+    order = np.argsort(row * 16 + n, kind="stable")
+    row, symbol, n = row[order], symbol[order], n[order]
+    spans = 1 << (MAX_BITS - n)
+    run = np.cumsum(spans) - spans
+    code = (run - run[np.searchsorted(row, row)]) >> (MAX_BITS - n)
+    out[row, symbol] = _reversed(MAX_BITS)[code] >> (MAX_BITS - n)
+    return out
+
+
+def _length_fields(lengths: np.ndarray, hist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, bits) of how each row's code is written."""
+    n, size = lengths.shape
+    several = (hist > 0).sum(1) > 1
+    row, value, bits, rank = [], [], [], []
+
+    def add(r, v, k, at) -> None:
+        row.append(r)
+        value.append(np.broadcast_to(v, len(r)))
+        bits.append(np.broadcast_to(k, len(r)))
+        rank.append(np.broadcast_to(at, len(r)))
+
+    one = np.flatnonzero(~several)
+    add(one, 0b101 | (hist[one] > 0).argmax(1) << 3, 11, 0)  # a simple code of one symbol (of 0, if there is none)
+    many = np.flatnonzero(several)
+    w = Writer()
+    w.put(0, 1)
+    w.put(15, 4)
+    for s in CODE_LENGTH_ORDER:
+        w.put(_OWN[s], 3)
+    w.put(0, 1)
+    for v, k in _fields(w):
+        add(many, v, k, -1)
+    own = np.array(_OWN_CODES)
+    rows, symbols = np.nonzero(lengths)
+    add(rows, own[lengths[rows, symbols]], 4, symbols)
+    # Runs of zeros.
+    zero = np.pad(lengths[many] == 0, ((0, 0), (1, 1)))
+    step = np.diff(zero.astype(np.int8), axis=1)
+    r, a = np.nonzero(step == 1)
+    z = np.nonzero(step == -1)[1]
+    r, left = many[r], z - a
+    while len(r):
+        long, some = left >= 11, (left >= 3) & (left < 11)
+        m = np.where(long, np.minimum(left, 138), np.where(some, left, 1))
+        v = np.where(long, own[18] | (m - 11) << 5, np.where(some, own[17] | (m - 3) << 5, own[0]))
+        add(r, v, np.where(long, 12, np.where(some, 8, 4)), a)
+        a, left = a + m, left - m
+        r, a, left = r[left > 0], a[left > 0], left[left > 0]
+    row, value, bits, rank = (np.concatenate(x) for x in (row, value, bits, rank))
+    order = np.argsort(row * (size + 2) + rank, kind="stable")
+    return row[order], value[order].astype(np.uint64), bits[order].astype(np.uint64)
+
+
+def _write(plan: Plan, t: Tokens, hist: list[np.ndarray], chosen: np.ndarray, out: list[bytes]) -> None:
+    m = len(chosen)
+    number = np.full(len(plan.images), -1, np.int64)
+    number[chosen] = np.arange(m)
+    hist = [h[chosen] for h in hist]
+    sizes = [lengths_of(h) for h in hist]
+    codes = [_canonical(n) for n in sizes]
+    u = lambda x: x.astype(np.uint64)
+    heads = [[*plan.head[i], *([(1 | plan.cache_bits << 1, 6)] if plan.cache_bits else [(0, 2)])] for i in chosen.tolist()]  # one group of codes
+    sections = [(np.repeat(np.arange(m), [len(h) for h in heads]), u(np.array([v for h in heads for v, _ in h], np.int64)), u(np.array([k for h in heads for _, k in h], np.int64)))]
+    sections += [_length_fields(n, h) for n, h in zip(sizes, hist, strict=True)]
+    both = [(c.astype(np.uint32) | n.astype(np.uint32) << np.uint32(16)).ravel() for c, n in zip(codes, sizes, strict=True)]
+    number_of = number[t.image]
+    mine = slice(None) if m == len(plan.images) else np.flatnonzero(number_of >= 0)
+    image, place, literal = number_of[mine], t.place[mine], t.literal[mine]
+    e = both[0][image * sizes[0].shape[1] + t.symbol[mine]]
+    whole, bits = u(e & np.uint32(0xFFFF)), u(e >> np.uint32(16))
+
+    def add(at: np.ndarray, k: int, of: np.ndarray, s: np.ndarray) -> None:
+        e = both[k][of * sizes[k].shape[1] + s]
+        whole[at] |= u(e & np.uint32(0xFFFF)) << bits[at]
+        bits[at] += e >> np.uint32(16)
+
+    if any(n.any() for n in sizes[1:4]):
+        lit = np.flatnonzero(literal)
+        v = plan.px[place[lit]]
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            add(lit, k, image[lit], ((v >> np.uint32(shift)) & np.uint32(255)).astype(np.int64))
+    own = np.flatnonzero(number_of[t.copy] >= 0)
+    cp = t.copy[own] if m == len(plan.images) else np.searchsorted(mine, t.copy[own])
+    whole[cp] |= u(t.extra[0][own]) << bits[cp]
+    bits[cp] += u(t.extra[1][own])
+    add(cp, 4, image[cp], t.distance[0][own])
+    whole[cp] |= u(t.distance[1][own]) << bits[cp]
+    bits[cp] += u(t.distance[2][own])
+    sections.append((image, whole, bits))
+    # Each image begins at a word of 64 bits, and each section where the one before ends.
+    long = [np.bincount(r, weights=b, minlength=m).astype(np.int64) for r, _, b in sections]
+    total = np.sum(long, 0)
+    words = (total + 63) // 64 + 1
+    base = (np.cumsum(words) - words) * 64
+    stream = np.zeros(int(words.sum()) + 1, np.uint64)
+    begin = base.copy()
+    for (r, v, b), n in zip(sections, long, strict=True):
+        if len(r):
+            run = np.cumsum(b.astype(np.int64)) - b.astype(np.int64)
+            at = run - run[np.searchsorted(r, np.arange(m)).clip(max=len(r) - 1)][r] + begin[r]
+            word, shift = at >> 6, u(at & 63)
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            stream[word[start]] |= np.bitwise_or.reduceat(v << shift, start)
+            stream[word[start] + 1] |= np.bitwise_or.reduceat((v >> np.uint64(1)) >> (np.uint64(63) - shift), start)
+        begin += n
+    data = stream.astype("<u8").tobytes()
+    for r, i in enumerate(chosen.tolist()):
+        a = int(base[r]) // 8
+        out[int(plan.images[i])] = _riff(data[a : a + (int(total[r]) + 7) // 8])
+
+
+# Decoding. The codes and transforms of each image are read one by one; the main images then go in step, a symbol of each at a time.
+
+
+@dataclass
+class Stream:
+    """A VP8L image as far as the codes of its main image."""
+
+    width: int
+    height: int
+    wide: int  # pixels of a row of the main image
+    transforms: list
+    bits: Bits
+    cache_bits: int
+    several: bool  # groups of codes
+    told: dict
+
+
+def open_stream(data: bytes) -> Stream:
+    b = Bits(data)
+    if b.read(8) != 0x2F:
+        raise ValueError("no VP8L signature")
+    width, height = b.read(14) + 1, b.read(14) + 1
+    b.read(1)
+    if b.read(3):
+        raise ValueError("unknown version")
+    todo, w = [], width
+    while b.read(1):
+        kind = b.read(2)
+        if kind in (x[0] for x in todo):
+            raise ValueError("a transform occurs twice")
+        if kind in (PREDICTOR, CROSS):
+            bits = b.read(3) + 2
+            shape = (-(-height >> bits), -(-w >> bits))
+            todo.append((kind, w, bits, read_image(b, shape[1], shape[0], False).reshape(shape)))
+        elif kind == PALETTE:
+            n = b.read(8) + 1
+            colours = np.cumsum(_channels(read_image(b, n, 1, False)), 0, dtype=np.uint8)
+            todo.append((kind, w, _width_bits(n), colours))
+            w = -(-w >> _width_bits(n))
+        else:
+            todo.append((kind, w, 0, None))
+    at = b.at
+    cache_bits = b.read(4) if b.read(1) else 0
+    several = bool(b.read(1))
+    if several:
+        b.at = at  # goes symbol by symbol, from there
+    elif cache_bits > 11:
+        raise ValueError("colour cache of more than 11 bits")
+    return Stream(width, height, w, todo, b, cache_bits, several, {"transforms": [x[0] for x in todo], "copies": 0, "cached": 0})
+
+
+def _inverted(s: Stream, px: np.ndarray) -> np.ndarray:
+    """The image from its main image, transforms inverted in the opposite order."""
+    px = px.reshape(s.height, s.wide)
+    for kind, w, bits, extra in reversed(s.transforms):
+        if kind == PALETTE:
+            n, per = 8 >> bits, 1 << bits
+            index = (px >> 8) & 255
+            index = ((index[:, :, None] >> (np.arange(per, dtype=np.uint32) * n)) & ((1 << n) - 1)).reshape(s.height, -1)[:, :w]
+            table_ = np.zeros((256, 4), np.uint8)
+            table_[: len(extra)] = extra
+            px = table_[index].view("<u4")[..., 0]
+            continue
+        if kind == GREEN:
+            g = (px >> np.uint32(8)) & np.uint32(255)
+            px = (px & np.uint32(0xFF00FF00)) | ((px & np.uint32(0x00FF00FF)) + (g << np.uint32(16) | g)) & np.uint32(0x00FF00FF)
+            continue
+        ch = _channels(px)
+        ch = add_predictions(ch, (extra >> 8) & 255, bits) if kind == PREDICTOR else cross_colour(ch, _channels(extra), bits, 1)
+        px = np.ascontiguousarray(ch).view("<u4")[..., 0]
+    return px
+
+
+def _tables(lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of each row's code, for the next bits: symbol and length in one number; and how many bits that are."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    count = np.bincount(row, minlength=len(lengths))
+    if (count == 0).any():
+        raise ValueError("prefix code without symbols")
+    n[count[row] == 1] = 0  # takes no bits
+    bits = int(n.max(initial=0))
+    spans = 1 << (bits - n)
+    if (np.bincount(row, weights=spans, minlength=len(lengths)) != 1 << bits).any():
+        raise ValueError("prefix code is not complete")
+    order = np.argsort((row * 16 + n).astype(np.int32), kind="stable")
+    full = np.repeat((symbol[order] << 4 | n[order]).astype(np.int32), spans[order]).reshape(len(lengths), 1 << bits)
+    return np.ascontiguousarray(full[:, _reversed(bits)]).ravel(), bits
+
+
+class _Lanes:
+    """Bits of images that are decoded in step."""
+
+    def __init__(self, streams: list[Stream]):
+        at, starts, ends = 0, [], []
+        for s in streams:
+            starts.append(8 * at + s.bits.at)
+            at += len(s.bits.data)
+            ends.append(8 * at)
+        raw = np.frombuffer(b"".join(s.bits.data for s in streams) + b"\0" * 64, np.uint8)
+        self.words = np.empty(len(raw) - 8, np.uint64)
+        for k in range(8):
+            w = raw[k : k + (len(raw) - k) // 8 * 8].view("<u8")
+            self.words[k::8] = w[: len(self.words[k::8])]
+        self.last = len(self.words) - 1
+        self.pos, self.end = np.array(starts, np.int64), np.array(ends, np.int64)
+        size = np.array([_SIZE + (1 << s.cache_bits if s.cache_bits else 0) for s in streams], np.int64)
+        self.table: list[np.ndarray] = []
+        self.bits: list[int] = []
+        for k in range(5):
+            t, n = _tables(self._lengths(size if k == 0 else np.full(len(streams), 256 if k < 4 else N_DISTANCES)))
+            self.table.append(t)
+            self.bits.append(n)
+
+    def window(self, pos: np.ndarray) -> np.ndarray:
+        return self.words[np.minimum(pos >> 3, self.last)] >> (pos & 7).astype(np.uint64)
+
+    def _lengths(self, size: np.ndarray) -> np.ndarray:
+        """Reads one code of each image: the lengths of its symbols."""
+        out = np.zeros((len(size), int(size.max())), np.int32)
+        w = self.window(self.pos).astype(np.int64)
+        simple = (w & 1) == 1
+        lane = np.flatnonzero(simple)
+        v = w[lane]
+        wide = (v >> 2) & 1
+        p = 4 + 7 * wide
+        first, two = (v >> 3) & np.where(wide == 1, 255, 1), ((v >> 1) & 1) == 1
+        out[lane[two], ((v >> p) & 255)[two]] = 1
+        out[lane, first] = 1
+        self.pos[lane] += p + 8 * two
+        lane = np.flatnonzero(~simple)
+        if not len(lane):
+            return out
+        n = 4 + ((w[lane] >> 1) & 15)
+        pos = self.pos[lane] + 5
+        own = np.zeros((len(lane), 19), np.int32)
+        for i in range(int(n.max())):
+            k = np.flatnonzero(i < n)
+            own[k, CODE_LENGTH_ORDER[i]] = (self.window(pos[k]) & np.uint64(7)).astype(np.int32)
+            pos[k] += 3
+        table, bits = _tables(own)
+        mask = np.uint64((1 << bits) - 1)
+        w = self.window(pos).astype(np.int64)
+        some = (w & 1) == 1
+        m = 2 + 2 * ((w >> 1) & 7)
+        left = np.where(some, 2 + ((w >> 4) & ((1 << m) - 1)), size[lane])
+        pos += np.where(some, 4 + m, 1)
+        at, last = np.zeros(len(lane), np.int64), np.full(len(lane), 8, np.int64)
+        full = size[lane]
+        k = np.arange(len(lane))  # those that go on
+        while len(k):
+            w = self.window(pos[k])
+            e = table[(k << bits) + (w & mask).astype(np.int64)]
+            s, step = e >> 4, (e & 15).astype(np.int64)
+            count = np.ones(len(k), np.int64)
+            value = s.astype(np.int64)
+            far = np.flatnonzero(s >= 16)
+            if len(far):
+                f = s[far] - 16
+                more = (w[far] >> step[far].astype(np.uint64)).astype(np.int64)
+                extra = _REPEAT_BITS[f]
+                count[far] = _REPEAT_LEAST[f] + (more & ((1 << extra) - 1))
+                value[far] = np.where(f == 0, last[k[far]], 0)
+                step[far] += extra
+            near = np.flatnonzero((s < 16) & (s > 0))
+            last[k[near]] = s[near]
+            if (at[k] + count > full[k]).any():
+                raise ValueError("code lengths run over")
+            set_ = np.flatnonzero(value > 0)
+            c = count[set_]
+            place = np.repeat(at[k[set_]] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))
+            out[np.repeat(lane[k[set_]], c), place] = np.repeat(value[set_], c)
+            at[k] += count
+            pos[k] += step
+            left[k] -= 1
+            k = k[(at[k] < full[k]) & (left[k] > 0)]
+        self.pos[lane] = pos
+        return out
+
+    def entry(self, k: int, lane: np.ndarray, window: np.ndarray) -> np.ndarray:
+        return self.table[k][(lane << self.bits[k]) + (window & np.uint64((1 << self.bits[k]) - 1)).astype(np.int64)]
+
+    def value(self, prefix: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of prefix symbols, and where their extra bits end."""
+        more = (self.window(pos) & _EXTRA_MASK[prefix]).astype(np.int64)
+        return _FIRST[prefix] + more, pos + _EXTRA[prefix]
+
+    def copy(self, lane: np.ndarray, symbol: np.ndarray, pos: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, distance, where the next symbol begins) of copies whose first symbol ends at pos."""
+        length, pos = self.value(symbol - 256, pos)
+        e = self.entry(4, lane, self.window(pos))
+        code, pos = self.value(e >> 4, pos + (e & 15))
+        near = code <= len(NEAR)
+        k = np.where(near, code, 1) - 1
+        return length, np.where(near, np.maximum(1, _NEAR_X[k] + _NEAR_Y[k] * width), code - len(NEAR)), pos
+
+
+#: Of the symbols 16 to 18 of a code of code lengths: extra bits, and the least number of repeats.
+_REPEAT_BITS, _REPEAT_LEAST = np.array([2, 3, 7]), np.array([3, 3, 11])
+# Of each prefix symbol: extra bits, their mask, and the least value.
+_EXTRA = np.array([0 if v < 4 else (v - 2) >> 1 for v in range(N_DISTANCES)])
+_EXTRA_MASK = (np.uint64(1) << _EXTRA.astype(np.uint64)) - np.uint64(1)
+_FIRST = np.array([v + 1 if v < 4 else ((2 + (v & 1)) << ((v - 2) >> 1)) + 1 for v in range(N_DISTANCES)])
+_NEAR_X, _NEAR_Y = np.array([p[0] for p in NEAR]), np.array([p[1] for p in NEAR])
+
+
+def _in_step(streams: list[Stream]) -> list[np.ndarray]:
+    """Main images of streams with one group of codes, all with or all without a colour cache."""
+    L = _Lanes(streams)
+    size = np.array([s.wide * s.height for s in streams], np.int64)
+    first = np.cumsum(size) - size
+    width = np.array([s.wide for s in streams], np.int64)
+    out = np.zeros(int(size.sum()), np.uint32)
+    cached = streams[0].cache_bits > 0
+    n_copies, n_cached = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
+    lane = np.arange(len(streams))
+    pos, at, stop = L.pos.copy(), first.copy(), first + size
+    # Red, blue and alpha that take no bits.
+    plain = None if any(L.bits[1:4]) else [(t >> 4).astype(np.uint32) for t in L.table[1:4]]
+    base = None if plain is None else plain[2] << np.uint32(24) | plain[0] << np.uint32(16) | plain[1]
+    copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if cached:
+        bits = np.array([s.cache_bits for s in streams], np.int64)
+        cache_at = np.cumsum(1 << bits) - (1 << bits)
+        cache = np.zeros(int((1 << bits).sum()), np.uint32)
+        left, back = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
+        shift = (32 - bits).astype(np.uint64)
+    gbits, gmask, gtable = L.bits[0], np.uint64((1 << L.bits[0]) - 1), L.table[0]
+    while len(lane):
+        if cached:
+            go = np.flatnonzero(left == 0)
+            own, p = lane[go], pos[go]
+        else:
+            go, own, p = slice(None), lane, pos
+        e = gtable[(own << gbits) + (L.window(p) & gmask).astype(np.int64)]
+        p = p + (e & 15)
+        s = e >> 4
+        high = np.flatnonzero(s >= 256)
+        to = at[go]
+        px = s.astype(np.uint32) << np.uint32(8)
+        if base is not None:
+            px |= base[own]
+        elif len(high) < len(s):
+            q = p.copy()
+            for k, place in ((1, 16), (2, 0), (3, 24)):
+                e = L.entry(k, own, L.window(q))
+                px |= (e >> 4).astype(np.uint32) << np.uint32(place)
+                q += e & 15
+            p = np.where(s < 256, q, p)
+        step = 1
+        if len(high):
+            is_copy = s[high] < 256 + N_LENGTHS
+            h = high[is_copy]
+            if len(h):
+                length, dist, end = L.copy(own[h], s[h], p[h], width[own[h]])
+                if (dist > to[h] - first[own[h]]).any() or (to[h] + length > stop[go][h]).any():
+                    raise ValueError("back-reference outside the image")
+                p[h] = end
+                n_copies[own[h]] += 1
+                if cached:
+                    g = go[h]
+                    left[g], back[g] = length, dist
+                else:
+                    copies.append((to[h], length, dist))
+                    step = np.ones(len(s), np.int64)
+                    step[h] = length
+            c = high[~is_copy]
+            if len(c):
+                if not cached:
+                    raise ValueError("no colour cache")
+                px[c] = cache[cache_at[own[c]] + s[c] - _SIZE]
+                n_cached[own[c]] += 1
+        if cached:
+            pos[go] = p
+            copying = np.flatnonzero(left)
+            value = np.empty(len(lane), np.uint32)
+            value[go] = px
+            value[copying] = out[at[copying] - back[copying]]
+            left[copying] -= 1
+            out[at] = value
+            slot = ((value.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> shift[lane]
+            cache[cache_at[lane] + slot.astype(np.int64)] = value
+            at = at + 1
+        else:
+            pos = p
+            out[to] = px
+            at = at + step
+        done = at >= stop
+        if done.any():
+            if (pos[done] > L.end[lane[done]]).any():
+                raise ValueError("the stream ends early")
+            go_on = ~done
+            lane, pos, at, stop = lane[go_on], pos[go_on], at[go_on], stop[go_on]
+            if cached:
+                left, back = left[go_on], back[go_on]
+    if copies:
+        # Every copied pixel points to the one it repeats; pointers are shortened until they end at literals.
+        start, length, dist = (np.concatenate(x) for x in zip(*copies, strict=True))
+        source = np.arange(len(out))
+        place = np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+        source[place] = place - np.repeat(dist, length)
+        while True:
+            now = source[source[place]]
+            if (now == source[place]).all():
+                break
+            source[place] = now
+        out[place] = out[source[place]]
+    for s, c, k in zip(streams, n_copies.tolist(), n_cached.tolist(), strict=True):
+        s.told["copies"], s.told["cached"] = c, k
+    return np.split(out, first[1:])
+
+
+def decode_streams(data: list[bytes]) -> list[tuple[np.ndarray, dict]]:
+    """Pixels of VP8L streams, and what was met in them: transforms, copies and colour cache hits. Damaged ones raise ValueError as far as they
+    can be told."""
+    try:
+        return _decoded(data)
+    except IndexError as e:
+        raise ValueError("damaged stream") from e
+
+
+def _decoded(data: list[bytes]) -> list[tuple[np.ndarray, dict]]:
+    streams = [open_stream(d) for d in data]
+    main: list[np.ndarray | None] = [None] * len(streams)
+    sets: dict[tuple, list[int]] = {}
+    for i, s in enumerate(streams):
+        if s.several:
+            cache_bits, groups, group_of = _read_codes(s.bits, s.wide, s.height, True)
+            main[i] = _symbols(s.bits, group_of, groups, cache_bits, s.wide, s.wide * s.height, s.told)
+            if s.bits.at > 8 * len(s.bits.data):
+                raise ValueError("the stream ends early")
+        else:
+            one = any(t[0] in (GREEN, PALETTE) for t in s.transforms)  # often with one channel left
+            sets.setdefault((s.cache_bits, one), []).append(i)
+    for own in sets.values():
+        own.sort(key=lambda i: -streams[i].wide * streams[i].height)
+        for at in range(0, len(own), LANES):
+            some = own[at : at + LANES]
+            for i, px in zip(some, _in_step([streams[i] for i in some]), strict=True):
+                main[i] = px
+    return [(_inverted(s, px), s.told) for s, px in zip(streams, main, strict=True)]
+
+
+def chunks_of(media: bytes) -> Iterator[bytes]:
+    """VP8L streams of one or more RIFF files that follow each other."""
+    at = 0
+    while at < len(media):
+        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 12] != b"WEBP":
+            raise ValueError("no WebP file")
+        end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        k = at + 12
+        while k < end:
+            n = int.from_bytes(media[k + 4 : k + 8], "little")
+            if media[k : k + 4] == b"VP8L":
+                yield media[k + 8 : k + 8 + n]
+            k += 8 + n + (n & 1)
+        at = end
+
+
+def images(media: bytes) -> Iterator[np.ndarray]:
+    """The images of one or more RIFF files that follow each other, as uint32 (alpha, red, green, blue from the top byte), rows by columns."""
+    yield from (px for px, _ in decode_streams(list(chunks_of(media))))
+
+
+def encode_columns(values: list[bytes]) -> list[bytes]:
     """Bytes, padded to whole rows, as images one after another."""
-    data += b"\0" * (-len(data) % ROW_BYTES)
-    return b"".join(encode_samples(data[i : i + IMAGE_BYTES]) for i in range(0, len(data), IMAGE_BYTES))
+    padded = [v + b"\0" * (-len(v) % ROW_BYTES) for v in values]
+    parts = [p[i : i + IMAGE_BYTES] for p in padded for i in range(0, len(p), IMAGE_BYTES)]
+    at = np.cumsum([0, *map(len, parts)]) // ENCODE
+    cuts = np.flatnonzero(np.diff(at[:-1], prepend=-1)).tolist() if parts else []
+    done = chain.from_iterable(encode_many(parts[a:z]) for a, z in zip(cuts, [*cuts[1:], len(parts)], strict=True))
+    return [b"".join(next(done) for _ in range(0, len(p), IMAGE_BYTES)) for p in padded]
+
+
+def samples_of(px: np.ndarray) -> bytes:
+    """The bytes that an image of ours holds."""
+    if px.shape[1] == GREY:
+        return (px & np.uint32(255)).astype(np.uint8).tobytes()
+    return np.ascontiguousarray(_channels(px)[..., [2, 1, 0, 3]]).tobytes()
+
+
+def decode_columns(media: list[bytes]) -> list[tuple[bytes, dict]]:
+    """Bytes of images one after another, and counts of what their streams held."""
+    streams = [list(chunks_of(m)) for m in media]
+    done = iter(decode_streams([d for own in streams for d in own]))
+    out = []
+    for own in streams:
+        got = [next(done) for _ in own]
+        told = {name: sum(kind in t["transforms"] for _, t in got) for name, kind in (("predictor", PREDICTOR), ("cross", CROSS), ("green", GREEN), ("palette", PALETTE))}
+        told |= {name: sum(t[name] for _, t in got) for name in ("copies", "cached")}
+        out.append((b"".join(samples_of(px) for px, _ in got), told | {"images": len(got)}))
+    return out
+
+
+def encode_bytes(data: bytes) -> bytes:
+    return encode_columns([data])[0]
 
 
 def decode_bytes(media: bytes) -> bytes:
-    return b"".join(np.ascontiguousarray(_channels(px)[..., [2, 1, 0, 3]]).tobytes() for px in images(media))
+    return decode_columns([media])[0][0]
 
 
 # --- columns ---------------------------------------------------------------------------------------------------------
 
 
 def _mapped(df: DataFrame, column: str, new: str, kind: pa.DataType, f) -> DataFrame:
-    """Adds a column, one value of `column` at a time."""
+    """Adds a column; f takes lists of values that have about `SLICE` bytes."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pa.array([None if x is None else f(x) for x in b.column(b.schema.get_field_index(column)).to_pylist()], kind)
-            keep = [i for i, n in enumerate(b.schema.names) if n != new]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), got], [*(b.schema.names[i] for i in keep), new])
+        for whole in batches:
+            col = whole.schema.get_field_index(column)
+            size = pc.fill_null(pc.binary_length(whole.column(col)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            at = 0
+            while at < whole.num_rows:
+                z = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                b = whole.slice(at, z - at)
+                at = z
+                values = b.column(col).to_pylist()
+                some = [i for i, x in enumerate(values) if x is not None]
+                got: list = [None] * len(values)
+                for i, y in zip(some, f([values[i] for i in some]), strict=True):
+                    got[i] = y
+                keep = [i for i, n in enumerate(b.schema.names) if n != new]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(got, kind)], [*(b.schema.names[i] for i in keep), new])
 
     from pyspark.sql.pandas.types import from_arrow_type
     from pyspark.sql.types import StructField, StructType
 
     fields = [x for x in df.schema.fields if x.name != new]
-    return df.mapInArrow(go, StructType([*fields, StructField(new, from_arrow_type(kind))]))
+    return df.select(*[F.col(f"`{x.name}`") for x in df.schema.fields]).mapInArrow(go, StructType([*fields, StructField(new, from_arrow_type(kind))]))
 
 
 def store_media(df: DataFrame, data: str, media: str = "media") -> DataFrame:
     """Adds the bytes of column `data` as lossless WebP."""
-    return _mapped(df, data, media, pa.binary(), encode_bytes)
+    return _mapped(df, data, media, pa.binary(), encode_columns)
 
 
 def features_of(samples: bytes) -> str:
@@ -760,25 +1564,25 @@ def features_of(samples: bytes) -> str:
     return f"{len(v) // ROW_BYTES};{v.mean():.3f};{v.std():.3f};" + ",".join(map(str, hist.tolist()))
 
 
-_READ = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_READ = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("coding", pa.string())])
 
 
-def _digest(media: bytes) -> dict:
-    data = decode_bytes(media)
-    return {
-        "payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-64:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": features_of(data),
-    }
+def _digests(media: list[bytes]) -> list[dict]:
+    return [
+        {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-64:]),
+         "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest(), "feature": features_of(data), "coding": ",".join(f"{k}={v}" for k, v in told.items() if v)}
+        for m, (data, told) in zip(media, decode_columns(media), strict=True)
+    ]
 
 
 def read_media(df: DataFrame, media: str = "media", to: str = "samples") -> DataFrame:
     """Adds the samples that a column of WebP files holds."""
-    return _mapped(df, media, to, pa.binary(), decode_bytes)
+    return _mapped(df, media, to, pa.binary(), lambda m: [data for data, _ in decode_columns(m)])
 
 
 def digest_media(df: DataFrame, media: str = "media", to: str = "read") -> DataFrame:
-    """Decodes the column as `read_media` does, and keeps digests and features only."""
-    return _mapped(df, media, to, _READ, _digest)
+    """Decodes the column as `read_media` does, and keeps digests, features, and what the streams held (transforms by images, copies, cache hits)."""
+    return _mapped(df, media, to, _READ, _digests)
 
 
 def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
