@@ -5,10 +5,12 @@ BPE has an equal lattice: a sequence of pieces is the encoding of its text exact
 of theirs (and single pieces of themselves). With weight 0 for such steps and -inf for others, the best path of the max-plus
 lattice is the encoding, the only one of weight 0. A weight of 0 or -inf is a bit, so a row of a max-plus matrix is an integer.
 
-Texts over `CHUNK` characters are cut anywhere. A state at a cut is a piece that covers the character before it; each chunk gives
-the matrix that says which states at its end can follow which at its start; matrices are combined by an associative scan, which
-tells the state at every cut; then each chunk is traced back by itself. No piece holds a space after another character, so a
-path passes through every such place, and a chunk with one needs the lattice at its ends only. Shorter texts are one chunk.
+Every text is cut anywhere, after each `CHUNK` characters. A state at a cut is a piece that covers the character before it; each
+chunk gives the matrix that says which states at its end can follow which at its start; matrices are combined by an
+associative scan, which tells the state at every cut; then each chunk is traced back by itself. No piece holds a space after
+another character, so every path passes such a place: a chunk with one needs the lattice at its ends only (and what it says of a cut
+depends on the word there, which recurs), and the words inside are looked up among those met before. Texts of more than
+`PART` characters are dealt out by parts of that size: parts yield matrices, too, and are traced back in other tasks.
 
 Characters without a piece become bytes. Decoding gives the text again, but for U+2581, which the model takes for a space.
 
@@ -20,8 +22,9 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,10 @@ from sparkseek.llm.common import table
 
 TOKENIZERS = os.environ.get("SPARKSEEK_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
-#: Characters of a chunk of a long text.
-CHUNK = 32_768
-#: Characters of texts coded at once; what is built for them bounds a worker's memory.
-SLICE = 1 << 23
+#: Characters of a chunk, and of what is dealt out of a giant text to other tasks.
+CHUNK, PART = 1024, 32_768
+#: Characters of texts coded at once, and words and cuts of words remembered; they bound a worker's memory.
+SLICE, WORDS, CUTS = 1 << 21, 150_000, 50_000
 #: Longer stretches are coded by themselves.
 _WORD = 64
 SPACE = "▁"
@@ -74,6 +77,9 @@ class Model:
             raise ValueError("pieces that span words are not supported")
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._cuts: dict[tuple, tuple] = {}
         self.length = {i: len(x) for i, x in self.piece.items()}
         self._split = _SEGMENT["\n" in self.id].findall
 
@@ -103,7 +109,7 @@ class Model:
         key = i << 20 | j
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 300_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             a, b = self.piece[i], self.piece[j]
             got = self._pairs[key] = self.merges(a + b) == [a, b]
@@ -200,15 +206,88 @@ class Model:
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of whole texts; each different word is looked at once."""
         split = [None if t is None else self._split(normalised(t)) for t in texts]
-        table_ = self.words(set().union(*(w for w in split if w)))
-        get = table_.__getitem__
-        return [None if w is None else np.fromiter(chain.from_iterable(map(get, w)), np.int32) for w in split]
+        self._learn(set().union(*(w for w in split if w)))
+        return [None if w is None else np.fromiter(chain.from_iterable(self.chunks(w)), np.int32) for w in split]
+
+    def _learn(self, every: set[str]) -> None:
+        """Makes words known. Of those met before, the ones that recur stay."""
+        if len(self._words) > WORDS:
+            self._older, self._words = self._words, {}
+        known, older = self._words, self._older
+        new = every.difference(known)
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        known.update(self.words(new.difference(again)))
 
     def encode_free(self, s: str) -> list[int]:
         """Ids of a normalised text whose ends every path passes."""
         w = self._split(s)
-        table_ = self.words(set(w))
-        return [i for x in w for i in table_[x]]
+        self._learn(set(w))
+        return list(chain.from_iterable(self.chunks(w)))
+
+    def _at_cut(self, word: str, k: int, leading: bool) -> tuple[list[State], int]:
+        """States at a cut of a word, and bits of those that lead to its end, or are reached from its beginning."""
+        key = (word, k, leading)
+        got = self._cuts.get(key)
+        if got is None:
+            if len(self._cuts) > CUTS:
+                self._cuts.clear()
+            left, right, rows = self.matrix(word, k, len(word)) if leading else self.matrix(word, 0, k)
+            got = self._cuts[key] = (left, rows[0]) if leading else (right, sum((bits & 1) << j for j, bits in enumerate(rows)))
+        return got
+
+    def _piece_path(self, word: str, enter: State, leave: State) -> tuple[int, ...]:
+        key = (word, enter, leave)
+        got = self._cuts.get(key)
+        if got is None:
+            got = self._cuts[key] = tuple(self.trace(word, enter, leave, enter[1], leave[1]))
+        return got
+
+    def chunks(self, words: list[str]) -> list:
+        """Ids of a text that consists of words (all known) between places that every path passes, in parts: the text is cut after each
+        `CHUNK` characters, chunks give matrices, their scan the states at the cuts, and each chunk is traced back."""
+        known = self._words
+        ends = list(accumulate(map(len, words)))
+        n = ends[-1] if ends else 0
+        if n <= CHUNK:
+            return [known[w] for w in words]  # one chunk, and a path through every word
+        # Cuts: the word they lie in, and the place there (0: between words).
+        cuts = []
+        for c in range(CHUNK, n, CHUNK):
+            i = bisect_right(ends, c)
+            cuts.append((i, c - (ends[i - 1] if i else 0)))
+        here: list[State] = [(0, 0)]
+        matrices = []
+        before = (-1, 0)
+        bits = 1
+        for i, k in [*cuts, (len(words), 0)]:
+            own = before[0] == i  # both ends in one long word
+            if own and k:
+                matrices.append(self.matrix(words[i], before[1], k))
+            else:
+                if before[1]:
+                    here, bits = self._at_cut(words[before[0]], before[1], True)
+                else:
+                    here, bits = [(0, 0)], 1
+                there, reached = self._at_cut(words[i], k, False) if k else ([(0, 0)], 1)
+                matrices.append((here, there, [bits if reached >> j & 1 else 0 for j in range(len(there))]))
+            before = (i, k)
+        states = cut_states(matrices)
+        out: list = []
+        before, enter = (0, 0), (0, 0)
+        for (i, k), leave in zip([*cuts, (len(words), 0)], states[1:], strict=True):
+            j, a = before
+            if j == i and a:
+                out.append(self._piece_path(words[i], enter, leave))
+            else:
+                if a:
+                    out.append(self._piece_path(words[j], enter, (len(words[j]),) * 2))
+                    j += 1
+                out += [known[w] for w in words[j:i]]
+                if k:
+                    out.append(self._piece_path(words[i], (0, 0), leave))
+            before, enter = (i, k), leave
+        return out
 
     def passes(self, s: str, k: int) -> bool:
         """Whether every path passes a place inside a text."""
@@ -407,9 +486,9 @@ def _long(texts: DataFrame, folder: str, name: str) -> DataFrame:
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = normalised(text)
-                n = -(-len(s) // CHUNK)
+                n = -(-len(s) // PART)
                 for k in range(n):
-                    a, z = k * CHUNK, min(len(s), (k + 1) * CHUNK)
+                    a, z = k * PART, min(len(s), (k + 1) * PART)
                     low, high = max(0, a - m.longest - 1), min(len(s), z + m.longest + 1)
                     row = [[key], [k], [n], [low], [a - low], [z - low], [high == len(s)], [s[low:high]]]
                     kinds = (pa.binary(), *[pa.int32()] * 5, pa.bool_(), pa.string())
@@ -461,7 +540,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = T
     new = [to, *([decoded] if decoded else [])]
     kept = [c for c in docs.columns if c not in new]
     base = docs.select(*kept)
-    is_long = F.coalesce(F.length(text) >= CHUNK, F.lit(False))
+    giant = F.coalesce(F.length(text) >= PART, F.lit(False))
     fields = [T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
     schema = T.StructType([*[docs.schema[c] for c in kept], *fields[: len(new)]])
 
@@ -472,9 +551,9 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = T
             more = [pa.array([None if x is None else m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids), *more], [*kept, *new])
 
-    short = base.where(~is_long).mapInArrow(go, schema)
+    short = base.where(~giant).mapInArrow(go, schema)
     key = F.unhex(F.md5(F.col(text).cast("binary")))
-    long_ = base.where(is_long)
+    long_ = base.where(giant)
     ids = _long(long_.select(key.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]), folder, name)
     joined = long_.join(ids.withColumnsRenamed({"key": "_key", "ids": "_ids"}), key == F.col("_key")).select(*kept, F.col("_ids").alias(to))
     return short.unionByName(decode(joined, to, decoded, folder, name) if decoded else joined)

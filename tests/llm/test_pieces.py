@@ -61,7 +61,8 @@ def test_scan_is_associative(m):
 
 
 def test_columns(spark, library, monkeypatch):
-    monkeypatch.setattr(P, "CHUNK", 50)
+    monkeypatch.setattr(P, "PART", 50)
+    monkeypatch.setattr(P, "CHUNK", 20)
     r = random.Random(9)
     texts = [None, "", " ", "a", "  two  spaces ", "tion" * 400, text(r, 300), text(r, 300), "=" * 999, " " * 333, "x " * 200, "日" * 120]
     texts += [texts[6], texts[6]]
@@ -74,3 +75,35 @@ def test_columns(spark, library, monkeypatch):
     both = P.encode(d, decoded="decoded")
     assert sorted(map(repr, both.collect())) == sorted(map(repr, P.decode(P.encode(d)).select(*both.columns).collect()))
     assert P.encode(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 16, 50])
+def test_batches_by_chunks(m, library, size, monkeypatch):
+    """Whole texts go through matrices, scan and backtrace, however small the chunks; words longer than several chunks, too."""
+    monkeypatch.setattr(P, "CHUNK", size)
+    r = random.Random(size)
+    texts = [None, "", "a", *(text(r, 80) for _ in range(20)), "internationalisationofthewholething" * 4, LONG * 9 + " " + "=" * 70 + "\n" + "日本" * 30]
+    got = m.encode_batch(texts)
+    assert got[0] is None and [x.tolist() for x in got[1:]] == [library.encode(t) for t in texts[1:]]
+
+
+def test_words_are_forgotten(m, library, monkeypatch):
+    monkeypatch.setattr(P, "WORDS", 20)
+    monkeypatch.setattr(P, "CUTS", 5)
+    monkeypatch.setattr(P, "CHUNK", 7)
+    r = random.Random(3)
+    for _ in range(30):
+        t = " ".join("".join(r.choice("etaoin") for _ in range(r.randint(1, 9))) for _ in range(40))
+        assert m.encode_batch([t])[0].tolist() == library.encode(t)
+
+
+def test_documents_have_several_chunks(m, monkeypatch):
+    """On the driver's table most texts are cut, so that the scan decides between states."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    scans, inner = [], P.cut_states
+    monkeypatch.setattr(P, "cut_states", lambda x: scans.append(len(x)) or inner(x))
+    m.encode_batch(texts)
+    assert sum(scans) + len(texts) - len(scans) == sum(max(1, -(-len(P.normalised(t)) // P.CHUNK)) for t in texts)
+    assert len(scans) > len(texts) / 2
