@@ -60,3 +60,59 @@ def test_query(spark, tmp_path):
     got = sorted(P.op5_pii(spark, str(tmp_path)).collect())
     assert (got[0].n_email, got[0].n_ip, got[0].spans) == (1, 1, "email:0:8,ip:13:21")
     assert got[0].base_sha256 == hashlib.sha256(b"email:0:8,ip:13:21").hexdigest() and got[1].spans == "" and len(got) == 3
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        text = "é4 a@b.de, " * n
+        d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        x = P.find_pii(d).select("pii_email").first().pii_email
+        y = P.redact(d).first().text
+        took.append(time.time() - began)
+        assert len(x) == n and (x[-1].start, x[-1].end) == (len(text) - 8, len(text) - 2)
+        assert y == "é4 <EMAIL>, " * n
+    assert took[1] < 8 * max(took[0], 1), took  # sixteen times as long if it were quadratic
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, P.BLOCK - 1, P.BLOCK, P.BLOCK + 1, 3 * P.BLOCK + 5):
+        d = spark.createDataFrame([([(7 * k) % 11 for k in range(n)],)], "v array<int>")
+        got = d.select(P.running(F.col("v"), lambda x: x, lambda a, b: a + b).alias("s"), P.running(F.col("v"), lambda x: x, F.greatest).alias("m")).first()
+        v = [(7 * k) % 11 for k in range(n)]
+        assert got.s == [sum(v[:k]) for k in range(n)] and got.m == [max(v[:k], default=0) for k in range(n)]
+
+
+def test_secrets(spark):
+    t = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and API_KEY: abcdefghij0123456789, token = short'
+    x = P.find_pii(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+    assert [t[s.start : s.end] for s in x.pii_secret] == ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962', "API_KEY: abcdefghij0123456789"]
+    assert all(0 <= s.score <= 1 for k in P.PATTERNS for s in x[f"pii_{k}"])
+
+
+def test_redact_keeps_clashing_columns(spark):
+    rows = [(1, "mail a.b@c.de", 3, "own", "mine", "r")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, pii_email string, _new string, redacted string")
+    x = P.redact(d).first()
+    assert (x.text, x.pii_email, x._new, x.redacted, x.n_chars) == ("mail <EMAIL>", "own", "mine", "r", 12)
+
+
+def test_redact_overlaps(spark):
+    """Against a walk over the spans by hand."""
+    r = random.Random(8)
+    parts = ["+1.2.3.4.56789", " ", "4111 1111 1111 1111", "a@1.2.3.4", "x.y@z.de", "+49 30 123456-78", "é", "10.0.0.1", " 12"]
+    texts = ["".join(r.choice(parts) for _ in range(12)) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x.doc_id: sorted((s.start, -s.end, s.kind) for k in P.PATTERNS for s in x[f"pii_{k}"]) for x in P.find_pii(d).collect()}
+    for x in P.redact(d).collect():
+        t, at, out = texts[x.doc_id], 0, ""
+        for s, e, k in spans[x.doc_id]:
+            if s >= at:
+                out += t[at:s] + f"<{k.upper()}>"
+            at = max(at, -e)
+        assert x.text == out + t[at:]
