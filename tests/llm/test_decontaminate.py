@@ -63,11 +63,12 @@ def test_against_brute_force(seed):
     assert n > 5
 
 
-def test_unfolded():
+def test_places():
     t = "  Ab\n\t cÉ  d"
     f = D.fold(t)
     a = f.index("é".encode())
-    assert D.unfolded(t, a, a + 2) == (8, 9) and t[8] == "É"
+    p = D.places(t)
+    assert len(p) == len(f) and p[a] == p[a + 1] == 8 and t[8] == "É"
 
 
 def test_query(spark):
@@ -98,3 +99,52 @@ def test_long_text():
     t = text(r, 60_000) + " " + item
     assert [h[0] for h in D.Index([(1, D.fold(item))]).hits([D.fold(t)])[0]] == [1]
     assert np.array_equal(D._grams(np.frombuffer(b"abcdefghij", np.uint8)), [int.from_bytes(b"abcdefghij"[k : k + 8], "little") for k in range(3)])
+
+
+def test_common_words_stay_bounded():
+    """Items that share frequent words: what is looked at together stays bounded, and little is aligned."""
+    import resource
+    import time
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    items = [(k, D.fold(f"which of the {word()} of the {word()} {word()} is one of the {word()} of the {word()}")) for k in range(5000)]
+    index = D.Index(items)
+    texts = [D.fold(" ".join(r.choice(["of the", word(), word(), word(), word()]) for _ in range(700))) for _ in range(4)] + [b"x " + items[7][1] + b" y"]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    got = index.hits(texts)
+    assert 7 in [h[0] for h in got[-1]] and not any(got[:-1])
+    assert time.time() - began < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+@pytest.mark.parametrize("bound", [1, 50, 10**9])
+def test_halving_changes_nothing(bound, monkeypatch):
+    monkeypatch.setattr(D, "OCCURRENCES", bound)
+    r = random.Random(12)
+    items = [(k, D.fold("".join(r.choice("abc de") for _ in range(r.randint(3, 60))))) for k in range(40)]
+    texts = []
+    for _ in range(15):
+        t = "".join(r.choice("abc de") for _ in range(r.randint(0, 900)))
+        for _, x in r.sample(items, 3):
+            x = x.decode()
+            k = r.randrange(len(x) + 1)
+            t += " " + x[:k] + r.choice(["", "z"]) + x[k:] + " " + "q" * r.randint(0, 300)
+        texts.append(D.fold(t))
+    got = D.Index(items).hits(texts)
+    monkeypatch.setattr(D, "OCCURRENCES", 1 << 20)
+    assert got == D.Index(items).hits(texts) and any(got)
+
+
+def test_drop_leaks_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "nothing of it", 5, "a"), (2, "here is the answer to the question of the day, all of it", 6, "b")], "doc_id long, text string, leaks int, _leaks string")
+    items = spark.createDataFrame([(1, "the answer to the question of the day"), (None, None)], "item_id long, text string")
+    assert [tuple(r) for r in D.drop_leaks(docs, items).collect()] == [(1, "nothing of it", 5, "a")]
+
+
+def test_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 200)
+    docs = spark.createDataFrame([(k, f"some words before question number {k} about the thing {k * 7919} and after") for k in range(12)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"question number {k} about the thing {k * 7919}") for k in range(12)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items).where("edits = 0").collect()}
+    assert got >= {(k, k) for k in range(12)}
