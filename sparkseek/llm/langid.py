@@ -9,7 +9,8 @@ exact sum. The shortest code wins; the score is its posterior among the language
 
 Texts are scored lower case, in UTF-8, whole, after `ORDER` line feeds. Defined results: `und` with score 0 for null, empty
 and letterless texts, and for all if there is nothing to learn from; ties go to the language first by name; extra columns
-pass through (of a name that clashes with an output, the output stays); rows may repeat; empty tables give empty results.
+pass through (of a name that clashes with an output, the output stays); very long texts are scored whole, piece by piece; rows may repeat; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkseek.llm.common import held_out, table
+from sparkseek.llm.common import fresh_name, held_out, table, task_of
 
 ORDER = 4
-#: Bounds of the labelled sample of each language: documents, and their characters (of longer ones, the beginning is taken).
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: Bounds of the labelled sample of each language: documents, and their characters (of longer ones, the beginning is taken); and of all
+#: languages together, which bounds the model. Many languages share it: first by shorter beginnings, `LEAST_CHARS` at least, then by fewer documents.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, LEAST_CHARS = 400, 20_000, 32_000_000, 2_000
 #: Languages whose code lengths share a table; each table has a column for each, so more of them would waste memory.
 GROUP = 8
 #: Bytes scored at once.
-PIECE = 1 << 21
+PIECE = 1 << 20
 UND = "und"
 
 
@@ -135,15 +137,23 @@ class Model:
         return sums
 
 
+def sample_size(n_languages: int) -> tuple[int, int]:
+    """Documents of each language, and their characters, so that all languages keep within `SAMPLE_ALL`."""
+    chars = max(LEAST_CHARS, min(SAMPLE_CHARS, SAMPLE_ALL // (SAMPLE_DOCS * max(1, n_languages))))
+    return max(1, min(SAMPLE_DOCS, SAMPLE_ALL // (chars * max(1, n_languages)))), chars
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """Counts over at most `SAMPLE_DOCS` labelled texts of each language that aren't held out; None if there are none."""
     size = F.length(text)
     known = docs.where(F.col(lang).isNotNull() & ~held_out(doc_id) & (F.col(lang) != UND) & (size > 0))
+    n_languages = known.agg(F.count_distinct(lang)).first()[0]
+    n_docs, n_chars = sample_size(n_languages)
     # Twice the sample by a threshold, so that the exact choice sorts a bounded number of rows. A language has one row here.
-    per = known.groupBy(F.col(lang).alias("lang")).agg(F.least(F.lit(1.0), 2.0 * SAMPLE_DOCS / F.count(F.lit(1))).alias("share"))
+    per = known.groupBy(F.col(lang).alias("lang")).agg(F.least(F.lit(1.0), 2.0 * n_docs / F.count(F.lit(1))).alias("share"))
     order = F.xxhash64(F.col(doc_id).cast("string"), F.lit(17))
-    piece = F.substring(F.col(text), 1, SAMPLE_CHARS)
-    some = known.select(F.col(lang).alias("lang"), piece.alias("text"), (size > SAMPLE_CHARS).alias("long"), order.alias("order")).join(F.broadcast(per), "lang")
+    piece = F.substring(F.col(text), 1, n_chars)
+    some = known.select(F.col(lang).alias("lang"), piece.alias("text"), (size > n_chars).alias("long"), order.alias("order")).join(per, "lang")
     some = some.where(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     # Beginnings of long texts where there are too few others.
     ranked = some.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("long", "order", "text")).alias("n"))
@@ -160,7 +170,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                 keys, n = np.unique(g, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    counted = ranked.where(F.col("n") <= SAMPLE_DOCS).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    counted = ranked.where(F.col("n") <= n_docs).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(got):
         return None
@@ -175,9 +185,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         [*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    flag = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    flag = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(fresh_name(docs, "letters")))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("langid")
         m = shared.value
         for b in batches:
             texts = b.column(kept.index(text)).to_pylist()

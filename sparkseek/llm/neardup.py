@@ -12,7 +12,9 @@ however large, give a row per node, and no link between nodes that share a bucke
 
 Defined results: a class is named by its least doc_id; texts of fewer than `WORDS` words are one shingle; texts without words
 (null, empty, punctuation only) are a class together; a null doc_id has a null class; rows that share a doc_id share its class;
-extra columns are ignored by `classes` and kept by `deduplicate`; empty tables give empty results.
+extra columns are ignored by `classes` and kept by `deduplicate`, whatever their names; very long texts are used whole, and
+compared in blocks that hold few of them; empty tables give empty results; links whose components haven't settled after 60
+rounds (each at least halves long chains) raise RuntimeError.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import table
+from sparkseek.llm.common import caches, fresh_name, table, task_of
 from sparkseek.llm.components import components
 from sparkseek.session import materialise
 
@@ -36,13 +38,15 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Components that agree of 130, for nodes in different components: five deviations below what similarity 0.8 gives.
 ALIKE = 80
-#: Nodes of a bucket compared with each other in one task.
-BLOCK = 2048
+#: Nodes of a bucket, and characters of their texts, compared with each other in one task.
+BLOCK, BLOCK_CHARS = 2048, 16 << 20
 #: Characters of text whose signatures are made together.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _WORD = re.compile(r"\w+")
 _U = np.uint64
+#: Hashes of words met before; dropped when they are many, and when the worker turns to another operator.
 _HASHES: dict[str, int] = {}
+caches("neardup", _HASHES.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +61,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _hashed(words: list[str]) -> list[int]:
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     get = _HASHES.get
     out = []
@@ -153,6 +157,7 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, key (of the text's words), band keys (null for a text without words) and the signature with a byte for each component."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("neardup")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             i = 0
@@ -168,10 +173,10 @@ def signed(docs: DataFrame, text: str = "text") -> DataFrame:
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()), mask=pa.array([not w for w in words])
                 )
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(keys, pa.binary()), flat, pa.array([r.tobytes() for r in short], pa.binary())], ["doc_id", "key", "bands", "short"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(keys, pa.binary()), flat, pa.array([r.tobytes() for r in short], pa.binary()), pa.array([len(t or "") for t in texts[i:j]], pa.int64())], ["doc_id", "key", "bands", "short", "size"])
                 i = j
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(go, "doc_id long, key binary, bands array<long>, short binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(go, "doc_id long, key binary, bands array<long>, short binary, size long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every row with a doc_id, and verified links between nodes that connect what is similar."""
     sig = materialise(signed(docs, text).where(F.col("doc_id").isNotNull()), "signed")
-    nodes = sig.groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("short", "doc_id").alias("short"))
+    nodes = sig.groupBy("key").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("short", "doc_id").alias("short"), F.max("size").alias("size"))
     nodes = materialise(nodes, "nodes")
     members = sig.select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node")
     rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
@@ -220,8 +225,10 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     comp = components(found)
     # What one centre could not tell: nodes of a bucket in different components.
     placed = near.join(comp.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("band", "n")
-    left = placed.join(mixed, "band").join(nodes.select("node", "short", "bands"), "node").join(texts, "node").select("band", "n", "node", "c", "short", "bands", "text")
+    placed = placed.join(nodes.select("node", "short", "bands", "size"), "node")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_CHARS))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), blocks.alias("blocks")).where("c0 < c1").select("band", "blocks")
+    left = placed.join(mixed, "band").join(texts, "node").select("band", "blocks", "node", "c", "short", "bands", "text")
     return members, found.unionByName(materialise(_joined_up(left), "verified"))
 
 
@@ -229,9 +236,9 @@ def _joined_up(rows: DataFrame) -> DataFrame:
     """Verified links between nodes of one bucket and different components: all that are needed to connect them.
 
     Pairs whose signatures agree in `ALIKE` components or more are verified, the most alike first, unless links found before
-    already connect them; each in the first bucket that they share. Buckets of more than `BLOCK` nodes are cut into blocks at
-    random, and each pair of blocks is compared by itself."""
-    blocks = F.ceil(F.col("n") / BLOCK)
+    already connect them; each in the first bucket that they share. Buckets of more than `BLOCK` nodes or `BLOCK_CHARS` characters are cut
+    into blocks at random, and each pair of blocks is compared by itself."""
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("node", F.lit(5)), blocks)
     data = ("node", "c", "short", "bands", "text")
     dealt = rows.withColumn("own", own).select(
@@ -311,10 +318,11 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     """The row of each class with the least doc_id; of rows that repeat that doc_id, one. Rows without doc_id stay."""
-    keep = classes(docs, text).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    got = docs.join(keep, "doc_id").select(*[docs[c] for c in docs.columns], "_n")
-    once = got.where("_n = 1").drop("_n")
-    return once.unionByName(got.where("_n > 1").dropDuplicates(["doc_id"]).drop("_n")).unionByName(docs.where(F.col("doc_id").isNull()))
+    n, key = fresh_name(docs, "n_rows"), fresh_name(docs, "class_id")
+    keep = classes(docs, text).where("doc_id = class_id").groupBy(F.col("class_id").alias(key)).agg(F.count(F.lit(1)).alias(n))
+    got = docs.join(keep, F.col("doc_id") == F.col(key)).drop(key)
+    once = got.where(F.col(n) == 1).drop(n)
+    return once.unionByName(got.where(F.col(n) > 1).dropDuplicates(["doc_id"]).drop(n)).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

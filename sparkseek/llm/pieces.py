@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm.common import table
+from sparkseek.llm.common import caches, table, task_of
 
 TOKENIZERS = os.environ.get("SPARKSEEK_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
@@ -457,7 +457,17 @@ def cut_states(matrices: list[tuple]) -> list[State]:
 _MODELS: dict[str, Model] = {}
 
 
+def _forget() -> None:
+    for m in _MODELS.values():
+        for kept in (m._words, m._older, m._cuts, m._pairs):
+            kept.clear()
+
+
+caches("pieces", _forget)
+
+
 def model(folder: str, name: str) -> Model:
+    task_of("pieces")
     path = os.path.join(folder, name)
     if path not in _MODELS:
         _MODELS[path] = Model(path)

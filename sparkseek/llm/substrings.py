@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import table
+from sparkseek.llm.common import table, task_of
 from sparkseek.session import materialise
 
 LENGTH, GRAM = 400, 32
@@ -291,6 +291,7 @@ def _repeats(stretches: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["key", "first", "last"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("substrings")
         rows: list[tuple] = []
         size = 0
         for b in batches:

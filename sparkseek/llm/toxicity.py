@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm.common import held_out, table
+from sparkseek.llm.common import held_out, table, task_of
 
 #: Bounds of what is learnt: documents of either label, characters of each, candidates and entries of the lexicon.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_CANDIDATES, MAX_ENTRIES = 6000, 20_000, 20_000, 500
@@ -134,7 +134,7 @@ class Scorer:
         low = text.lower()
         words = _WORD.findall(low)
         seen, match = self.seen, self.automaton.match
-        if len(seen) > 1_000_000:
+        if len(seen) > 200_000:
             seen.clear()
         hits = []
         for i, w in enumerate(words):
@@ -286,6 +286,7 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]] | None, text: st
     )
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("toxicity")
         s = Scorer(model[0]) if model else None
         for b in batches:
             texts = b.column(kept.index(text)).to_pylist()
