@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -18,6 +24,7 @@ def ship(spark: SparkSession) -> None:
 
     The zip goes through Spark's own file server, so executors need no shared folder and a
     replacement for a lost executor fetches it again."""
+    bounded_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_sparkseek_shipped", False):
         return
@@ -36,12 +43,26 @@ def ship(spark: SparkSession) -> None:
     sc._sparkseek_shipped = True
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers and come back are bounded by bytes, not by rows alone: rows here are whole texts.
+    A smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").strip().lower()
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = now.removesuffix("b")
+    size = int(number[:-1]) * unit[number[-1]] if number[-1:] in unit else int(number)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own
-    only where that is unset (tests, a single machine)."""
+    only where that is unset and all run on this machine; on a cluster that is an error."""
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not got:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="sparkseek-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(got)
@@ -54,10 +75,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written = threading.local()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors,
-    and keeps column pruning and filters for the readers."""
+    and keeps column pruning and filters for the readers. Inside `scratch()` the table goes when that ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkseek-{name}-{uuid.uuid4().hex}"
+    if getattr(_written, "paths", None) is not None:
+        _written.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end; results have to be written by then."""
+    outer, _written.paths = getattr(_written, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _written.paths = _written.paths, outer
+        for path in paths:
+            delete(spark, path)
