@@ -32,6 +32,8 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, LEAST_CHARS = 400, 20_000, 32_000_000, 2_000
 #: Languages whose code lengths share a table; each table has a column for each, so more of them would waste memory.
 GROUP = 8
+#: Languages whose shares of the sample (a row each) are broadcast; beyond, they are joined.
+MANY = 10_000
 #: Bytes scored at once.
 PIECE = 1 << 20
 UND = "und"
@@ -153,6 +155,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     per = known.groupBy(F.col(lang).alias("lang")).agg(F.least(F.lit(1.0), 2.0 * n_docs / F.count(F.lit(1))).alias("share"))
     order = F.xxhash64(F.col(doc_id).cast("string"), F.lit(17))
     piece = F.substring(F.col(text), 1, n_chars)
+    per = F.broadcast(per) if n_languages <= MANY else per
     some = known.select(F.col(lang).alias("lang"), piece.alias("text"), (size > n_chars).alias("long"), order.alias("order")).join(per, "lang")
     some = some.where(F.pmod("order", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     # Beginnings of long texts where there are too few others.

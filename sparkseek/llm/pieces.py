@@ -40,7 +40,7 @@ MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk, and of what is dealt out of a giant text to other tasks.
 CHUNK, PART = 1024, 32_768
 #: Characters of texts coded at once, and words and cuts of words remembered; they bound a worker's memory.
-SLICE, WORDS, CUTS = 1 << 21, 150_000, 50_000
+SLICE, WORDS, CUTS = 1 << 22, 200_000, 50_000
 #: Longer stretches are coded by themselves.
 _WORD = 64
 SPACE = "▁"
@@ -232,10 +232,36 @@ class Model:
         if got is None:
             if len(self._cuts) > CUTS:
                 self._cuts.clear()
-            left, right, rows = self.matrix(word, k, len(word)) if leading else self.matrix(word, 0, k)
-            got = self._cuts[key] = (left, rows[0]) if leading else (right, sum((bits & 1) << j for j, bits in enumerate(rows)))
+            states = self.states(word, k)
+            if states == [(k, k)]:
+                got = states, 1
+            elif leading:
+                got = states, self._leading(word, states)
+            else:
+                got = states, self._reached(word, states)
+            self._cuts[key] = got
         return got
 
+    def _reached(self, word: str, states: list[State]) -> int:
+        """Bits of the states that a path from the word's beginning reaches: the row that a matrix has for it."""
+        first = min(a for a, _ in states)
+        at = self.reach(word, {(0, 0): 1}, max(1, max(a for a, _ in states))) if first or len(states) > 1 else {0: {-1: 1}}
+        bits = 0
+        for j, (a, b) in enumerate(states):
+            i = self.id[word[a:b]]
+            if any(own and (self.whole(i) if p < 0 else self.pair(p, i)) for p, own in at.get(a, {}).items()):
+                bits |= 1 << j
+        return bits
+
+    def _leading(self, word: str, states: list[State]) -> int:
+        """Bits of the states from which a path leads to the word's end."""
+        n = len(word)
+        at = self.reach(word, {x: 1 << j for j, x in enumerate(states)}, n)
+        bits = 0
+        for own in at.get(n, {}).values():
+            bits |= own
+        return bits
+
     def _piece_path(self, word: str, enter: State, leave: State) -> tuple[int, ...]:
         key = (word, enter, leave)
         got = self._cuts.get(key)
