@@ -38,7 +38,7 @@ from sparkseek.llm.common import caches, table, task_of
 TOKENIZERS = os.environ.get("SPARKSEEK_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk, and of what is dealt out of a giant text to other tasks.
-CHUNK, PART = 1024, 32_768
+CHUNK, PART = 1280, 32_768
 #: Characters of texts coded at once, and words and cuts of words remembered; they bound a worker's memory.
 SLICE, WORDS, CUTS = 1 << 22, 200_000, 50_000
 #: Longer stretches are coded by themselves.
@@ -215,7 +215,7 @@ class Model:
             self._older, self._words = self._words, {}
         known, older = self._words, self._older
         new = every.difference(known)
-        again = new.intersection(older)
+        again = [w for w in new if w in older]
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         known.update(self.words(new.difference(again)))
 
@@ -266,7 +266,12 @@ class Model:
         key = (word, enter, leave)
         got = self._cuts.get(key)
         if got is None:
-            got = self._cuts[key] = tuple(self.trace(word, enter, leave, enter[1], leave[1]))
+            if enter == (0, 0) and leave[0] > 0:  # one path leads to each place
+                own = (self.id[word[leave[0] : leave[1]]],) if leave[1] > leave[0] else ()
+                got = (*self.segment(word[: leave[0]]), *own)
+            else:
+                got = tuple(self.trace(word, enter, leave, enter[1], leave[1]))
+            self._cuts[key] = got
         return got
 
     def chunks(self, words: list[str]) -> list:
