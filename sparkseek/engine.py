@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkseek import schemas
 from sparkseek.functions import scalars as S
 from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, router, sync, vector
-from sparkseek.operators.embed import Embedder, HashingEmbedder, QueryCache, embed_chunks
+from sparkseek.operators.embed import CACHED, Embedder, HashingEmbedder, QueryCache, embed_chunks, embed_queries
 from sparkseek.operators.store import Store
 from sparkseek.sources import files as sources
 from sparkseek.sources import walk
@@ -113,13 +114,15 @@ class Engine:
         stale = gone.select("path").union(rows.select("path"))
         if mode == "reindex":
             stale = stale.union(self.store.table("files").join(known.select("path"), "path", "left_anti").select("path"))
-        chunks = self.store.table("chunks").join(stale.distinct(), "path", "left_anti")
+        stale = materialise(stale.distinct(), "stale")
+        touched, old = self.store.bucketed(stale.union(made.select("path")))
+        chunks = old.join(stale, "path", "left_anti")
         chunks = chunks.unionByName(made.join(rows.select("path", F.col("transient").alias("_t")), "path").withColumn("transient", F.col("_t")).select(*chunks.columns))
         quarantine = bad_files.union(self.spark.createDataFrame(bad, "path string, reason string")).withColumn("time", F.current_timestamp())
         now = int(time.time())
         kept = self.store.table("roots").join(expired.select("root"), "root", "left_anti")
         new = ok_roots.join(kept, "root", "left_anti").join(expired.select("root"), "root", "left_anti").withColumn("last_access", F.lit(now if transient else None).cast("bigint"))
-        self.store.commit(chunks=chunks, files=out, identity=self._identity(), roots=kept.unionByName(new), quarantine=quarantine)
+        self.store.commit(touched, chunks=chunks, files=out, identity=self._identity(), roots=kept.unionByName(new), quarantine=quarantine)
         summary |= {"indexed": rows.count(), "chunks": made.count(), "quarantined": quarantine.count(), "elapsed": time.time() - began}
         return summary
 
@@ -139,27 +142,48 @@ class Engine:
         return self.spark.createDataFrame([(k, t, scope) for k, t in enumerate(texts)], "query_id int, query string, scope string")
 
     def _lexical(self, queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-        return {"path": lexical.ranked(paths.path_arm(queries, chunks)), "bm25": lexical.ranked(lexical.bm25(queries, chunks))}
+        """Whole arms: fusion needs every rank. Words are looked up in the stored postings."""
+        return {"path": lexical.ranked(paths.path_arm(queries, chunks)), "bm25": lexical.ranked(lexical.bm25_stored(queries, *self.store.postings()))}
+
+    def _embedded(self, queries: DataFrame) -> DataFrame:
+        """query_id, embedding, scope; worked out here, so that an embedder that fails does so now. Few queries go through the cache, many to
+        the executors."""
+        rows = queries.select("query_id", "query", "scope").limit(CACHED + 1).collect()
+        if len(rows) <= CACHED:
+            return self.spark.createDataFrame([(r.query_id, list(self.cache.get(r.query)), r.scope) for r in rows], "query_id int, embedding array<double>, scope string")
+        return materialise(embed_queries(queries.select("query_id", "query", "scope"), self.embedder).drop("query"), "embedded")
 
     def _vector(self, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-        rows = [(r.query_id, list(self.cache.get(r.query)), r.scope) for r in queries.collect()]
-        return vector.vector_arm(self.spark.createDataFrame(rows, "query_id int, embedding array<double>, scope string"), chunks, max(4 * k, 20))
+        return vector.vector_arm(self._embedded(queries), chunks, max(4 * k, 20))
 
     def search(self, queries: DataFrame, k: int | None = None, use_vector: bool = False) -> DataFrame:
         """Strong and weak results of a table of queries. Lexical first; queries without strong results, or all if asked, go on to
-        the vector arm. An embedder that fails leaves the lexical results."""
-        k = k or self.config["search"]["max_results"]
+        the vector arm, and only those are embedded. An embedder that fails leaves the lexical results. Transient roots that hold a query's
+        scope count as used."""
+        k, rrf_k = k or self.config["search"]["max_results"], self.config["search"]["rrf_k"]
+        self._use(queries)
         chunks = self.store.table("chunks")
-        arms = self._lexical(queries, chunks)
+        arms = {name: materialise(arm, name) for name, arm in self._lexical(queries, chunks).items()}
+        first = materialise(fuse.classify(fuse.fuse(arms, rrf_k), k), "first")
+        strong = first.where("class = 'strong'").select("query_id").distinct()
+        open_ = queries if use_vector else queries.join(strong, "query_id", "left_anti")
         try:
-            vec = self._vector(queries, chunks, k)
-        except Exception:
-            if use_vector:
-                return fuse.classify(fuse.fuse(arms, self.config["search"]["rrf_k"]), k)
-            raise
-        if use_vector:
-            return fuse.classify(fuse.fuse({**arms, "vec": vec}, self.config["search"]["rrf_k"]), k)
-        return fuse.two_phase(arms, vec, k)
+            vec = self._vector(open_, chunks, k)
+        except Exception as e:
+            warnings.warn(f"lexical results only: {e}", stacklevel=2)
+            return first
+        again = open_.select("query_id")
+        second = fuse.classify(fuse.fuse({name: arm.join(again, "query_id", "left_semi") for name, arm in arms.items()} | {"vec": vec}, rrf_k), k)
+        return first.join(again, "query_id", "left_anti").unionByName(second)
+
+    def _use(self, queries: DataFrame) -> None:
+        """A search below a transient root renews its last access."""
+        own = self.store.table("roots").where("last_access is not null").select("root")
+        if own.isEmpty():
+            return
+        used = own.join(F.broadcast(own.join(queries.select("scope").distinct(), S.under_scope(F.col("scope"), F.col("root")) & (F.col("scope") != ""), "left_semi")), "root")
+        for r in used.collect():  # roots are few
+            self.touch(r.root)
 
     def locate(self, texts: list[str] | str, scope: str = "", k: int | None = None) -> DataFrame:
         """query_id, class, rank, path, score, arms: files, best first."""
@@ -234,6 +258,35 @@ class Engine:
             "roots": [{"root": r, "chunks": counts.get(r, 0)} for r in self.roots()],
         }
 
+    def payload(self, query: str, scope: str = "") -> dict:
+        """What a program gets: results by class, and an outcome code: 0 strong results, 1 weak ones only, 2 nothing."""
+        rows = [r.asDict() for r in self.locate(query, scope).orderBy("class", "rank").collect()]
+        strong, weak = ([r for r in rows if r["class"] == c] for c in ("strong", "weak"))
+        out = {"query": query, "scope": scope, "results": strong, "weak_matches": weak, "code": 0 if strong else 1 if weak else 2}
+        return out if strong else out | {x: y for x, y in self.empty_message(query, scope).items() if x in ("message", "retry_global")}
+
+    def stale(self) -> bool:
+        """Whether a sync would change anything."""
+        got = self._run(self.roots(), "sync", dry_run=True)
+        return bool(got["would_index"]) or got["removed"] > 0
+
+    def reconcile(self) -> dict | None:
+        """Syncs if that would change anything; to be called on a trigger."""
+        return self.sync() if self.stale() else None
+
+    def act(self, said: str, scope: str = "") -> dict:
+        """Finds what an utterance asks for and does it: an action, and its result (None: nothing was found, or it is left to the caller)."""
+        row = self.ask(self.spark.createDataFrame([(said,)], "input string")).select("intent").first()
+        i = row.intent
+        if i is None:
+            return {"action": None, "result": None}
+        target = i.path or i.query or ""
+        done = {
+            "locate": lambda: self.payload(i.query or target, scope), "read": lambda: self.read(target, i.lines or "", scope), "excerpt": lambda: self.passage(i.query or target, scope=scope),
+            "open": lambda: self.resolve(target, scope), "copy": lambda: self.passage(target, scope=scope), "list": lambda: [r.asDict() for r in self.list_dir(i.path or scope or os.getcwd(), scope).collect()],
+        }
+        return {"action": i.action, "result": done[i.action]() if i.action in done else None}
+
     # --- intents and evaluation ---
 
     def ask(self, utterances: DataFrame, column: str = "input") -> DataFrame:
@@ -254,14 +307,18 @@ class Engine:
         def arms(q: DataFrame) -> dict[str, DataFrame]:
             return {**self._lexical(q, chunks), "vec": self._vector(q, chunks, 5)}
 
-        began = time.time()
         everywhere, scoped = arms(cases.withColumn("scope", F.lit(""))), arms(cases)
         every = materialise(fuse.fuse(everywhere), "eval")
-        latency = (time.time() - began) * 1000 / max(1, len(rows))
+        took = []
+        for k, r in enumerate(rows):  # each case by itself, as a user would wait for it
+            began = time.time()
+            self.search(self.queries(r.query), use_vector=True).collect()
+            took.append((k, (time.time() - began) * 1000))
+        latency = self.spark.createDataFrame(took, "query_id int, latency_ms double")
         full = every.where("rank <= 3").join(chunks.select("id", F.col("content").alias("excerpt")), "id")
         out = evaluation.hits_at(cases, every).join(evaluation.chunk_excerpt_hits(cases, full), "query_id")
         for name, arm in (("scoped", fuse.fuse(scoped)), ("bm25", everywhere["bm25"]), ("vec", everywhere["vec"])):
             h = evaluation.hits_at(cases, arm)
             out = out.join(h.select("query_id", F.col("hit_1").alias(f"{name}_1"), F.col("hit_3").alias(f"{name}_3")), "query_id")
-        return evaluation.locate_metrics(out.withColumn("latency_ms", F.lit(latency)))
+        return evaluation.locate_metrics(out.join(latency, "query_id"))
 

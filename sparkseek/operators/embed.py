@@ -9,10 +9,12 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 DOCUMENT, QUERY = "search_document: ", "search_query: "
 BATCH = 100
+#: Queries whose embeddings are kept on the driver.
+CACHED = 128
 
 
 class Embedder(Protocol):
@@ -57,8 +59,22 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "content") -
     return chunks.select(*names).mapInArrow(go, StructType([*fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
+def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
+    """Adds embedding to a table with a column query."""
+    names = queries.columns
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, BATCH):
+                part = b.slice(a, BATCH)
+                v = embedder.embed([QUERY + (t or "") for t in part.column(names.index("query")).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(np.asarray(v, np.float64)), pa.list_(pa.float64()))], [*names, "embedding"])
+
+    return queries.mapInArrow(go, StructType([*queries.schema.fields, StructField("embedding", ArrayType(DoubleType()))]))
+
+
 class QueryCache:
     """The last query embeddings."""
 
-    def __init__(self, embedder: Embedder, size: int = 128):
+    def __init__(self, embedder: Embedder, size: int = CACHED):
         self.get = lru_cache(size)(lambda q: tuple(float(x) for x in embedder.embed([QUERY + q])[0]))

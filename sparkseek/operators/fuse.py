@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -46,9 +47,11 @@ def strong_hits(arms: dict[str, DataFrame], k: int = STRONG_CAP) -> DataFrame:
     return classify(fuse(arms), k).where("class = 'strong'").groupBy("query_id").agg(F.count_distinct("path").alias("hits"))
 
 
-def two_phase(lexical: dict[str, DataFrame], vector: DataFrame, k: int = STRONG_CAP) -> DataFrame:
-    """Lexical results where a query has strong ones; the others are fused again with the vector arm."""
+def two_phase(lexical: dict[str, DataFrame], vector: DataFrame | Callable[[DataFrame], DataFrame], k: int = STRONG_CAP) -> DataFrame:
+    """Lexical results where a query has strong ones; the others are fused again with the vector arm. vector: the arm, or what makes it
+    from the query_ids that are done. Nothing of a query that is done goes into the second fusion."""
     first = classify(fuse(lexical), k)
     done = first.where("class = 'strong'").select("query_id").distinct()
-    second = classify(fuse({**lexical, "vec": vector}), k)
-    return first.join(done, "query_id", "left_semi").unionByName(second.join(done, "query_id", "left_anti"))
+    arms = {**lexical, "vec": vector(done) if callable(vector) else vector}
+    second = classify(fuse({name: arm.join(done, "query_id", "left_anti") for name, arm in arms.items()}), k)
+    return first.join(done, "query_id", "left_semi").unionByName(second)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.scalars import tokenize, under_scope
+from sparkseek.functions.sizes import if_small
 
 K1, B = 1.5, 0.75
+TERM_BUCKETS = 32
 
 
 def indexed_text() -> F.Column:
@@ -36,20 +38,46 @@ def document_frequency(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokenize(indexed_text()))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, scope, term, qtf. Terms that a query repeats count as often."""
+    return queries.select("query_id", "scope", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, id, path, score for all chunks with a score over 0 in the query's scope. df, n and avgdl are of the whole corpus.
-    Terms that a query repeats count as often.
 
-    The chunks are tokenised once; only terms of the queries leave the scan, counted where they are, and the statistics come
-    from the same aggregation of hits. Query terms are broadcast: they are the caller's own table of queries."""
-    q = queries.select("query_id", "scope", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "scope", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = q.select("term").distinct()
+    Without an index: the chunks are tokenised for the terms (only those of the queries leave the scan, counted where they are), and
+    once more for the statistics. `bm25_stored` serves the same from stored postings."""
+    q = query_terms(queries)
     t = tokenize(indexed_text())
     base = chunks.select("id", "path", t.alias("terms")).select("id", "path", F.size("terms").alias("dl"), "terms")
-    tf = base.select("id", "path", "dl", F.explode("terms").alias("term")).join(F.broadcast(wanted), "term").groupBy("term", "id", "path", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = if_small(q.select("term").distinct())
+    tf = base.select("id", "path", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("term", "id", "path", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return scores(q, tf, corpus_stats(chunks))
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def stored_form(chunks: DataFrame) -> DataFrame:
+    """Postings with the bucket of their term, by which they are written in folders of their own."""
+    return postings(chunks).withColumn("term_bucket", term_bucket(F.col("term")))
+
+
+def bm25_stored(queries: DataFrame, stored: DataFrame, stats: DataFrame) -> DataFrame:
+    """The same as `bm25` from postings in `stored_form`; folders that hold none of the queries' terms aren't read."""
+    q = query_terms(queries)
+    wanted = q.select("term", term_bucket(F.col("term")).alias("term_bucket")).distinct()
+    tf = stored.join(if_small(wanted), ["term_bucket", "term"]).select("term", "id", "path", "dl", "tf")
+    return scores(q, tf, stats)
+
+
+def scores(q: DataFrame, tf: DataFrame, stats: DataFrame) -> DataFrame:
+    """BM25 of hits (term, id, path, dl, tf: all chunks that have one of the terms). stats: one row of n and avgdl."""
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(chunks)
-    hits = tf.join(F.broadcast(df), "term").join(F.broadcast(q), "term").where(under_scope(F.col("path"), F.col("scope"))).crossJoin(F.broadcast(stats))
+    terms = if_small(q.join(df, "term"))
+    hits = tf.join(terms, "term").where(under_scope(F.col("path"), F.col("scope"))).crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id", "path").agg(F.sum(F.col("qtf") * weight).alias("score")).where("score > 0")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions.scalars import under_scope
+from sparkseek.functions.sizes import blocks
 
 FIRST, AFTER_SEPARATOR, CAMEL, ADJACENT, LEADING, LEADING_MOST = 10, 20, 20, 5, -5, -15
 SEPARATORS = frozenset("/-_ .\\")
@@ -24,10 +27,11 @@ def subsequence_pattern(query: F.Column) -> F.Column:
 
 
 def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, query, path, id of all files in scope that match. Queries are the caller's own small table."""
+    """query_id, query, path, id of all files in scope that match. Queries are broadcast, in blocks if there are many."""
     q = queries.where(F.length("query") > 0).withColumn("pattern", subsequence_pattern(F.col("query")))
-    pairs = files(chunks).join(F.broadcast(q), under_scope(F.col("path"), F.col("scope")) & F.expr("lower(path) rlike pattern"))
-    return pairs.select("query_id", "query", "path", "id")
+    own = files(chunks)
+    found = [own.join(F.broadcast(b), under_scope(F.col("path"), F.col("scope")) & F.expr("lower(path) rlike pattern")) for b in blocks(q, "query_id", 4096)]
+    return reduce(DataFrame.unionByName, found).select("query_id", "query", "path", "id")
 
 
 def fuzzy_score(query: str, path: str) -> int:

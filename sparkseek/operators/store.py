@@ -1,62 +1,138 @@
-"""Chunk store: Parquet tables in versioned folders, with a pointer that is swapped last."""
+"""Chunk store: Parquet tables in versioned folders, and numbered pointers of which the newest holds.
+
+Chunks lie in `BUCKETS` buckets by path, each with its own postings; what changes some files rewrites the buckets of their paths
+alone. A commit writes new folders, then one pointer under the next number, which must not exist: readers see all of a commit
+or none, at any time, and of two writers one fails. Folders that no pointer needs any more go with `vacuum`."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from sparkseek import schemas
+from sparkseek.operators import lexical
 
 TABLES = {"chunks": schemas.CHUNK, "files": schemas.FILE, "identity": schemas.IDENTITY, "roots": schemas.ROOT, "quarantine": schemas.QUARANTINE}
+BUCKETS = 16
+POSTINGS = "term string, id string, path string, dl int, tf bigint, term_bucket int"
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed in the meantime."""
+
+
+def path_bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
 
 
 class Store:
-    """All tables of one index. A commit writes what changed to a new folder and then replaces the pointer, so a reader sees all of
-    it or none."""
+    """All tables of one index."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self._fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-
-    def _pointer(self) -> dict[str, str]:
-        p = f"{self.folder}/current"
-        if not self._fs.exists(self._path(p)):
-            return {}
-        return json.loads(self.spark.read.text(p, wholetext=True).first()[0])
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(p)) if self._fs.exists(p) else []
+
+    def _pointer(self) -> tuple[int, dict]:
+        """The newest pointer's number and contents; 0 if there is none. One that was cut off while it was written is passed over."""
+        numbers = sorted((int(n.removeprefix("pointer-")) for n in self._names(self.folder) if n.startswith("pointer-")), reverse=True)
+        for n in numbers:
+            rows = self.spark.read.text(f"{self.folder}/pointer-{n:012d}", wholetext=True).take(1)
+            try:
+                return n, json.loads(rows[0][0])
+            except (IndexError, ValueError):
+                continue
+        return 0, {}
 
     def exists(self) -> bool:
-        return bool(self._pointer())
+        return bool(self._pointer()[1])
 
     def table(self, name: str) -> DataFrame:
         schema = _parse_datatype_string(TABLES[name])
-        at = self._pointer().get(name)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], schema)
-
-    def commit(self, **tables: DataFrame) -> None:
-        new = self._pointer()
+        at = self._pointer()[1].get(name)
+        folders = sorted(at.values()) if isinstance(at, dict) else [at] if at else []
+        return self._read(folders, schema)
+
+    def _read(self, folders: list[str], schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{x}" for x in folders]) if folders else self.spark.createDataFrame([], schema)
+
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """Stored postings, and one row of n and avgdl of all chunks."""
+        now = self._pointer()[1]
+        n, total = (sum(x) for x in zip(*now.get("lengths", {}).values(), strict=True)) if now.get("lengths") else (0, 0)
+        stats = self.spark.createDataFrame([(n, total / n if n else 0.0)], "n bigint, avgdl double")
+        own: dict[str, list[str]] = {}
+        for at in sorted(now.get("postings", {}).values()):
+            own.setdefault(at.split("/")[0], []).append(f"{self.folder}/{at}")
+        schema = _parse_datatype_string(POSTINGS)
+        # Each commit's folder is read by itself, so that the buckets of terms below it are told apart; there are `BUCKETS` at most.
+        parts = [self.spark.read.schema(schema).option("basePath", f"{self.folder}/{top}").parquet(*folders).select(*schema.fieldNames()) for top, folders in own.items()]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema), stats
+
+    def commit(self, touched: list[int] | None = None, **tables: DataFrame) -> None:
+        """Replaces whole tables; of the chunks only the buckets named in `touched` (None: all), which the given rows then fill."""
+        number, new = self._pointer()
         for name, df in tables.items():
-            cols = [f.name for f in _parse_datatype_string(TABLES[name]).fields]
+            out = df.select(*[f.name for f in _parse_datatype_string(TABLES[name]).fields])
+            if name == "chunks":
+                self._write_chunks(out, touched, new)
+                continue
             new[name] = f"{name}-{uuid.uuid4().hex}"
-            out = df.select(*cols)
-            (out.repartitionByRange("path").sortWithinPartitions("path") if name == "chunks" else out).write.parquet(f"{self.folder}/{new[name]}")
-        tmp, current = self._path(f"{self.folder}/.next-{uuid.uuid4().hex}"), self._path(f"{self.folder}/current")
-        stream = self._fs.create(tmp, True)
+            out.write.parquet(f"{self.folder}/{new[name]}")
+        p = self._path(f"{self.folder}/pointer-{number + 1:012d}")
+        try:
+            stream = self._fs.create(p, False)
+        except Exception as e:  # a Java exception: the number is taken
+            raise Conflict(f"pointer {number + 1} of {self.folder} exists") from e
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(tmp, current)
+
+    def _write_chunks(self, rows: DataFrame, touched: list[int] | None, new: dict) -> None:
+        at = f"chunks-{uuid.uuid4().hex}"
+        rows.withColumn("bucket", path_bucket(F.col("path"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(f"{self.folder}/{at}")
+        written = self.spark.read.schema(_parse_datatype_string(TABLES["chunks"] + ", bucket int")).parquet(f"{self.folder}/{at}")
+        own = f"postings-{uuid.uuid4().hex}"
+        stored = lexical.stored_form(written).withColumn("bucket", path_bucket(F.col("path")))
+        stored.repartition("bucket", "term_bucket").sortWithinPartitions("bucket", "term_bucket", "term").write.partitionBy("bucket", "term_bucket").parquet(f"{self.folder}/{own}")
+        lengths = lexical.doc_lengths(written).groupBy(path_bucket(F.col("path")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).collect()
+        gone = range(BUCKETS) if touched is None else touched
+        for key, folder in (("chunks", at), ("postings", own)):
+            keep = {k: v for k, v in new.get(key, {}).items() if int(k) not in gone}
+            new[key] = keep | {x.removeprefix("bucket="): f"{folder}/{x}" for x in self._names(f"{self.folder}/{folder}") if x.startswith("bucket=")}
+        new["lengths"] = {k: v for k, v in new.get("lengths", {}).items() if int(k) not in gone} | {str(r.bucket): [r.n, r.total] for r in lengths}
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Deletes what the newest `keep` pointers don't need; nobody may still read older ones."""
+        names = self._names(self.folder)
+        pointers = [n for n in names if n.startswith("pointer-")]
+        needed: set[str] = set(pointers[-keep:])
+        for p in pointers[-keep:]:
+            rows = self.spark.read.text(f"{self.folder}/{p}", wholetext=True).take(1)
+            for at in json.loads(rows[0][0]).values() if rows else ():
+                needed |= {x.split("/")[0] for x in (at.values() if isinstance(at, dict) else [at]) if isinstance(x, str)}
+        for n in names:
+            if n not in needed and n.split("-")[0] in {"pointer", "postings", *TABLES}:
+                self._fs.delete(self._path(f"{self.folder}/{n}"), True)
+
+    def bucketed(self, paths: DataFrame) -> tuple[list[int], DataFrame]:
+        """The buckets of some paths, and the chunks that lie in them."""
+        touched = sorted(r[0] for r in paths.select(path_bucket(F.col("path")).alias("b")).distinct().collect())
+        at = self._pointer()[1].get("chunks", {})
+        return touched, self._read([v for k, v in sorted(at.items()) if int(k) in touched], _parse_datatype_string(TABLES["chunks"]))
 
     def add(self, chunks: DataFrame) -> None:
-        """Upsert by id."""
-        old = self.table("chunks")
-        self.commit(chunks=old.join(chunks.select("id"), "id", "left_anti").select(*old.columns).unionByName(chunks.select(*old.columns)))
+        """Upsert by id. An id belongs to one path."""
+        touched, old = self.bucketed(chunks)
+        self.commit(touched, chunks=old.join(chunks.select("id"), "id", "left_anti").select(*old.columns).unionByName(chunks.select(*old.columns)))
 
     def delete(self, where: dict | None = None, contains: str | None = None, ids: list[str] | None = None) -> None:
         """By equality of columns, by content, or by ids; what is given has to hold together."""
@@ -68,7 +144,9 @@ class Store:
         if ids is not None:
             gone = gone & F.col("id").isin(*ids)
         if where or contains or ids is not None:
-            self.commit(chunks=self.table("chunks").where(~F.coalesce(gone, F.lit(False))))
+            gone = F.coalesce(gone, F.lit(False))
+            touched, old = self.bucketed(self.table("chunks").where(gone))
+            self.commit(touched, chunks=old.where(~gone))
 
 
 def by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkseek.functions.scalars import cosine, under_scope
+from sparkseek.functions.sizes import blocks
 from sparkseek.operators.lexical import ranked
 
 
 def vector_arm(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, id, path, score, rank. queries: query_id, embedding, scope; the caller's own small table, broadcast to all chunks.
+    """query_id, id, path, score, rank. queries: query_id, embedding, scope; broadcast to all chunks, in blocks if there are many.
     The scope is applied before the top-k, which is exact; Spark keeps k rows of each query per task before it shuffles."""
-    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), "scope")
-    pairs = chunks.where(F.col("embedding").isNotNull()).join(F.broadcast(q), under_scope(F.col("path"), F.col("scope")))
-    return ranked(pairs.select("query_id", "id", "path", cosine(F.col("embedding"), F.col("q_embedding")).alias("score")), k)
+    own = chunks.where(F.col("embedding").isNotNull())
+
+    def arm(q: DataFrame) -> DataFrame:
+        pairs = own.join(F.broadcast(q), under_scope(F.col("path"), F.col("scope")))
+        return ranked(pairs.select("query_id", "id", "path", cosine(F.col("embedding"), F.col("q_embedding")).alias("score")), k)
+
+    return reduce(DataFrame.unionByName, map(arm, blocks(queries.select("query_id", F.col("embedding").alias("q_embedding"), "scope"), "query_id", 4096)))

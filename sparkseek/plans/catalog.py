@@ -4,12 +4,16 @@ A document is a file /source/lang/doc<id>.txt with one chunk; its vector, if any
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions import scalars as S
 from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, router, store, sync, vector
+from sparkseek.session import materialise, shared_dir
+from sparkseek.sources import files as sources
 from sparkseek.sources import walk
 
 QUERIES: dict = {}
@@ -96,12 +100,29 @@ def _(spark, d):
     return lexical.document_frequency(chunks(spark, d)).orderBy(F.desc("df"), "term").limit(50)
 
 
+_STORED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _stored_bm25(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    """BM25 from postings that are written once for the documents as they are (by their files' names, sizes and times)."""
+    docs = table(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *sorted((str(r.path), r.size, r.time) for r in docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().toDF("path", "size", "time").collect()))
+    if key not in _STORED:
+        own = lexical.stored_form(chunks(spark, d).select("id", "path", "content"))
+        at = f"{shared_dir(spark)}/sparkseek-postings-{uuid.uuid4().hex}"
+        own.repartition("term_bucket").sortWithinPartitions("term").write.partitionBy("term_bucket").parquet(at)
+        # A chunk without tokens has no postings, but counts.
+        stats = materialise(lexical.corpus_stats(chunks(spark, d)), "stats")
+        _STORED[key] = spark.read.schema(store.POSTINGS).parquet(at), stats
+    return lexical.bm25_stored(queries, *_STORED[key])
+
+
 def _bm25(k: int, extra: str = "") -> str:
     return f"WITH {BM25} SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bmr WHERE rank <= {k}{extra}"
 
 
 def _bm25_rows(spark, d, k: int) -> DataFrame:
-    return lexical.ranked(lexical.bm25(searches(spark), chunks(spark, d)), k).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    return lexical.ranked(_stored_bm25(spark, d, searches(spark)), k).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_topk", _bm25(10))
@@ -109,10 +130,16 @@ def _(spark, d):
     return _bm25_rows(spark, d, 10)
 
 
+@query("bm25_unindexed", _bm25(10))
+def _(spark, d):
+    got = lexical.ranked(lexical.bm25(searches(spark), chunks(spark, d)), 10)
+    return got.select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_scoped_topk", _bm25(10, " AND query_id IN (3, 4)"))
 def _(spark, d):
     q = searches(spark).where("scope <> ''")
-    return lexical.ranked(lexical.bm25(q, chunks(spark, d)), 10).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    return lexical.ranked(_stored_bm25(spark, d, q), 10).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_dup_terms", _bm25(5, " AND query_id = 4"))
@@ -175,7 +202,7 @@ def _(spark, d):
 
 
 FUSED = f"""{BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
-  u AS (SELECT query_id, id, path, rank, 'bm25' AS arm FROM bmr WHERE rank <= 100 UNION ALL SELECT query_id, id, path, rank, 'vec' FROM vr WHERE rank <= 32),
+  u AS (SELECT query_id, id, path, rank, 'bm25' AS arm FROM bmr UNION ALL SELECT query_id, id, path, rank, 'vec' FROM vr WHERE rank <= 32),
   f00 AS (SELECT query_id, id, path, sum(1.0 / (60 + rank)) AS score, count(*) AS n_arms, min(rank) AS best_rank, list(DISTINCT arm) AS arms0 FROM u GROUP BY query_id, id, path),
   f0 AS (SELECT * EXCLUDE (arms0), list_filter(['path', 'bm25', 'vec'], lambda x: list_contains(arms0, x)) AS arms FROM f00),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f0),
@@ -188,7 +215,7 @@ _SHOW = "query_id, id, path, round(score, 6) AS score, CAST(n_arms AS INT) AS n_
 def _arms(spark, d) -> dict[str, DataFrame]:
     """Path and BM25 arms come whole; the vector arm has its k, and fusion its cap."""
     q, c = searches(spark), chunks(spark, d)
-    return {"path": lexical.ranked(paths.path_arm(q, c)), "bm25": lexical.ranked(lexical.bm25(q, c)), "vec": _vec(spark, d, 32)}
+    return {"path": lexical.ranked(paths.path_arm(q, c)), "bm25": lexical.ranked(_stored_bm25(spark, d, q)), "vec": _vec(spark, d, 32)}
 
 
 def _show(df: DataFrame) -> DataFrame:
@@ -230,9 +257,9 @@ def _(spark, d):
 
 
 @query("two_phase_search", f"""WITH {BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
-  l AS (SELECT query_id, id, path, 1.0 / (60 + rank) AS score, rank AS best_rank, rank, CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM bmr WHERE rank <= 100 AND query_id <> 1),
+  l AS (SELECT query_id, id, path, 1.0 / (60 + rank) AS score, rank AS best_rank, rank, CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM bmr),
   l2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, class ORDER BY best_rank) AS r FROM l), done AS (SELECT DISTINCT query_id FROM l WHERE class = 'strong'),
-  u AS (SELECT query_id, id, path, rank FROM bmr WHERE rank <= 100 AND query_id <> 1 UNION ALL SELECT query_id, id, path, rank FROM vr WHERE rank <= 32),
+  u AS (SELECT query_id, id, path, rank FROM bmr UNION ALL SELECT query_id, id, path, rank FROM vr WHERE rank <= 32),
   f0 AS (SELECT query_id, id, path, sum(1.0 / (60 + rank)) AS score, count(*) AS n_arms, min(rank) AS best_rank FROM u WHERE query_id NOT IN (SELECT query_id FROM done) GROUP BY ALL),
   f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f0),
   k0 AS (SELECT *, CASE WHEN n_arms >= 2 OR best_rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM f WHERE rank <= 500),
@@ -441,9 +468,11 @@ def _(spark, d):
     return sync.run_summary(sync.classify_changes(seen, known), gone)
 
 
-@query("is_stale", f"WITH {_STATUS} SELECT count(*) FILTER (status <> 'unchanged') > 0 AS stale FROM st")
+@query("is_stale", f"WITH {_STATUS} SELECT count(*) FILTER (status <> 'unchanged') > 0 OR (SELECT count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM labels)) > 0 AS stale FROM st")
 def _(spark, d):
-    return sync.classify_changes(_seen(spark, d), _recorded(spark, d)).agg((F.count_if(F.col("status") != "unchanged") > 0).alias("stale"))
+    seen, known = _seen(spark, d), _recorded(spark, d)
+    gone = sync.orphans(seen, known, spark.createDataFrame([("/",)], "root string"))
+    return spark.createDataFrame([(sync.is_stale(sync.classify_changes(seen, known), gone),)], "stale boolean")
 
 
 @query("roots_merge", "SELECT DISTINCT root FROM (SELECT '/' || source AS root FROM documents UNION ALL SELECT '/' || source || '/' || lang FROM documents UNION ALL SELECT '/' || source FROM documents)")
@@ -631,9 +660,17 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", S.format_duration((F.col("event_id") % 5000).cast("double") / 1000 + 0.0001).alias("shown"))
 
 
-@query("list_dir", f"WITH {C} SELECT source AS dir, lang AS name, count(*) AS chunks FROM c GROUP BY source, lang ORDER BY source, lang")
+@query("list_dir", f"""WITH {C}, e AS (SELECT string_split(path, '/')[-1] AS name, path, false AS is_dir, CAST(length(content) AS BIGINT) AS size FROM c WHERE source = 'src1'
+    UNION ALL SELECT DISTINCT lang, '/src1/' || lang, true, CAST(NULL AS BIGINT) FROM c WHERE source = 'src1')
+    SELECT name, path, is_dir, size, CAST(CASE WHEN path IN (SELECT path FROM c JOIN labels USING (doc_id)) THEN 1 ELSE 0 END AS INT) AS chunks, NOT (path = '/src1/en' OR starts_with(path, '/src1/en/')) AS outside_scope FROM e""")
 def _(spark, d):
-    return chunks(spark, d).groupBy(F.col("source").alias("dir"), F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("chunks")).orderBy("dir", "name")
+    # The documents of a source and their directories; on record are those with labels.
+    own = chunks(spark, d)
+    here = own.where("source = 'src1'")
+    entries = here.select(S.base_name(F.col("path")).alias("name"), "path", F.lit(False).alias("is_dir"), F.length("content").cast("long").alias("size"))
+    folders = here.select(F.col("lang").alias("name"), S.dir_name(F.col("path")).alias("path"), F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size")).distinct()
+    files = own.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id").select("path", F.array("id").alias("chunks"))
+    return sources.listed(entries.unionByName(folders), files, "/src1/en")
 
 
 @query("bm25_batch_200", f"""WITH {C}, q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_CLASS}')) AS term FROM benchmark) GROUP BY ALL),
@@ -645,4 +682,4 @@ def _(spark, d):
 def _(spark, d):
     # Every benchmark item as a query, in one batch.
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("").alias("scope"))
-    return lexical.ranked(lexical.bm25(q, chunks(spark, d)), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return lexical.ranked(_stored_bm25(spark, d, q), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")

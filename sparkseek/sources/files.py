@@ -123,9 +123,13 @@ def list_directory(spark: SparkSession, path: str, files: DataFrame, scope: str
     for e in os.scandir(path):
         is_dir = e.is_dir()
         rows.append((e.name, e.path, is_dir, None if is_dir else e.stat().st_size))
+    return listed(spark.createDataFrame(rows, "name string, path string, is_dir boolean, size bigint"), files, scope)
+
+
+def listed(entries: DataFrame, files: DataFrame, scope: str = "") -> DataFrame:
+    """The entries of a directory with what is on record for them. files: path, chunks (ids)."""
     from sparkseek.functions.scalars import under_scope
 
-    entries = spark.createDataFrame(rows, "name string, path string, is_dir boolean, size bigint")
     counts = files.select("path", F.size("chunks").alias("n"))
     got = entries.join(counts, "path", "left").withColumn("chunks", F.coalesce("n", F.lit(0))).drop("n")
     return got.withColumn("outside_scope", ~under_scope(F.col("path"), F.lit(scope))).orderBy(F.desc("is_dir"), "name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import re
+import stat
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,135 +36,105 @@ class Excludes:
         return Excludes(list(self.dirs), self.files + [x for x in parts if glob(x)], self.paths + [x for x in parts if not glob(x)])
 
 
-def glob_match(pattern: str, name: str) -> bool:
-    """A pattern without ** whose stars stop at slashes, or a directory that the name lies under."""
-    return _compiled(pattern).fullmatch(name) is not None or name.startswith(pattern + "/")
+def _glob(pattern: str) -> str:
+    """A regular expression for a pattern without **, whose stars stop at slashes."""
+    tokens = re.findall(r"(?s)\[..*?\]|.", pattern)
+    return "".join("[^/]*" if t == "*" else "[^/]" if t == "?" else t.replace("\\", "\\\\") if len(t) > 1 else re.escape(t) for t in tokens)
 
 
-_GLOBS: dict[str, re.Pattern] = {}
+def _matcher(pattern: str) -> str:
+    """What the pattern means itself, or anything below a directory of that name."""
+    return rf"(?:{_glob(pattern)}|{re.escape(pattern)}/.*)"
 
 
-def _compiled(pattern: str) -> re.Pattern:
-    if pattern not in _GLOBS:
-        out, i = "", 0
-        while i < len(pattern):
-            c = pattern[i]
-            z = pattern.find("]", i + 2) if c == "[" else -1
-            if z > 0:
-                body = pattern[i + 1 : z].replace("\\", "\\\\")
-                out, i = out + f"[{body}]", z
-            else:
-                out += "[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)
-            i += 1
-        _GLOBS[pattern] = re.compile(out)
-    return _GLOBS[pattern]
+def glob_match(pattern: str, name: str) -> bool:
+    return re.fullmatch(_matcher(pattern), name, re.S) is not None
 
 
 @dataclass(frozen=True)
-class Rule:
-    pattern: str
-    negate: bool = False
-    dir_only: bool = False
-    anchored: bool = False
-
-    @classmethod
-    def parse(cls, line: str) -> Rule:
-        negate, line = line.startswith("!"), line.removeprefix("!")
-        dir_only, line = line.endswith("/"), line[:-1] if line.endswith("/") else line
-        return cls(line.removeprefix("/"), negate, dir_only, "/" in line)
-
-
-@dataclass
-class Ignorer:
-    """Rules of a directory and of those above it; the last rule that matches decides."""
-
-    excludes: Excludes
-    directory: str
-    rules: list[Rule] = field(default_factory=list)
-    parent: Ignorer | None = None
-
-    def push(self, directory: str) -> Ignorer:
-        rules = []
-        try:
-            with open(os.path.join(directory, IGNORE_FILE), encoding="utf-8", errors="replace") as f:
-                rules = [Rule.parse(s) for x in f if (s := x.strip()) and not s.startswith("#")]
-        except OSError:
-            pass
-        return Ignorer(self.excludes, directory, rules, self)
-
-    def hardcoded(self, path: str, is_dir: bool) -> bool:
-        name = os.path.basename(path)
-        if is_dir:
-            return name in DIRS
-        ext = re.search(r"(\.[^.]*)?$", name)[0].lower()
-        secret = name == "credentials" and os.path.basename(os.path.dirname(path)) == ".aws"
-        return ext in MEDIA or name in NAMES or name.startswith(".env") or secret
-
-    def configured(self, path: str, is_dir: bool) -> bool:
-        name = os.path.basename(path)
-        own = self.excludes.dirs if is_dir else self.excludes.files
-        return any(glob_match(p, name) for p in own) or any(path.startswith(os.path.expanduser(p)) for p in self.excludes.paths)
-
-    def ignored(self, path: str, is_dir: bool) -> bool:
-        if self.hardcoded(path, is_dir) or self.configured(path, is_dir):
-            return True
-        chain: list[Ignorer] = []
-        node: Ignorer | None = self
-        while node:
-            chain.append(node)
-            node = node.parent
-        out = False
-        for node in reversed(chain):
-            for r in node.rules:
-                if r.dir_only and not is_dir:
-                    continue
-                name = os.path.relpath(path, node.directory) if r.anchored else os.path.basename(path)
-                if not (r.anchored and name.startswith("..")) and glob_match(r.pattern, name):
-                    out = not r.negate
-        return out
+class Verdict:
+    """A row of the table of rules: which full paths it speaks of, and what it says of them."""
+
+    paths: re.Pattern
+    ignore: bool
+    directories_only: bool = False
+
+
+def _either(choices: list[str]) -> str:
+    return "|".join(choices) or "(?!)"
+
+
+def fixed_rules(excludes: Excludes) -> dict[bool, re.Pattern]:
+    """Of files (False) and directories (True): paths that are left out whatever ignore files say."""
+    name = lambda own: rf"(?:.*/)?(?:{_either(own)})"
+    below = [re.escape(os.path.expanduser(p)) + ".*" for p in excludes.paths]
+    media = [rf"(?i:[^/]*{re.escape(x)})" for x in MEDIA]
+    files = [*media, *map(re.escape, NAMES), r"\.env[^/]*", *map(_glob, excludes.files)]
+    directories = [*map(re.escape, DIRS), *map(_glob, excludes.dirs)]
+    return {
+        False: re.compile(_either([name(files), r"(?:.*/)?\.aws/credentials", *below]), re.S),
+        True: re.compile(_either([name(directories), *below]), re.S),
+    }
+
+
+def ignore_rules(directory: str) -> tuple[Verdict, ...]:
+    """The rows that a directory's ignore file adds. A rule with a slash speaks of places from its directory on, another one of any
+    name below it."""
+    try:
+        with open(os.path.join(directory, IGNORE_FILE), encoding="utf-8", errors="replace") as f:
+            lines = [x for x in map(str.strip, f) if x and not x.startswith("#")]
+    except OSError:
+        return ()
+    out = []
+    for negate, body, slash in (re.fullmatch(r"(!?)(.*?)(/?)", x).groups() for x in lines):
+        own = _matcher(body.removeprefix("/")) if "/" in body else rf"(?:.*/)?(?:{_glob(body)})"
+        out.append(Verdict(re.compile(re.escape(directory.rstrip("/")) + "/" + own, re.S), not negate, bool(slash)))
+    return tuple(out)
 
 
 def walk(roots: list[str], excludes: Excludes | None = None, follow_symlinks: bool = False) -> Iterator[tuple[str, int, int]]:
     """(path, size, mtime in ns), by name. A file that two roots or two links lead to comes once. A root that is no readable directory
-    raises; an unreadable directory below it is passed over, and the rest of the root goes on."""
+    raises; an unreadable directory below it is passed over, and the rest of the root goes on.
+
+    What is still to be looked at waits in a list, each path with the table of rules of the directories above it, in order; the
+    last one that speaks of a path decides."""
+    fixed = fixed_rules(excludes or Excludes())
     seen: set[tuple[int, int]] = set()
 
-    def go(directory: str, rules: Ignorer, top: bool) -> Iterator[tuple[str, int, int]]:
-        try:
-            entries = sorted(os.scandir(directory), key=lambda e: e.name)
-        except OSError:
-            if top:
-                raise
-            return
-        for e in entries:
-            path = e.path
+    def children(directory: str, rules: tuple[Verdict, ...]) -> list[tuple[str, tuple[Verdict, ...]]]:
+        with os.scandir(directory) as entries:
+            known = [(e.name, os.path.realpath(e.path) if e.is_symlink() else e.path) for e in entries if follow_symlinks or not e.is_symlink()]
+        table = rules + ignore_rules(directory)
+        return [(path, table) for _, path in sorted(known, reverse=True)]
+
+    for root in roots:
+        root = os.path.abspath(os.path.expanduser(root))
+        st = os.stat(root)
+        if (st.st_dev, st.st_ino) in seen:
+            continue
+        seen.add((st.st_dev, st.st_ino))
+        waiting = children(root, ())
+        while waiting:
+            path, table = waiting.pop()
             try:
-                if e.is_symlink():
-                    if not follow_symlinks:
-                        continue
-                    path = os.path.realpath(path)
                 st = os.stat(path)
             except OSError:
                 continue
+            folder = stat.S_ISDIR(st.st_mode)
             if (st.st_dev, st.st_ino) in seen:
                 continue
             seen.add((st.st_dev, st.st_ino))
-            is_dir = os.path.isdir(path)
-            if rules.ignored(path, is_dir):
+            spoken = (v.ignore for v in reversed(table) if (folder or not v.directories_only) and v.paths.fullmatch(path))
+            if fixed[folder].fullmatch(path) or next(spoken, False):
                 continue
-            if is_dir:
-                yield from go(path, rules.push(path), False)
-            elif os.path.isfile(path):
+            if folder:
+                try:
+                    waiting += children(path, table)
+                except OSError:
+                    continue
+            elif stat.S_ISREG(st.st_mode):
                 yield path, st.st_size, st.st_mtime_ns
 
-    for root in roots:
-        root = os.path.abspath(os.path.expanduser(root))
-        st = os.stat(root)
-        if (st.st_dev, st.st_ino) in seen:
-            continue
-        seen.add((st.st_dev, st.st_ino))
-        yield from go(root, Ignorer(excludes or Excludes(), root).push(root), True)
-
 
 def walk_df(spark: SparkSession, roots: list[str], excludes: Excludes | None = None, follow_symlinks: bool = False) -> DataFrame:
     rows = list(walk(roots, excludes, follow_symlinks))

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkseek.engine import Engine, IdentityError
 from sparkseek.operators.embed import HashingEmbedder
@@ -87,3 +88,54 @@ def test_streaming(spark, tmp_path):
     assert [os.path.basename(p) for p in got] == ["a.txt", "b.txt"]
     e = spark.sql("select timestamp'2024-01-01 00:05:00' ts, 'x' event_type, 2.0D value union all select timestamp'2024-01-01 00:07:00', 'x', 3.0D")
     assert event_counts(e).first().n == 2
+
+
+def test_search_without_embedder(spark, tree, tmp_path):
+    """Strong lexical results need no embedder; where it is asked for and fails, the lexical results stay."""
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index([str(tree)])
+    asked = []
+
+    def broken(q):
+        asked.append(q)
+        raise OSError("no embedder")
+
+    e.cache.get = broken
+    assert e.locate("eviction idleness").where("class = 'strong'").count() and asked == []
+    with pytest.warns(UserWarning, match="lexical results only"):
+        assert e.locate("zz-nothing-like-it").count() == 0
+    assert len(asked) == 1
+    with pytest.warns(UserWarning):
+        assert e.search(e.queries("eviction idleness"), use_vector=True).where("class = 'strong'").count()
+
+
+def test_search_renews_transient_roots(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index([str(tree)], transient=True)
+    roots = e.store.table("roots").withColumn("last_access", F.lit(5).cast("long"))
+    e.store.commit(roots=roots)
+    e.locate("eviction")
+    assert e.store.table("roots").first().last_access == 5
+    e.locate("eviction", scope=str(tree / "docs"))
+    assert e.store.table("roots").first().last_access > 5
+
+
+def test_actions_and_payloads(spark, tree, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index([str(tree)])
+    got = e.payload("eviction idleness")
+    assert got["code"] == 0 and got["results"][0]["path"] == str(tree / "docs/cache.md")
+    none = e.payload("zz-nothing", scope=str(tree / "docs" / "none"))
+    assert none["code"] == 2 and not none["results"] and "message" in none
+    assert not e.stale() and e.reconcile() is None
+    (tree / "new.md").write_text("# New\n\nA file that has just come into being, with words of its own.\n")
+    assert e.stale() and e.reconcile()["added"] == 1
+    done = e.act(f"open {tree}/main.py")
+    assert done["action"] == "open" and done["result"][0] == str(tree / "main.py")
+
+
+def test_latency_is_of_each_case(spark, tree, tmp_path):
+    cases = tmp_path / "cases.jsonl"
+    cases.write_text("".join('{"query": "%s", "expect_path": "main.py"}\n' % q for q in ("server", "parser tokens")))
+    m = Engine(spark, str(tmp_path / "store")).eval_locate(str(cases), str(tree)).first()
+    assert 0 < m.p50_ms < m.p95_ms

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkseek.functions import scalars as S
 from sparkseek.operators import chunking as C
 from sparkseek.operators import excerpt, fuse, router, sync
+from sparkseek.operators import lexical
 from sparkseek.operators.store import Store
 from sparkseek.schemas import LOCATOR
 from sparkseek.sources import files, walk
@@ -302,6 +303,37 @@ def test_store(spark, tmp_path):
     assert s.table("chunks").count() == 0 and s.exists()
 
 
+def test_store_commits(spark, tmp_path):
+    """A commit rewrites the buckets of its paths alone; readers see the newest whole pointer; one of two writers fails."""
+    import json
+
+    from sparkseek.operators.store import Conflict
+
+    s = Store(spark, str(tmp_path / "s"))
+    schema = "id string, path string, ordinal int, content string, embedding array<float>, locator " + LOCATOR + ", transient boolean"
+    row = lambda i, t: (f"i{i}", f"/{i}", 0, t, None, ("line_range", 1, 1, ""), False)
+    s.add(spark.createDataFrame([row(k, f"text{k} common") for k in range(60)], schema))
+    first = s._pointer()
+    s.add(spark.createDataFrame([row(7, "other common")], schema))
+    number, now = s._pointer()
+    moved = [k for k in now["chunks"] if now["chunks"][k] != first[1]["chunks"][k]]
+    assert number == first[0] + 1 and len(moved) == 1 and len(now["chunks"]) > 5
+    stored, stats = s.postings()
+    assert stored.where("term = 'common'").count() == 60 and stored.where("term = 'text7'").count() == 0 and stats.first().n == 60
+    q = spark.createDataFrame([(1, "other common", "")], "query_id int, query string, scope string")
+    a = {r.id: round(r.score, 9) for r in lexical.bm25_stored(q, stored, stats).collect()}
+    assert a == {r.id: round(r.score, 9) for r in lexical.bm25(q, s.table("chunks")).collect()} and len(a) == 60
+    late = Store(spark, str(tmp_path / "s"))
+    late._pointer = lambda: first
+    with pytest.raises(Conflict):
+        late.delete(ids=["i1"])
+    (tmp_path / "s" / f"pointer-{number + 1:012d}").write_text(json.dumps(now)[:20])  # cut off
+    assert s._pointer()[0] == number and s.table("chunks").count() == 60
+    (tmp_path / "s" / f"pointer-{number + 1:012d}").unlink()
+    s.vacuum(keep=1)
+    assert s.table("chunks").count() == 60 and s.postings()[0].where("term = 'common'").count() == 60
+
+
 def test_budget(spark):
     df = spark.createDataFrame([(1, k, "x" * 20) for k in (1, 2, 3)], "query_id int, rank int, content string")
     assert [C.token_budget(df, 5, m).count() for m in (25, 20, 19, 4)] == [3, 3, 2, 0]
