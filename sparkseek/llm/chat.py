@@ -13,7 +13,7 @@ Template of a turn: a head (`### System:`, `### User:`, `### Assistant:`, or `##
 and a line feed. In texts, `\\` and every control string get a backslash before them.
 
 Defined results: null text is empty; a null role counts as empty and is written by the general head; rows are ordered by
-turn (null first), then role, then text, and repeated rows are turns of their own; a null conv_id is a conversation of its
+turn (null first), then role, then the first 16 hex digits of their text's SHA-256, and repeated rows are turns of their own; a null conv_id is a conversation of its
 own; a conversation without assistant text has 0 loss characters; extra columns are ignored; empty tables give empty results.
 """
 

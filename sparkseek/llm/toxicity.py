@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from sparkseek.llm.common import held_out, table, task_of
 
-#: Bounds of what is learnt: documents of either label, characters of each, candidates and entries of the lexicon.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_CANDIDATES, MAX_ENTRIES = 6000, 20_000, 20_000, 500
+#: Bounds of the labelled sample: documents of either label, and characters of each. They bound the lexicon, too: every entry covers a toxic
+#: document of the sample that none before it covers, and a candidate has to occur in many of them.
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 STEMS = range(3, 8)
 FUZZY_FROM = 5
 WINDOW = 4
@@ -189,7 +190,7 @@ def choose(docs: np.ndarray, words: np.ndarray, names: list[str], others: np.nda
     left, out = np.ones(n_toxic, bool), []
     rank = np.array([(not x.endswith("*"), len(x)) for x in names], dtype=[("whole", bool), ("n", int)])
     rank = np.argsort(np.argsort(rank, order=("whole", "n"), kind="stable"))
-    while len(out) < MAX_ENTRIES:
+    while True:
         use = left[docs]
         a = np.bincount(words[use], minlength=len(names)).astype(float)
         g = _surprise(a, WARY * others, share)  # of what isn't covered yet
@@ -246,11 +247,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]] |
             return None
         share = n[True] / (n[True] + n[False])
         counts = sample.mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        # Far above chance even for the luckiest of a million candidates; the driver gets the best of them only.
+        # Far above chance even for the luckiest of a million candidates; the driver gets these only.
         least = math.log(BY_CHANCE)
         g = F.col("a") * F.log(F.col("a") / ((F.col("a") + F.col("b")) * share)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / ((F.col("a") + F.col("b")) * (1 - share)))).otherwise(0.0)
         best = counts.where((F.col("a") > 0) & (F.col("a") > (F.col("a") + F.col("b")) * max(share, 0.5))).withColumn("g", g).where(F.col("g") >= least)
-        cand = best.orderBy(F.desc("g"), "f").limit(MAX_CANDIDATES).select("f", "b").toPandas()
+        cand = best.orderBy(F.desc("g"), "f").select("f", "b").toPandas()
         names = cand["f"].tolist()
         index = {f: i for i, f in enumerate(names)}
 

@@ -9,7 +9,8 @@ WARC-Concurrent-To, gathered by one grouping with partial aggregation.
 Defined results: a null html is an empty payload, a null url an empty target; a null page_id stays null and never is the
 one referred to (a payload seen only with null ids is a response each time); rows that repeat a page_id with the largest
 id of their payload are all responses; requests and metadata without a capture yield no row; empty tables give empty
-results; extra columns of the input are ignored.
+results; extra columns of the input are ignored; a record that can't be read becomes one of type `damaged`, which belongs to no
+capture, and the others of its archive are read; headers and fields that aren't UTF-8 are taken as Latin-1.
 """
 
 from __future__ import annotations
@@ -118,41 +119,79 @@ def write_archives(pages: DataFrame, name: str = "warc") -> DataFrame:
     return materialise(rows.mapInArrow(_pack, ARCHIVE_SCHEMA), name)
 
 
-def _members(data: bytes, step: int = 1 << 14) -> Iterator[bytes]:
-    """Gzip members, fed piece by piece: what a member leaves over is copied, so it has to stay small."""
+def _members(data: bytes, step: int = 1 << 14) -> Iterator[bytes | None]:
+    """Gzip members, fed piece by piece: what a member leaves over is copied, so it has to stay small. A member that is damaged or
+    ends early is None; reading goes on where the next one seems to begin."""
     view, at = memoryview(data), 0
     while at < len(view):
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            piece = view[at : at + step]
-            if not piece:
-                raise ValueError("the archive ends early")
-            out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        yield b"".join(out)
+        z, out, begin = zlib.decompressobj(31), [], at
+        try:
+            while not z.eof:
+                piece = view[at : at + step]
+                if not piece:
+                    raise zlib.error("the archive ends early")
+                out.append(z.decompress(piece))
+                at += len(piece) - len(z.unused_data)
+        except zlib.error:
+            yield None
+            at = data.find(b"\x1f\x8b\x08", begin + 1)
+            if at < 0:
+                return
+        else:
+            yield b"".join(out)
+
+
+def _decoded(raw: bytes) -> str:
+    """UTF-8, or Latin-1 where it isn't."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+_DAMAGED: tuple[dict[str, list[str]], bytes] = ({"warc-type": ["damaged"]}, b"")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """Records of one archive (gzip members, or plain) in order."""
+    """Records of one archive (gzip members, or plain) in order. What can't be read yields a record of type `damaged`: a member that
+    doesn't unpack, and bytes without a WARC header or a usable Content-Length (with them the rest of their member)."""
     raw = _members(data) if data[:2] == b"\x1f\x8b" else iter([data])
     for text in raw:
+        if text is None:
+            yield _DAMAGED
+            continue
         at = 0
         while at < len(text):
-            end = text.index(b"\r\n\r\n", at)
-            version, *lines = text[at:end].decode().split("\r\n")
-            if not version.startswith("WARC/"):
-                raise ValueError(f"not a WARC record: {version[:40]!r}")
+            end = text.find(b"\r\n\r\n", at)
+            version, *lines = _decoded(text[at : max(end, at)]).split("\r\n")
             head: dict[str, list[str]] = {}
             for x in lines:
                 k, _, v = x.partition(":")
                 head.setdefault(k.strip().lower(), []).append(v.strip())
-            n = int(head["content-length"][0])
-            yield head, text[end + 4 : end + 4 + n]
-            at = end + 4 + n
+            size = _whole(head.get("content-length", [""])[0])
+            if not version.startswith("WARC/") or size is None or end + 4 + size > len(text):
+                yield _DAMAGED
+                break
+            yield head, text[end + 4 : end + 4 + size]
+            at = end + 4 + size
             while text[at : at + 2] == b"\r\n":
                 at += 2
 
 
+def _whole(s: str) -> int | None:
+    return int(s) if re.fullmatch(r"[0-9]{1,18}", s) else None
+
+
+def _hex_digest(said: str) -> str | None:
+    """A SHA-1 digest as it stands in a header, base 32 or hexadecimal, as lower-case hexadecimal; None if it is neither."""
+    kind, _, value = said.partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value).hex() if re.fullmatch(r"[A-Z2-7]{32}", value) else None
+
+
 def _row(head: dict[str, list[str]], block: bytes, with_payload: bool) -> tuple:
     """In the order of RECORD_SCHEMA."""
     get = lambda k: head[k][0] if k in head else None
@@ -167,11 +206,10 @@ def _row(head: dict[str, list[str]], block: bytes, with_payload: bool) -> tuple:
         if kind == "response":
             n, digest, payload = len(body), hashlib.sha1(body).hexdigest(), body if with_payload else None
         else:  # what the stored headers say of the full payload
-            n = next((int(x.partition(":")[2]) for x in lines if x.lower().startswith("content-length:")), None)
-            said = get("warc-payload-digest") or ""
-            digest = base64.b32decode(said[5:]).hex() if said.startswith("sha1:") else None
+            n = next((_whole(x.partition(":")[2].strip()) for x in lines if x.lower().startswith("content-length:")), None)
+            digest = _hex_digest(get("warc-payload-digest") or "")
     elif kind == "metadata":
-        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in block.decode().split("\r\n") if x)]
+        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in _decoded(block).split("\r\n") if x)]
     to = [x.strip("<>") for x in head.get("warc-concurrent-to", ())]
     return (get("warc-record-id") or "").strip("<>"), kind, to, get("warc-target-uri"), get("warc-date"), status, list(dict(fields).items()), n, digest, payload
 

@@ -1,8 +1,6 @@
 import gzip
 import hashlib
 
-import pytest
-
 from sparkseek.llm import warc as W
 
 
@@ -13,8 +11,30 @@ def test_records():
     assert [h["warc-type"][0] for h, _ in got] == ["response", "request", "metadata", "revisit", "request", "metadata"]
     assert got[0][1].endswith("é body".encode()) and got[1][1].startswith(b"GET /c?d HTTP/1.1\r\nHost: a.b")
     assert [h for h, _ in W.parse_archive(gzip.decompress(recs[0]) + gzip.decompress(recs[1]))] == [h for h, _ in got[:2]]
-    with pytest.raises(ValueError):
-        list(W.parse_archive(data[:-40]))
+    assert [h["warc-type"][0] for h, _ in W.parse_archive(data[:-40])] == ["response", "request", "metadata", "revisit", "request", "damaged"]
+
+
+def test_damaged_records(spark):
+    good = W.capture_records("k", 7, "http://a/b", b"body", None)
+    odd = [b"WARC/1.0\r\nWARC-Type: response\r\n\r\nno length", b"WARC/1.0\r\nContent-Length: many\r\n\r\nx", b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort", b"not a record", b"<html>\r\n\r\n</html>"]
+    latin = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Target-URI: http://a/\xe9\r\nContent-Length: 6\r\n\r\nk: \xe9\r\n"
+    broken = bytearray(good[1])
+    broken[20] ^= 255
+    data = b"".join([good[0], *map(gzip.compress, odd), gzip.compress(latin), bytes(broken), good[2]])
+    kinds = [h["warc-type"][0] for h, _ in W.parse_archive(data)]
+    assert kinds[0] == "response" and kinds[1:6] == ["damaged"] * 5 and kinds[6] == "metadata" and kinds[-1] == "metadata" and "damaged" in kinds[7:-1]
+    records = W.read_records(spark.createDataFrame([("a", 0, 1, data), ("b", 0, 1, b""), ("c", 0, 1, odd[0])], W.ARCHIVE_SCHEMA))
+    got = records.collect()
+    assert [r.fields["k"] for r in got if r.target_uri == "http://a/é"] == ["é"] and sum(r.warc_type == "damaged" for r in got) >= 7
+    (row,) = W.assemble(records).collect()
+    assert row.capture.payload_bytes == 4 and row.metadata is not None and row.request is None
+
+
+def test_digests_of_headers():
+    sha = hashlib.sha1(b"x")
+    head = {"warc-type": ["revisit"], "warc-payload-digest": [f"SHA1:{sha.hexdigest().upper()}"]}
+    assert W._row(head, b"HTTP/1.1 200 OK\r\nContent-Length: lots", True)[7:9] == (None, sha.hexdigest())
+    assert [W._hex_digest(x) for x in ("", "md5:abc", "sha1:!!", "sha1:" + "A" * 31)] == [None] * 4
 
 
 def test_query(spark, tmp_path):
