@@ -180,9 +180,22 @@ def _vec(spark, d, k: int) -> DataFrame:
     return vector.vector_arm(_vector_queries(spark, d), with_vectors(spark, d), k)
 
 
-@query("vector_topk", f"WITH {VEC} SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 20 AND query_id IN (1, 2)")
+#: Every embedding whose number is divisible by 20 is a query, against all.
+EVERY = 20
+
+
+def _every_20th(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").where(f"vec_id % {EVERY} = 0")
+    return e.select(F.col("vec_id").alias("query_id"), "embedding", F.lit("").alias("scope"))
+
+
+@query("vector_topk", f"""WITH {C}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % {EVERY} = 0),
+  s AS (SELECT query_id, id, path, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS score FROM c JOIN embeddings ON vec_id = doc_id CROSS JOIN q),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)
+  SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
 def _(spark, d):
-    return _vec(spark, d, 20).where("query_id in (1, 2)").select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    got = vector.vector_arm(_every_20th(spark, d), with_vectors(spark, d), 20)
+    return got.select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("vector_scoped_topk", f"WITH {VEC} SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 20 AND query_id IN (3, 4)")
@@ -190,15 +203,15 @@ def _(spark, d):
     return _vec(spark, d, 20).where("query_id in (3, 4)").select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vector_label_knn", f"""WITH q AS (SELECT query_id, embedding AS qe FROM {literal(VECTORS)} AS v(query_id, vec_id, scope) JOIN embeddings USING (vec_id)),
-  s AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) DESC, vec_id) AS rank FROM embeddings CROSS JOIN q)
+@query("vector_label_knn", f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % {EVERY} = 0),
+  s AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe), 6) DESC, lpad(CAST(vec_id AS VARCHAR), 20, '0')) AS rank FROM embeddings CROSS JOIN q)
   SELECT query_id, label, count(*) AS votes FROM s WHERE rank <= 15 GROUP BY query_id, label""")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    q = _vector_queries(spark, d).select("query_id", F.col("embedding").alias("qe"))
-    s = e.join(F.broadcast(q)).select("query_id", "vec_id", "label", S.cosine(F.col("embedding"), F.col("qe")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "vec_id")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 15").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
+    own = e.select(F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("id"), F.lit("/").alias("path"), "embedding")
+    got = vector.vector_arm(_every_20th(spark, d), own, 15)
+    labels = e.select(F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("id"), "label")
+    return got.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
 FUSED = f"""{BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
