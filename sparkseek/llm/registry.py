@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("langid", "chat", "pieces", "neardup", "pii", "substrings", "decontaminate", "toxicity", "webp", "warc")
+MODULES = ("langid", "chat", "pieces", "neardup", "pii", "substrings", "decontaminate", "toxicity", "webp", "warc", "pq", "urlrep", "ranked")
 
 
 def _all(attr: str) -> dict:
