@@ -206,7 +206,7 @@ def impact_divisor(n: int, docs: int, tokens: int) -> int:
     return 100 - 50 + (50 * n * docs) // tokens
 
 
-def _built(n_docs: int, n_tokens: int) -> Callable[[pa.Table], pa.Table]:
+def _built(n_docs: int, n_tokens: int, most: int) -> Callable[[pa.Table], pa.Table]:
     """The index of one shard."""
 
     def go(group: pa.Table) -> pa.Table:
@@ -216,7 +216,7 @@ def _built(n_docs: int, n_tokens: int) -> Callable[[pa.Table], pa.Table]:
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         alone = np.bincount(numbers, minlength=len(names)) < 2  # terms of one document don't tell where it belongs
         linked = ~alone[numbers]
-        clusters = bisect(np.concatenate([[0], np.cumsum(np.bincount(doc[linked], minlength=len(starts) - 1))]), numbers[linked], len(names))
+        clusters = bisect(np.concatenate([[0], np.cumsum(np.bincount(doc[linked], minlength=len(starts) - 1))]), numbers[linked], len(names), most)
         order = np.concatenate(clusters)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -250,7 +250,7 @@ class Index:
     tokens: int
 
 
-def build_index(docs: DataFrame) -> Index:
+def build_index(docs: DataFrame, shard_postings: int = SHARD_POSTINGS, cluster_docs: int = CLUSTER_DOCS) -> Index:
     """docs: doc_id, text. The table of shards lies in the shared folder until the caller deletes it."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -261,10 +261,10 @@ def build_index(docs: DataFrame) -> Index:
     path = f"{shared_dir(spark)}/sparkseek-ranked-{uuid.uuid4().hex}"
     first, shard = 0, F.lit(0)
     for r in sums:
-        parts = -(-r.postings // SHARD_POSTINGS)
+        parts = -(-r.postings // shard_postings)
         shard, first = F.when(F.col("leaf") == r.leaf, F.pmod(F.col("hash"), F.lit(parts)) + first).otherwise(shard), first + parts
     led = raw.mapInArrow(_led(tree, False), _DOC).withColumn("shard", shard.cast("int"))
-    led.groupBy("shard").applyInArrow(_built(n, max(1, tokens)), _SHARD).write.option("compression", "zstd").parquet(path)
+    led.groupBy("shard").applyInArrow(_built(n, max(1, tokens), cluster_docs), _SHARD).write.option("compression", "zstd").parquet(path)
     return Index(spark.read.schema(_SHARD).parquet(path), path, n, tokens)
 
 

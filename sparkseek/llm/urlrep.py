@@ -6,7 +6,8 @@ stands the mean of all outcomes, (X + 1/2) / (N + 1). k is fitted to each level
 n m (1 - m) and D that of n (n - 1) m (1 - m), the correlation of two outcomes of a group is (S - B) / D, and k its odds against, held
 between `LEAST_K` and `MOST_K`; `DEFAULT_K` where no group has two outcomes. A host is blocked if the lower posterior bound of its
 share of unwanted pages, the mean less three deviations, is over `LIMIT`: by Cantelli's inequality the share is over that bound with a
-posterior chance of 9 in 10 at least, whatever the shape. Hosts without outcomes have the prior of their domain, so few are blocked.
+posterior chance of 9 in 10 at least, whatever the shape. A host without outcomes has the prior of its domain: a new host of a domain that
+is bad throughout is blocked, one of a mixed domain isn't.
 
 Defined results: a url that is null or has no `://` has an empty host and path; it meets no rule, and its reputation is that of all
 such pages. A path that is empty does not start with a rule's `/`. Of rules equally long the one with the longer host counts, then the
