@@ -4,15 +4,13 @@ A document is a file /source/lang/doc<id>.txt with one chunk; its vector, if any
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions import scalars as S
-from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, router, store, sync, vector
-from sparkseek.session import materialise, shared_dir
+from sparkseek.operators import blocks, chunking, evaluation, excerpt, fuse, lexical, paths, ranks, router, store, sync, vector
+from sparkseek.session import materialise, settled
 from sparkseek.sources import files as sources
 from sparkseek.sources import walk
 
@@ -100,21 +98,13 @@ def _(spark, d):
     return lexical.document_frequency(chunks(spark, d)).orderBy(F.desc("df"), "term").limit(50)
 
 
-_STORED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The block index of all documents, written for one query, which deletes it (inside `settled`)."""
+    return materialise(blocks.build(chunks(spark, d)), "blocks")
 
 
-def _stored_bm25(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
-    """BM25 from postings that are written once for the documents as they are (by their files' names, sizes and times)."""
-    docs = table(spark, d, "documents")
-    key = (spark.sparkContext.applicationId, *sorted((str(r.path), r.size, r.time) for r in docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().toDF("path", "size", "time").collect()))
-    if key not in _STORED:
-        own = lexical.stored_form(chunks(spark, d).select("id", "path", "content"))
-        at = f"{shared_dir(spark)}/sparkseek-postings-{uuid.uuid4().hex}"
-        own.repartition("term_bucket").sortWithinPartitions("term").write.partitionBy("term_bucket").parquet(at)
-        # A chunk without tokens has no postings, but counts.
-        stats = materialise(lexical.corpus_stats(chunks(spark, d)), "stats")
-        _STORED[key] = spark.read.schema(store.POSTINGS).parquet(at), stats
-    return lexical.bm25_stored(queries, *_STORED[key])
+def _top_k(spark: SparkSession, d: str, queries: DataFrame, k: int) -> DataFrame:
+    return settled(spark, "bm25", lambda: blocks.top_k(queries, _index(spark, d), k))
 
 
 def _bm25(k: int, extra: str = "") -> str:
@@ -122,7 +112,7 @@ def _bm25(k: int, extra: str = "") -> str:
 
 
 def _bm25_rows(spark, d, k: int) -> DataFrame:
-    return lexical.ranked(_stored_bm25(spark, d, searches(spark)), k).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    return _top_k(spark, d, searches(spark), k).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_topk", _bm25(10))
@@ -139,7 +129,7 @@ def _(spark, d):
 @query("bm25_scoped_topk", _bm25(10, " AND query_id IN (3, 4)"))
 def _(spark, d):
     q = searches(spark).where("scope <> ''")
-    return lexical.ranked(_stored_bm25(spark, d, q), 10).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
+    return _top_k(spark, d, q, 10).select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_dup_terms", _bm25(5, " AND query_id = 4"))
@@ -228,7 +218,7 @@ _SHOW = "query_id, id, path, round(score, 6) AS score, CAST(n_arms AS INT) AS n_
 def _arms(spark, d) -> dict[str, DataFrame]:
     """Path and BM25 arms come whole; the vector arm has its k, and fusion its cap."""
     q, c = searches(spark), chunks(spark, d)
-    return {"path": lexical.ranked(paths.path_arm(q, c)), "bm25": lexical.ranked(_stored_bm25(spark, d, q)), "vec": _vec(spark, d, 32)}
+    return {"path": ranks.exact_ranks(paths.path_arm(q, c)), "bm25": ranks.exact_ranks(blocks.whole_arm(q, _index(spark, d))), "vec": _vec(spark, d, 32)}
 
 
 def _show(df: DataFrame) -> DataFrame:
@@ -695,4 +685,4 @@ def _(spark, d):
 def _(spark, d):
     # Every benchmark item as a query, in one batch.
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("").alias("scope"))
-    return lexical.ranked(_stored_bm25(spark, d, q), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return _top_k(spark, d, q, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
