@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import time
 import warnings
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from sparkseek import schemas
 from sparkseek.functions import scalars as S
-from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, router, sync, vector
+from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, ranks, router, sync, vector
 from sparkseek.operators.embed import CACHED, Embedder, HashingEmbedder, QueryCache, embed_chunks, embed_queries
 from sparkseek.operators.store import Store
 from sparkseek.sources import files as sources
 from sparkseek.sources import walk
-from sparkseek.session import materialise
+from sparkseek.session import materialise, scratch, settled
 
 PREFIX_SCHEME, CHUNKER_VERSION = "search-prefix-v1", 3
 
@@ -25,6 +26,17 @@ class IdentityError(RuntimeError):
     """The index was made with another model, dimension, prefix scheme or chunker."""
 
 
+def _tidy(method):
+    """What a method writes on its way is deleted when it ends; its result must not need that."""
+
+    @functools.wraps(method)
+    def run(self, *args, **named):
+        with scratch(self.spark):
+            return method(self, *args, **named)
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, config: dict | None = None, pdf_parser: sources.PdfParser | None = None, chat_model=None):
         self.spark, self.store = spark, Store(spark, folder)
@@ -62,6 +74,7 @@ class Engine:
     def roots(self) -> list[str]:
         return sorted(r.root for r in self.store.table("roots").collect())
 
+    @_tidy
     def _run(self, roots: list[str], mode: str, dry_run: bool = False, exclude: str = "", transient: bool = False) -> dict:
         began = time.time()
         if mode != "reindex":
@@ -143,7 +156,7 @@ class Engine:
 
     def _lexical(self, queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
         """Whole arms: fusion needs every rank. Words are looked up in the stored postings."""
-        return {"path": lexical.ranked(paths.path_arm(queries, chunks)), "bm25": lexical.ranked(lexical.bm25_stored(queries, *self.store.postings()))}
+        return {"path": ranks.exact_ranks(paths.path_arm(queries, chunks)), "bm25": ranks.exact_ranks(lexical.bm25_stored(queries, *self.store.postings()))}
 
     def _embedded(self, queries: DataFrame) -> DataFrame:
         """query_id, embedding, scope; worked out here, so that an embedder that fails does so now. Few queries go through the cache, many to
@@ -160,10 +173,12 @@ class Engine:
         """Strong and weak results of a table of queries. Lexical first; queries without strong results, or all if asked, go on to
         the vector arm, and only those are embedded. An embedder that fails leaves the lexical results. Transient roots that hold a query's
         scope count as used."""
-        k, rrf_k = k or self.config["search"]["max_results"], self.config["search"]["rrf_k"]
         self._use(queries)
-        chunks = self.store.table("chunks")
-        arms = {name: materialise(arm, name) for name, arm in self._lexical(queries, chunks).items()}
+        return settled(self.spark, "found", lambda: self._found(queries, k or self.config["search"]["max_results"], use_vector))
+
+    def _found(self, queries: DataFrame, k: int, use_vector: bool) -> DataFrame:
+        rrf_k, chunks = self.config["search"]["rrf_k"], self.store.table("chunks")
+        arms = self._lexical(queries, chunks)
         first = materialise(fuse.classify(fuse.fuse(arms, rrf_k), k), "first")
         strong = first.where("class = 'strong'").select("query_id").distinct()
         open_ = queries if use_vector else queries.join(strong, "query_id", "left_anti")
@@ -243,8 +258,8 @@ class Engine:
     def empty_message(self, query: str, scope: str) -> dict:
         """What to say of a search without strong results: the scope, what there is elsewhere, and the weak matches."""
         k = self.config["search"]["max_results"]
-        everywhere = self._lexical(self.queries(query), self.store.table("chunks"))
-        hits = fuse.strong_hits(everywhere, k).head(1)
+        with scratch(self.spark):
+            hits = fuse.strong_hits(self._lexical(self.queries(query), self.store.table("chunks")), k).head(1)
         n = hits[0].hits if hits else 0
         weak = [r.asDict() for r in self.locate(query, scope).where("class = 'weak'").collect()]
         return {"results": [], "weak_matches": weak, "message": f"nothing under {scope or 'any root'} matches; {n} files do elsewhere" if scope else "nothing matches", "retry_global": bool(scope and n)}
@@ -297,6 +312,9 @@ class Engine:
 
     def eval_locate(self, path: str, corpus: str) -> DataFrame:
         """Recall of all arms together, of single ones, and within scopes; excerpts of the first three chunks."""
+        return settled(self.spark, "evaluation", lambda: self._evaluated(path, corpus))
+
+    def _evaluated(self, path: str, corpus: str) -> DataFrame:
         self.sync([corpus])
         root = os.path.abspath(os.path.expanduser(corpus))
         # Cases are numbered as they come; a dataset of cases is small by nature.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkseek.functions.sizes import if_small
+from sparkseek.functions.sizes import SMALL, if_small
 from sparkseek.session import materialise
 
 #: Places that scores are compared at, so that sums in another order rank alike.
@@ -17,14 +17,17 @@ PLACES = 6
 HIT = "query int, id string, path string, score double"
 
 
-def exact_ranks(arm: DataFrame) -> DataFrame:
-    """Adds rank within the query, by score (rounded) and id, as `lexical.ranked` does for all rows.
+def exact_ranks(arm: DataFrame, small: int = SMALL) -> DataFrame:
+    """Adds rank within the query, by score (rounded) and id.
 
-    No task gets a query as a whole: rows are dealt out by ranges of (query, score, id) and numbered within their range, and a range adds
+    The arm is written and counted. Up to `small` rows are numbered by a window over each query. Of more, no task gets a query as a whole: rows are dealt out by ranges of (query, score, id) and numbered within their range, and a range adds
     how many rows of the query lie in the ranges before it. The numbered rows are written, so that a range that is worked out again
     after a loss does not get other numbers than those that were counted."""
     by = ["query_id", F.desc("_rounded"), "id"]
     own = materialise(arm.withColumn("_rounded", F.round("score", PLACES)), "arm")  # the ranges are found from a sample of it
+    if own.count() <= small:
+        w = Window.partitionBy("query_id").orderBy(*by)
+        return own.select(*arm.columns, F.row_number().over(w).alias("rank"))
     dealt = own.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_n", F.monotonically_increasing_id())
     numbered = materialise(dealt, "numbered").withColumn("_range", F.shiftright("_n", 33))
     ranges = numbered.groupBy("query_id", "_range").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows"))

@@ -1,24 +1,267 @@
-"""Vector arm: exact cosine top-k within a scope."""
+"""Vector arm: exact cosine top-k within a scope, by matrix products over batches, or over stored clusters that bounds leave out.
+
+The cosine of a zero vector, of vectors of different lengths, or of one with null or non-finite components is 0."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkseek.functions.scalars import cosine, under_scope
 from sparkseek.functions.sizes import blocks
-from sparkseek.operators.lexical import ranked
+from sparkseek.operators.ranks import HIT, PLACES, Best, in_scope
+from sparkseek.session import materialise
+
+#: Queries that are held against the chunks at once; vectors of a block; blocks that a query visits for its threshold.
+QUERIES, VECTORS, FIRST = 1024, 512, 2
+#: Vectors that clusters are made around: the root of how many there are, within these bounds.
+LEAST_MIDDLES, MOST_MIDDLES = 8, 2048
+BLOCK = "block string, dim int, centre array<double>, radius double, ids array<string>, paths array<string>, vectors array<float>"
+_MARGIN = 2 * 10.0**-PLACES
+
+
+def units(rows: list[list[float] | None], dim: int) -> np.ndarray:
+    """Rows of length 1, or of zeros where the cosine is 0."""
+    m = np.zeros((len(rows), dim))
+    for k, v in enumerate(rows):
+        if v is not None and len(v) == dim and None not in v:
+            m[k] = v
+    return _normed(m)
+
+
+def _normed(m: np.ndarray) -> np.ndarray:
+    m = np.where(np.isfinite(m).all(1)[:, None], m, 0.0) if m.size else m
+    norm = np.sqrt((m * m).sum(1))
+    return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
+
+
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The vectors of a batch by their length: places, and rows of length 1. Null counts as of length 0."""
+    long = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    for dim in np.unique(long):
+        at = np.flatnonzero(long == dim)
+        own = column.take(pa.array(at))
+        flat = own.flatten()
+        yield at, _normed(np.asarray(flat.cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(len(at), dim)) if dim else np.zeros((len(at), 0))
+
+
+@dataclass
+class Asked:
+    """Some queries, by the length of their vectors: numbers, and rows of length 1."""
+
+    ids: list
+    scopes: list[str]
+    own: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def cosines(self, dim: int, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of queries and their cosines with the rows of m."""
+        for d, (at, q) in self.own.items():
+            yield at, q @ m.T if d == dim else np.zeros((len(at), len(m)))
+
+
+def _asked(queries: DataFrame) -> Asked:
+    rows = queries.select("query_id", "q_embedding", "scope").orderBy("query_id").collect()
+    by: dict[int, list[int]] = {}
+    for k, r in enumerate(rows):
+        by.setdefault(len(r.q_embedding or ()), []).append(k)
+    own = {d: (np.array(at), units([rows[k].q_embedding for k in at], d)) for d, at in by.items()}
+    return Asked([r.query_id for r in rows], [r.scope or "" for r in rows], own)
+
+
+def _named(found: DataFrame, asked: Asked, queries: DataFrame, k: int) -> DataFrame:
+    kind = queries.schema["query_id"].dataType.simpleString()
+    names = found.sparkSession.createDataFrame(list(enumerate(asked.ids)), f"query int, query_id {kind}")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", PLACES)), "id")
+    got = found.where("query >= 0").join(F.broadcast(names), "query").select("query_id", "id", "path", "score")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _masks(asked: Asked, paths: pa.Array) -> dict[str, np.ndarray | None]:
+    own = paths.to_pylist() if any(asked.scopes) else []
+    return {s: np.array([in_scope(p, s) for p in own], bool) if s else None for s in set(asked.scopes)}
+
+
+def _offer(asked: Asked, best: Best, floors: list[float], q: int, cos: np.ndarray, inside: np.ndarray | None, ids: pa.Array, paths: pa.Array) -> None:
+    hit = np.flatnonzero(cos >= max(floors[q], best.floor(q)) - _MARGIN)
+    if inside is not None:
+        hit = hit[inside[hit]]
+    if len(hit) > 4 * best.k:  # ties with the k-th stay
+        hit = hit[cos[hit] >= np.partition(cos[hit], -best.k)[-best.k] - _MARGIN]
+    if len(hit):
+        at = pa.array(hit)
+        best.add(q, zip(cos[hit].tolist(), ids.take(at).to_pylist(), paths.take(at).to_pylist(), strict=True))
 
 
 def vector_arm(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, id, path, score, rank. queries: query_id, embedding, scope; broadcast to all chunks, in blocks if there are many.
-    The scope is applied before the top-k, which is exact; Spark keeps k rows of each query per task before it shuffles."""
-    own = chunks.where(F.col("embedding").isNotNull())
+    """query_id, id, path, score, rank, from all vectors: for few queries, or vectors that are looked at once. queries: query_id,
+    embedding, scope; sent to the tasks in blocks of `QUERIES`. A task makes one product of matrices for each batch and keeps k rows of
+    each query; the scope is applied before that, so the result is exact."""
+    own = chunks.where(F.col("embedding").isNotNull()).select("id", "path", "embedding")
+
+    def arm(some: DataFrame) -> DataFrame:
+        asked = _asked(some)
+        floors = [float("-inf")] * len(asked.ids)
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(asked.ids), k)
+            for b in batches:
+                for at, m in _matrices(b.column("embedding")):
+                    ids, paths = b.column("id").take(pa.array(at)), b.column("path").take(pa.array(at))
+                    masks = _masks(asked, paths)
+                    for numbers, cos in asked.cosines(m.shape[1], m):
+                        for q, c in zip(numbers.tolist(), cos, strict=True):
+                            _offer(asked, best, floors, q, c, masks[asked.scopes[q]], ids, paths)
+            yield best.batch()
+
+        return _named(own.mapInArrow(go, HIT), asked, queries, k)
+
+    return reduce(DataFrame.unionByName, map(arm, blocks(queries.select("query_id", F.col("embedding").alias("q_embedding"), "scope"), "query_id", QUERIES)))
+
+
+# --- clusters -----------------------------------------------------------------------------------------------------------
+
+
+def build(chunks: DataFrame) -> DataFrame:
+    """The stored form of vectors (id, path, embedding): blocks of near ones, each with its centre and the largest angle from it.
+
+    Vectors are dealt out by the nearest of some middles (a sample whose size grows as the root of the table's, up to a bound), and by id
+    within a cluster, so that a cluster of any size is spread over tasks. Zero vectors, and those of each other length, have clusters of their own."""
+    own = chunks.where(F.col("embedding").isNotNull()).select("id", "path", F.col("embedding").cast("array<float>").alias("embedding"))
+    wanted = min(MOST_MIDDLES, max(LEAST_MIDDLES, round(own.count() ** 0.5)))
+    sample = [r.embedding for r in own.where(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").select("embedding").limit(wanted).collect()]
+    dim = len(sample[0]) if sample else 0
+    middles = units([v for v in sample if len(v) == dim], dim)
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cluster = np.empty(b.num_rows, np.int32)
+            for at, m in _matrices(b.column("embedding")):
+                near = (m @ middles.T).argmax(1) if m.shape[1] == dim and dim else np.full(len(at), -2 - m.shape[1])
+                cluster[at] = np.where((m != 0).any(1), near, -1) if m.shape[1] else near
+            yield pa.RecordBatch.from_arrays([pa.array(cluster), b.column("id"), b.column("path"), b.column("embedding")], ["cluster", "id", "path", "embedding"])
+
+    def block(cluster: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        for at, m in _matrices(t.column("embedding").chunk(0)):
+            where = pa.array(at)
+            ids, paths, vectors = (t.column(c).chunk(0).take(where) for c in ("id", "path", "embedding"))
+            middle = _normed(m.mean(0)[None])[0] if m.shape[1] else np.zeros(0)
+            # Zero vectors have no angle: their blocks are never left out.
+            radius = float(np.arccos(np.clip(m @ middle, -1, 1)).max()) if cluster >= 0 and middle.any() else 4.0
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f"{cluster}/{ids[0].as_py()}"]), pa.array([m.shape[1]], pa.int32()), one(pa.array(middle)), pa.array([radius]), one(ids), one(paths), one(vectors.flatten().cast(pa.float32()))],
+                ["block", "dim", "centre", "radius", "ids", "paths", "vectors"],
+            )
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, n = None, 0
+        for b in batches:
+            cluster = b.column("cluster").to_numpy()
+            at = 0
+            while at < len(cluster):
+                if held and (cluster[at] != now or n == VECTORS):
+                    yield from block(now, held)
+                    held, n = [], 0
+                now = int(cluster[at])
+                end = min(at + VECTORS - n, int(np.searchsorted(cluster[at:], now, side="right")) + at)
+                held.append(b.slice(at, end - at))
+                n, at = n + end - at, end
+        if held:
+            yield from block(now, held)
+
+    dealt = own.mapInArrow(led, "cluster int, id string, path string, embedding array<float>").repartitionByRange("cluster", "id").sortWithinPartitions("cluster", "id")
+    return dealt.mapInArrow(gathered, BLOCK)
+
+
+def _bounds(asked: Asked, dim: int, centre: np.ndarray, radius: float) -> np.ndarray:
+    """The largest cosine that a vector of a block can have with each query: by the triangle inequality of angles."""
+    out = np.zeros(len(asked.ids))
+    for at, cos in asked.cosines(dim, centre[None]):
+        out[at] = np.cos(np.maximum(0.0, np.arccos(np.clip(cos[:, 0], -1, 1)) - radius)) if radius < 4 else 1.0
+    return out
+
+
+def _widest(asked: Asked):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: list[list[tuple[float, str]]] = [[] for _ in asked.ids]
+        for b in batches:
+            for i in range(b.num_rows):
+                masks = _masks(asked, b.column("paths")[i].values) if "paths" in b.schema.names else {"": None}
+                bound = _bounds(asked, b.column("dim")[i].as_py(), b.column("centre")[i].values.to_numpy(), b.column("radius")[i].as_py())
+                for q, x in enumerate(bound.tolist()):
+                    inside = masks[asked.scopes[q]]
+                    if (len(top[q]) < FIRST or -x <= top[q][-1][0]) and (inside is None or inside.any()):
+                        top[q] = sorted([*top[q], (-x, b.column("block")[i].as_py())])[:FIRST]
+        rows = [(q, block, -x) for q, own in enumerate(top) for x, block in own]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.float64()), strict=True)], ["query", "block", "bound"])
+
+    return go
+
+
+def _compared(asked: Asked, k: int, floors: list[float], only: dict[str, set[int]] | None, done: dict[str, set[int]]):
+    """The k best of each query in this task. The row of query -1 says in its path how many pairs of query and vector were compared,
+    and in its score how many there were."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, met, used = Best(len(asked.ids), k), 0, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                block, dim, ids = b.column("block")[i].as_py(), b.column("dim")[i].as_py(), b.column("ids")[i].values
+                serve = (only.get(block, set()) if only is not None else set(range(len(asked.ids)))) - done.get(block, set())
+                met += len(serve) * len(ids)
+                bound = _bounds(asked, dim, b.column("centre")[i].values.to_numpy(), b.column("radius")[i].as_py())
+                serve = {q for q in serve if bound[q] >= max(floors[q], best.floor(q)) - _MARGIN}
+                if not serve:
+                    continue
+                used += len(serve) * len(ids)
+                m = _normed(b.column("vectors")[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)) if dim else np.zeros((len(ids), 0))
+                paths = b.column("paths")[i].values
+                masks = _masks(asked, paths)
+                for d, (at, own) in asked.own.items():
+                    rows = np.array([j for j, q in enumerate(at.tolist()) if q in serve], np.int64)
+                    cos = own[rows] @ m.T if d == dim else np.zeros((len(rows), len(ids)))
+                    for q, c in zip(at[rows].tolist(), cos, strict=True):
+                        _offer(asked, best, floors, q, c, masks[asked.scopes[q]], ids, paths)
+        yield best.batch()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.string()), pa.array([str(used)]), pa.array([float(met)])], ["query", "id", "path", "score"])
+
+    return go
+
+
+def hits_of_block(asked: Asked, index: DataFrame, k: int) -> DataFrame:
+    """Rows of HIT that hold the k best of each query, and the counts of pairs at query -1."""
+    scoped = any(asked.scopes)
+    w = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+    only: dict[str, set[int]] = {}
+    wide = index.select("block", "dim", "centre", "radius", *(("paths",) if scoped else ())).mapInArrow(_widest(asked), "query int, block string, bound double")
+    for r in wide.withColumn("n", F.row_number().over(w)).where(F.col("n") <= FIRST).collect():
+        only.setdefault(r.block, set()).add(r.query)
+    floors = [float("-inf")] * len(asked.ids)
+    # A query has `FIRST` blocks at most, but all queries together may name many: the table is filtered by them as a join.
+    named = index.sparkSession.createDataFrame([(x,) for x in only], "block string")
+    first = materialise(index.join(F.broadcast(named), "block", "left_semi").mapInArrow(_compared(asked, k, floors, only, {}), HIT), "first")
+    kth = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    for r in first.where("query >= 0").withColumn("n", F.row_number().over(kth)).where(F.col("n") <= k).where(F.col("n") == k).collect():
+        floors[r.query] = r.score
+    return first.unionByName(materialise(index.mapInArrow(_compared(asked, k, floors, None, only), HIT), "rest"))
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The same rows as `vector_arm`, from the stored form: each query compares itself with the blocks nearest to it, and then with
+    those that can hold a vector as near as its k-th of these."""
 
-    def arm(q: DataFrame) -> DataFrame:
-        pairs = own.join(F.broadcast(q), under_scope(F.col("path"), F.col("scope")))
-        return ranked(pairs.select("query_id", "id", "path", cosine(F.col("embedding"), F.col("q_embedding")).alias("score")), k)
+    def found(some: DataFrame) -> DataFrame:
+        asked = _asked(some)
+        return _named(hits_of_block(asked, index, k), asked, queries, k)
 
-    return reduce(DataFrame.unionByName, map(arm, blocks(queries.select("query_id", F.col("embedding").alias("q_embedding"), "scope"), "query_id", 4096)))
+    return reduce(DataFrame.unionByName, map(found, blocks(queries.select("query_id", F.col("embedding").alias("q_embedding"), "scope"), "query_id", QUERIES)))

@@ -179,12 +179,17 @@ def _every_20th(spark, d) -> DataFrame:
     return e.select(F.col("vec_id").alias("query_id"), "embedding", F.lit("").alias("scope"))
 
 
+def _nearest(spark, queries: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """By the stored form of the vectors, written for one query."""
+    return settled(spark, "vectors", lambda: vector.top_k(queries, materialise(vector.build(own), "clusters"), k))
+
+
 @query("vector_topk", f"""WITH {C}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qe FROM embeddings WHERE vec_id % {EVERY} = 0),
   s AS (SELECT query_id, id, path, list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe) AS score FROM c JOIN embeddings ON vec_id = doc_id CROSS JOIN q),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)
   SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
 def _(spark, d):
-    got = vector.vector_arm(_every_20th(spark, d), with_vectors(spark, d), 20)
+    got = _nearest(spark, _every_20th(spark, d), with_vectors(spark, d), 20)
     return got.select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
@@ -199,7 +204,7 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "embeddings")
     own = e.select(F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("id"), F.lit("/").alias("path"), "embedding")
-    got = vector.vector_arm(_every_20th(spark, d), own, 15)
+    got = _nearest(spark, _every_20th(spark, d), own, 15)
     labels = e.select(F.lpad(F.col("vec_id").cast("string"), 20, "0").alias("id"), "label")
     return got.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
 
@@ -221,42 +226,47 @@ def _arms(spark, d) -> dict[str, DataFrame]:
     return {"path": ranks.exact_ranks(paths.path_arm(q, c)), "bm25": ranks.exact_ranks(blocks.whole_arm(q, _index(spark, d))), "vec": _vec(spark, d, 32)}
 
 
+def _fused(spark, d, make) -> DataFrame:
+    """What a function makes of the arms, written, so that the index and the arms can go."""
+    return settled(spark, "fused", lambda: make(_arms(spark, d)))
+
+
 def _show(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", "path", F.round("score", 6).alias("score"), "n_arms", F.array_join("arms", "+").alias("arms"), "best_rank", "rank")
 
 
 @query("rrf_fuse", f"WITH {FUSED} SELECT {_SHOW} FROM f WHERE rank <= 20")
 def _(spark, d):
-    return _show(fuse.fuse(_arms(spark, d), cap=20))
+    return _fused(spark, d, lambda arms: _show(fuse.fuse(arms, cap=20)))
 
 
 @query("rrf_min_arms", f"""WITH {FUSED}, g AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f WHERE n_arms >= 2)
     SELECT {_SHOW} FROM g WHERE rank <= 20""")
 def _(spark, d):
-    return _show(fuse.fuse(_arms(spark, d), min_arms=2, cap=20))
+    return _fused(spark, d, lambda arms: _show(fuse.fuse(arms, min_arms=2, cap=20)))
 
 
 @query("hybrid_strong", f"WITH {FUSED} SELECT {_SHOW} FROM kk WHERE class = 'strong'")
 def _(spark, d):
-    return _show(fuse.classify(fuse.fuse(_arms(spark, d))).where("class = 'strong'"))
+    return _fused(spark, d, lambda arms: _show(fuse.classify(fuse.fuse(arms)).where("class = 'strong'")))
 
 
 @query("hybrid_weak", f"WITH {FUSED} SELECT {_SHOW} FROM kk WHERE class = 'weak'")
 def _(spark, d):
-    return _show(fuse.classify(fuse.fuse(_arms(spark, d))).where("class = 'weak'"))
+    return _fused(spark, d, lambda arms: _show(fuse.classify(fuse.fuse(arms)).where("class = 'weak'")))
 
 
 @query("dedupe_by_path", f"""WITH {FUSED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, class, source ORDER BY rank) AS o FROM (SELECT *, string_split(path, '/')[2] AS source FROM kk))
     SELECT query_id, class, source, id, CAST(row_number() OVER (PARTITION BY query_id, class ORDER BY rank) AS INT) AS rank FROM o WHERE o = 1""")
 def _(spark, d):
     # Every file has one chunk here, so directories stand for files.
-    got = fuse.classify(fuse.fuse(_arms(spark, d))).withColumn("path", F.split("path", "/")[1])
-    return fuse.dedupe_by_path(got).select("query_id", "class", F.col("path").alias("source"), "id", "rank")
+    by_source = lambda arms: fuse.classify(fuse.fuse(arms)).withColumn("path", F.split("path", "/")[1])
+    return _fused(spark, d, lambda arms: fuse.dedupe_by_path(by_source(arms))).select("query_id", "class", F.col("path").alias("source"), "id", "rank")
 
 
 @query("global_hit_count", f"WITH {FUSED} SELECT query_id, count(DISTINCT path) AS hits FROM kk WHERE class = 'strong' GROUP BY query_id")
 def _(spark, d):
-    return fuse.strong_hits(_arms(spark, d))
+    return _fused(spark, d, fuse.strong_hits)
 
 
 @query("two_phase_search", f"""WITH {BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
@@ -270,8 +280,7 @@ def _(spark, d):
   SELECT query_id, class, id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM l2 WHERE query_id IN (SELECT query_id FROM done) AND r <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END
   UNION ALL SELECT query_id, class, id, round(score, 6), CAST(r AS INT) FROM k WHERE r <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END""")
 def _(spark, d):
-    arms = _arms(spark, d)
-    return fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, arms["vec"]).select("query_id", "class", "id", F.round("score", 6).alias("score"), "rank")
+    return _fused(spark, d, lambda arms: fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, arms["vec"])).select("query_id", "class", "id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- scope, ids, tokens -------------------------------------------------------------------------------------------------
