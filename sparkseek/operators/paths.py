@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,28 +36,27 @@ def matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def fuzzy_score(query: str, path: str) -> int:
-    """Bonuses for first characters, starts of words and runs; a cost for what is skipped before the first hit and for unmatched
-    characters. Greedy from the left."""
-    q, score, at, run, first = query.lower(), 0, 0, 0, None
-    low = path.lower()
-    for i, c in enumerate(low):
-        if at == len(q):
-            break
-        if c != q[at]:
-            run = 0
-            continue
-        if first is None:
-            first = i
-            score += max(LEADING_MOST, LEADING * i)
-        if i == 0:
-            score += FIRST
-        elif path[i - 1] in SEPARATORS:
-            score += AFTER_SEPARATOR
-        elif path[i].isupper() and path[i - 1].islower():
-            score += CAMEL
-        score += ADJACENT * run
-        run, at = run + 1, at + 1
-    return score - (len(path) - len(q))
+    """The score of the best alignment of the query's characters with characters of the path, in order.
+
+    Bonuses for the first character, starts of words and runs (the n-th further character of a run gets n times `ADJACENT`); a cost for
+    what is skipped before the first hit and for unmatched characters. The best over all alignments, by a table of (place of the last
+    character, length of its run) that goes on from one character of the query to the next."""
+    q, n = list(query.lower()), len(path)
+    low = np.array([c.lower()[:1] for c in path], dtype=object)
+    place = np.array([FIRST if i == 0 else AFTER_SEPARATOR if path[i - 1] in SEPARATORS else CAMEL if path[i].isupper() and path[i - 1].islower() else 0 for i in range(n)], float)
+    if not q or not n:
+        return -n
+    none = float("-inf")
+    # best[r, i]: the query so far ends at place i, with r characters of its run before that one.
+    best = np.where(low == q[0], place + np.maximum(LEADING_MOST, LEADING * np.arange(n)), none)[None]
+    for c in q[1:]:
+        apart = np.full(n, none)
+        apart[2:] = np.maximum.accumulate(best.max(0))[:-2]
+        run = np.full((len(best), n), none)
+        run[:, 1:] = best[:, :-1] + ADJACENT * np.arange(1, len(best) + 1)[:, None]
+        best = np.where(low == c, np.vstack([apart, run]) + place, none)
+    top = best.max()
+    return int(top) - (n - len(q)) if top > none else -n
 
 
 def path_arm(queries: DataFrame, chunks: DataFrame) -> DataFrame:

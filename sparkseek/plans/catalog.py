@@ -54,7 +54,7 @@ def literal(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
 
 
-SEARCHES = [(1, "and the retition", ""), (2, "erenth doc7 txt", ""), (3, "and the retition", "/src1"), (4, "the the of", "/src1/en"), (5, "de la ouvi", ""), (6, "zz-none", "")]
+SEARCHES = [(1, "and the retition", ""), (2, "erenth doc7 txt", ""), (3, "and the retition", "/src1"), (4, "the the of", "/src1/en"), (5, "de la ouvi", ""), (6, "zz-none", ""), (7, "doc7.txt", ""), (8, "src1en9", "/src1")]
 SCOPED = lambda alias: f"({alias}.scope = '' OR path = {alias}.scope OR starts_with(path, {alias}.scope || '/'))"
 
 
@@ -140,6 +140,20 @@ def _(spark, d):
 PATHS = [(1, "src1en9", ""), (2, "SRC2/de", ""), (3, "doc7.txt", "/src1"), (4, "", ""), (5, "s c", "")]
 
 
+def _path_arm_sql(queries: str) -> str:
+    """CTEs up to pr: the path arm by all alignments, one character of the query after the other, and its ranks."""
+    return f"""pq AS (SELECT *, '(?s)' || array_to_string(list_transform(string_split(lower(query), ''), lambda x: regexp_escape(x)), '.*') AS p, lower(query) AS ql FROM {queries} WHERE query <> ''),
+  pm AS (SELECT query_id, ql, id, path FROM pq JOIN c ON {SCOPED('pq')} AND regexp_matches(lower(path), p)),
+  pl0 AS (SELECT DISTINCT id, path FROM pm), pl1 AS (SELECT id, path, unnest(range(1, length(path) + 1)) AS i FROM pl0),
+  pl AS (SELECT id, i, lower(path[i]) AS lc, CASE WHEN i = 1 THEN {paths.FIRST} WHEN contains('/-_ .\\', path[i - 1]) THEN {paths.AFTER_SEPARATOR}
+         WHEN upper(path[i]) = path[i] AND lower(path[i]) <> path[i] AND upper(path[i - 1]) <> path[i - 1] THEN {paths.CAMEL} ELSE 0 END AS bonus FROM pl1),
+  pa(query_id, id, ql, j, i, r, s) AS (SELECT query_id, id, ql, 1, i, 0, bonus + greatest({paths.LEADING_MOST}, {paths.LEADING} * (i - 1)) FROM pm JOIN pl USING (id) WHERE lc = ql[1]
+    UNION ALL SELECT query_id, id, ql, j, i, r, max(s) FROM (SELECT pa.query_id, pa.id, pa.ql, pa.j + 1 AS j, pl.i, CASE WHEN pl.i = pa.i + 1 THEN pa.r + 1 ELSE 0 END AS r,
+      pa.s + pl.bonus + CASE WHEN pl.i = pa.i + 1 THEN {paths.ADJACENT} * (pa.r + 1) ELSE 0 END AS s FROM pa JOIN pl ON pl.id = pa.id AND pl.i > pa.i AND pl.lc = pa.ql[pa.j + 1]) GROUP BY query_id, id, ql, j, i, r),
+  ps AS (SELECT pm.query_id, pm.id, pm.path, CAST(max(s) - (length(pm.path) - length(pm.ql)) AS DOUBLE) AS score FROM pa JOIN pm ON pm.query_id = pa.query_id AND pm.id = pa.id WHERE j = length(pm.ql) GROUP BY pm.query_id, pm.id, pm.path, pm.ql),
+  pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ps)"""
+
+
 @query("path_subsequence_match", f"""WITH {C}, q AS (SELECT *, '(?s)' || array_to_string(list_transform(string_split(lower(query), ''), lambda x: regexp_escape(x)), '.*') AS p
     FROM {literal(PATHS)} AS v(query_id, query, scope) WHERE query <> '')
     SELECT query_id, query, path, id FROM q JOIN c ON {SCOPED('q')} AND regexp_matches(lower(path), p)""")
@@ -147,12 +161,12 @@ def _(spark, d):
     return paths.matches(spark.createDataFrame(PATHS, "query_id int, query string, scope string"), chunks(spark, d))
 
 
-@query("path_arm_topk")
+@query("path_arm_topk", f"WITH RECURSIVE {C}, {_path_arm_sql(literal(PATHS) + ' AS v(query_id, query, scope)')} SELECT query_id, id, path, score, CAST(rank AS INT) AS rank FROM pr WHERE rank <= 10")
 def _(spark, d):
-    return lexical.ranked(paths.path_arm(spark.createDataFrame(PATHS, "query_id int, query string, scope string"), chunks(spark, d)), 10)
+    return lexical.ranked(paths.path_arm(spark.createDataFrame(PATHS, "query_id int, query string, scope string"), chunks(spark, d)), 10).select("query_id", "id", "path", "score", "rank")
 
 
-VECTORS = [(1, 7, ""), (2, 42, ""), (3, 7, "/src1"), (4, 100, "/src1/en")]
+VECTORS = [(1, 7, ""), (2, 42, ""), (3, 7, "/src1"), (4, 100, "/src1/en"), (6, 12, ""), (7, 9, "")]
 
 
 def _vector_queries(spark, d) -> DataFrame:
@@ -209,14 +223,20 @@ def _(spark, d):
     return got.join(labels, "id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
-FUSED = f"""{BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
-  u AS (SELECT query_id, id, path, rank, 'bm25' AS arm FROM bmr UNION ALL SELECT query_id, id, path, rank, 'vec' FROM vr WHERE rank <= 32),
-  f00 AS (SELECT query_id, id, path, sum(1.0 / (60 + rank)) AS score, count(*) AS n_arms, min(rank) AS best_rank, list(DISTINCT arm) AS arms0 FROM u GROUP BY query_id, id, path),
-  f0 AS (SELECT * EXCLUDE (arms0), list_filter(['path', 'bm25', 'vec'], lambda x: list_contains(arms0, x)) AS arms FROM f00),
-  f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f0),
-  k0 AS (SELECT *, CASE WHEN n_arms >= 2 OR best_rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM f WHERE rank <= 500),
-  k AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id, class ORDER BY rank) AS rank FROM k0),
-  kk AS (SELECT * FROM k WHERE rank <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END)"""
+def _fusion_sql(u: str, x: str) -> str:
+    """CTEs of the fusion of the rows of u (query_id, id, path, rank, arm): f<x> all, kk<x> classified, ranked anew and cut."""
+    return f"""f00{x} AS (SELECT query_id, id, path, sum(1.0 / (60 + rank)) AS score, count(*) AS n_arms, min(rank) AS best_rank, list(DISTINCT arm) AS arms0 FROM {u} GROUP BY query_id, id, path),
+  f0{x} AS (SELECT * EXCLUDE (arms0), list_filter(['path', 'bm25', 'vec'], lambda x: list_contains(arms0, x)) AS arms FROM f00{x}),
+  f{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f0{x}),
+  k0{x} AS (SELECT *, CASE WHEN n_arms >= 2 OR best_rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM f{x} WHERE rank <= 500),
+  k{x} AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id, class ORDER BY rank) AS rank FROM k0{x}),
+  kk{x} AS (SELECT * FROM k{x} WHERE rank <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END)"""
+
+
+ARMS = f"""{BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])}, {_path_arm_sql('qs')},
+  lex AS (SELECT query_id, id, path, rank, 'bm25' AS arm FROM bmr UNION ALL SELECT query_id, id, path, rank, 'path' FROM pr),
+  u AS (SELECT * FROM lex UNION ALL SELECT query_id, id, path, rank, 'vec' FROM vr WHERE rank <= 32)"""
+FUSED = f"RECURSIVE {ARMS}, {_fusion_sql('u', '')}"
 _SHOW = "query_id, id, path, round(score, 6) AS score, CAST(n_arms AS INT) AS n_arms, array_to_string(arms, '+') AS arms, CAST(best_rank AS INT) AS best_rank, CAST(rank AS INT) AS rank"
 
 
@@ -269,16 +289,10 @@ def _(spark, d):
     return _fused(spark, d, fuse.strong_hits)
 
 
-@query("two_phase_search", f"""WITH {BM25}, {VEC.split(', vq AS')[1].join(['vq AS', ''])},
-  l AS (SELECT query_id, id, path, 1.0 / (60 + rank) AS score, rank AS best_rank, rank, CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM bmr),
-  l2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, class ORDER BY best_rank) AS r FROM l), done AS (SELECT DISTINCT query_id FROM l WHERE class = 'strong'),
-  u AS (SELECT query_id, id, path, rank FROM bmr UNION ALL SELECT query_id, id, path, rank FROM vr WHERE rank <= 32),
-  f0 AS (SELECT query_id, id, path, sum(1.0 / (60 + rank)) AS score, count(*) AS n_arms, min(rank) AS best_rank FROM u WHERE query_id NOT IN (SELECT query_id FROM done) GROUP BY ALL),
-  f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id) AS rank FROM f0),
-  k0 AS (SELECT *, CASE WHEN n_arms >= 2 OR best_rank <= 5 THEN 'strong' ELSE 'weak' END AS class FROM f WHERE rank <= 500),
-  k AS (SELECT *, row_number() OVER (PARTITION BY query_id, class ORDER BY rank) AS r FROM k0)
-  SELECT query_id, class, id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM l2 WHERE query_id IN (SELECT query_id FROM done) AND r <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END
-  UNION ALL SELECT query_id, class, id, round(score, 6), CAST(r AS INT) FROM k WHERE r <= CASE WHEN class = 'strong' THEN 8 ELSE 3 END""")
+@query("two_phase_search", f"""WITH RECURSIVE {ARMS}, {_fusion_sql('lex', '1')}, done AS (SELECT DISTINCT query_id FROM kk1 WHERE class = 'strong'),
+  u2 AS (SELECT * FROM u WHERE query_id NOT IN (SELECT query_id FROM done)), {_fusion_sql('u2', '2')}
+  SELECT query_id, class, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kk1 WHERE query_id IN (SELECT query_id FROM done)
+  UNION ALL SELECT query_id, class, id, round(score, 6), CAST(rank AS INT) FROM kk2""")
 def _(spark, d):
     return _fused(spark, d, lambda arms: fuse.two_phase({k: arms[k] for k in ("path", "bm25")}, arms["vec"])).select("query_id", "class", "id", F.round("score", 6).alias("score"), "rank")
 

@@ -117,3 +117,31 @@ def test_clusters_are_left_out(spark):
     q = df.where("cast(substr(id, 3) as int) % 20 = 0").select(F.expr("cast(substr(id, 3) as int)").alias("query_id"), F.col("embedding").alias("q_embedding"), F.lit("").alias("scope"))
     met, used = vector.hits_of_block(vector._asked(q), index, 10).where("query = -1").selectExpr("sum(score)", "sum(cast(path as long))").first()
     assert met == 200 * 4000 and used < 0.2 * met
+
+
+def test_best_alignment():
+    import itertools
+
+    from sparkseek.operators import paths as P
+
+    def best(q, p):
+        """Over all alignments."""
+        top = None
+        for at in itertools.combinations(range(len(p)), len(q)):
+            if any(p[i].lower() != c for i, c in zip(at, q.lower(), strict=True)):
+                continue
+            score, run = max(P.LEADING_MOST, P.LEADING * at[0]), 0
+            for k, i in enumerate(at):
+                run = run + 1 if k and at[k - 1] == i - 1 else 0
+                score += P.ADJACENT * run + (P.FIRST if i == 0 else P.AFTER_SEPARATOR if p[i - 1] in P.SEPARATORS else P.CAMEL if p[i].isupper() and p[i - 1].islower() else 0)
+            top = score if top is None else max(top, score)
+        return -len(p) if top is None else top - (len(p) - len(q))
+
+    r = random.Random(9)
+    for _ in range(400):
+        p = "".join(r.choice("aAbB/_. ") for _ in range(r.randint(1, 11)))
+        q = "".join(r.choice("abAB/") for _ in range(r.randint(1, 5)))
+        assert P.fuzzy_score(q, p) == best(q, p), (q, p)
+    # The first occurrence of each character isn't the best: the run in the name is.
+    assert P.fuzzy_score("doc", "/d/o/c/doc.md") == best("doc", "/d/o/c/doc.md") > best("doc", "/d/o/c/dxoxc.md")
+    assert P.fuzzy_score("x" * 300, "x" * 400) > 0 and P.fuzzy_score("a", "") == 0
