@@ -116,3 +116,10 @@ def test_redact_overlaps(spark):
                 out += t[at:s] + f"<{k.upper()}>"
             at = max(at, -e)
         assert x.text == out + t[at:]
+
+
+def test_long_secrets_go_whole(spark):
+    long = "Ab1_" * 5000
+    df = spark.createDataFrame([(1, f"the token={long} end", None), (2, "key " + "k" * 40, None)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in P.redact(df).collect()}
+    assert "Ab1_" not in got[1].text and got[1].text.startswith("the ") and got[1].text.endswith(" end") and got[2].text == "key " + "k" * 40
