@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkseek import schemas
 from sparkseek.functions import scalars as S
+from sparkseek.functions.sizes import if_small
 from sparkseek.operators import chunking, evaluation, excerpt, fuse, lexical, paths, ranks, router, sync, vector
 from sparkseek.operators.embed import CACHED, Embedder, HashingEmbedder, QueryCache, embed_chunks, embed_queries
 from sparkseek.operators.store import Store
@@ -187,7 +188,7 @@ class Engine:
         except Exception as e:
             warnings.warn(f"lexical results only: {e}", stacklevel=2)
             return first
-        again = open_.select("query_id")
+        again = if_small(open_.select("query_id"))
         second = fuse.classify(fuse.fuse({name: arm.join(again, "query_id", "left_semi") for name, arm in arms.items()} | {"vec": vec}, rrf_k), k)
         return first.join(again, "query_id", "left_anti").unionByName(second)
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkseek.functions.sizes import if_small
+from sparkseek.session import materialise
+
 RRF_K, MIN_ARMS, FUSE_CAP, SINGLE_ARM_RANK, STRONG_CAP, WEAK_CAP = 60, 1, 500, 5, 8, 3
 ARM_ORDER = ("path", "bm25", "vec")
 
@@ -50,8 +53,9 @@ def strong_hits(arms: dict[str, DataFrame], k: int = STRONG_CAP) -> DataFrame:
 def two_phase(lexical: dict[str, DataFrame], vector: DataFrame | Callable[[DataFrame], DataFrame], k: int = STRONG_CAP) -> DataFrame:
     """Lexical results where a query has strong ones; the others are fused again with the vector arm. vector: the arm, or what makes it
     from the query_ids that are done. Nothing of a query that is done goes into the second fusion."""
-    first = classify(fuse(lexical), k)
-    done = first.where("class = 'strong'").select("query_id").distinct()
+    first = materialise(classify(fuse(lexical), k), "first")
+    # Joined by query alone, where one query may have most rows of an arm: sent to the arms where it is small.
+    done = if_small(first.where("class = 'strong'").select("query_id").distinct())
     arms = {**lexical, "vec": vector(done) if callable(vector) else vector}
     second = classify(fuse({name: arm.join(done, "query_id", "left_anti") for name, arm in arms.items()}), k)
     return first.join(done, "query_id", "left_semi").unionByName(second)
