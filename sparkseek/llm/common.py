@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,19 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def by_place(df: DataFrame, column: str, new: Iterable[str] = ()) -> tuple[DataFrame, list[str], int]:
+    """For operators that add the columns `new` by Arrow code: the table without columns of such a name (upper and lower case count
+    as the same), with its columns called `_0`, `_1` and so on; what they were called; and the place of `column`.
+
+    `toDF` with those names and the new ones gives the names back. So no name of the input can clash, be ambiguous or need quotes."""
+    out = {n.lower() for n in new}
+    kept = [(i, c) for i, c in enumerate(df.columns) if c.lower() not in out]
+    names = [c for _, c in kept]
+    at = names.index(column) if column in names else [c.lower() for c in names].index(column.lower())
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[f"_{i}" for i, _ in kept])
+    return plain.toDF(*[f"_{i}" for i in range(len(kept))]), names, at
+
+
 _CACHES: dict[str, Callable[[], None]] = {}
 _CURRENT = ""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import fresh_name, table, task_of
+from sparkseek.llm.common import by_place, fresh_name, table, task_of
 from sparkseek.session import materialise
 
 Q = 8
@@ -316,8 +316,8 @@ HITS = "item_id long, edits int, start long, end long"
 
 def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", to: str = "leaks") -> DataFrame:
     """Adds an array of (item_id, edits, start, end), the places in characters."""
-    kept = [c for c in docs.columns if c != to]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(to, F.array().cast(f"array<struct<{HITS.replace(' ', ':').replace(',:', ',')}>>"))
+    base, kept, at = by_place(docs, text, [to])
+    out = base.withColumn("leaks", F.array().cast(f"array<struct<{HITS.replace(' ', ':').replace(',:', ',')}>>"))
     schema = out.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     for k, index in enumerate(_blocks(items)):
@@ -328,17 +328,17 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", to: str =
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             task_of("decontaminate")
             for b in batches:
-                texts = [t or "" for t in b.column(kept.index(text)).to_pylist()]
+                texts = [t or "" for t in b.column(at).to_pylist()]
                 old = b.column(len(kept)).to_pylist()
                 got = shared.value.hits([fold(t) for t in texts])
                 new = []
                 for t, before, hits in zip(texts, old, got, strict=True):
-                    at = places(t) if hits else []
-                    new.append(before + [dict(zip(("item_id", "edits", "start", "end"), (i, e, at[a], at[z - 1] + 1), strict=True)) for i, e, a, z in hits if z > a])
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(new, kind)], [*kept, to])
+                    of = places(t) if hits else []
+                    new.append(before + [dict(zip(("item_id", "edits", "start", "end"), (i, e, of[a], of[z - 1] + 1), strict=True)) for i, e, a, z in hits if z > a])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(new, kind)], b.schema.names)
 
         out = out.mapInArrow(go, schema)
-    return out
+    return out.toDF(*kept, to)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sparkseek.llm.common import fresh_name, held_out, table, task_of
+from sparkseek.llm.common import by_place, held_out, table, task_of
 
 ORDER = 4
 #: Bounds of the labelled sample of each language: documents, and their characters (of longer ones, the beginning is taken); and of all
@@ -183,18 +183,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds lang_pred, score and bits_per_byte (of the winner)."""
     names = ("lang_pred", "score", "bits_per_byte")
-    kept = [c for c in docs.columns if c not in names]
+    base, kept, at = by_place(docs, text, names)
     schema = T.StructType(
-        [*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
+        [*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    flag = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(fresh_name(docs, "letters")))
+    flag = base.withColumn("letters", F.coalesce(F.col(f"_{at}").rlike(r"\p{L}"), F.lit(False)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("langid")
         m = shared.value
         for b in batches:
-            texts = b.column(kept.index(text)).to_pylist()
+            texts = b.column(at).to_pylist()
             use = np.flatnonzero(b.column(len(kept)).to_numpy(zero_copy_only=False)).tolist() if m is not None else []
             pred, score, rate = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if use:
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 [*b.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [*b.schema.names[: len(kept)], *names]
             )
 
-    return flag.mapInArrow(go, schema)
+    return flag.mapInArrow(go, schema).toDF(*kept, *names)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm.common import caches, table, task_of
+from sparkseek.llm.common import by_place, caches, table, task_of
 
 TOKENIZERS = os.environ.get("SPARKSEEK_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
@@ -579,44 +579,44 @@ def _long(texts: DataFrame, folder: str, name: str) -> DataFrame:
 def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = TOKENIZERS, name: str = MODEL, decoded: str | None = None) -> DataFrame:
     """Adds the ids of a text column; and, if a name for it is given, the text decoded from them, by the same worker."""
     new = [to, *([decoded] if decoded else [])]
-    kept = [c for c in docs.columns if c not in new]
-    base = docs.select(*kept)
-    giant = F.coalesce(F.length(text) >= PART, F.lit(False))
-    fields = [T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
-    schema = T.StructType([*[docs.schema[c] for c in kept], *fields[: len(new)]])
+    base, kept, at = by_place(docs, text, new)
+    whole = F.col(f"_{at}")
+    giant = F.coalesce(F.length(whole) >= PART, F.lit(False))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())][: len(new)]
+    schema = T.StructType([*base.schema.fields, *fields])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(folder, name)
-        for b in _slices(batches, kept.index(text)):
-            ids = m.encode_batch(b.column(kept.index(text)).to_pylist())
+        for b in _slices(batches, at):
+            ids = m.encode_batch(b.column(at).to_pylist())
             more = [pa.array([None if x is None else m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids), *more], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids), *more], [*b.schema.names, *(f.name for f in fields)])
 
     short = base.where(~giant).mapInArrow(go, schema)
-    key = F.unhex(F.md5(F.col(text).cast("binary")))
+    key = F.unhex(F.md5(whole.cast("binary")))
     long_ = base.where(giant)
-    ids = _long(long_.select(key.alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]), folder, name)
-    joined = long_.join(ids.withColumnsRenamed({"key": "_key", "ids": "_ids"}), key == F.col("_key")).select(*kept, F.col("_ids").alias(to))
-    return short.unionByName(decode(joined, to, decoded, folder, name) if decoded else joined)
+    ids = _long(long_.select(key.alias("key"), whole.alias("text")).dropDuplicates(["key"]), folder, name)
+    joined = long_.join(ids.withColumnsRenamed({"key": "_key", "ids": "_ids"}), key == F.col("_key")).select(*base.columns, F.col("_ids").alias("ids"))
+    return short.unionByName(decode(joined, "ids", "decoded", folder, name) if decoded else joined).toDF(*kept, *new)
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", folder: str = TOKENIZERS, name: str = MODEL) -> DataFrame:
     """Adds the text of a column of ids."""
-    kept = [c for c in df.columns if c != to]
-    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(to, T.StringType())])
+    base, kept, at = by_place(df, ids, [to])
+    schema = T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(folder, name)
-        for b in _slices(batches, kept.index(ids)):
-            col = b.column(kept.index(ids))
+        for b in _slices(batches, at):
+            col = b.column(at)
             flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0)).cumsum().tolist()
             null, out, a = col.is_null().to_pylist(), [], 0
             for z, none in zip(ends, null, strict=True):
                 out.append(None if none else m.decode(flat[a:z].tolist()))
                 a = z
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, pa.string())], [*kept, to])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return df.select(*kept).mapInArrow(go, schema)
+    return base.mapInArrow(go, schema).toDF(*kept, to)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

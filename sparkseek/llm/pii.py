@@ -196,7 +196,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     out = let(order, new)
     hidden = fresh_name(docs, "redacted")
-    return docs.withColumn(hidden, out).select(*[F.col(f"`{hidden}`").alias(c) if c == text else F.length(hidden).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    follows = {"n_chars": F.length(hidden).cast("long")} if "n_chars" in docs.columns else {}
+    return docs.withColumn(hidden, out).withColumns({text: F.col(hidden), **follows}).drop(hidden)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkseek.llm.common import held_out, table, task_of
+from sparkseek.llm.common import by_place, held_out, table, task_of
 
 #: Bounds of the labelled sample: documents of either label, and characters of each. They bound the lexicon, too: every entry covers a toxic
 #: document of the sample that none before it covers, and a candidate has to occur in many of them.
@@ -281,16 +281,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[float]] |
 def score(docs: DataFrame, model: tuple[list[str], list[float]] | None, text: str = "text") -> DataFrame:
     """Adds score, predicted, and the hits' summed weight as toxic_weight."""
     names = ("score", "predicted", "toxic_weight")
-    kept = [c for c in docs.columns if c not in names]
+    base, kept, at = by_place(docs, text, names)
     schema = T.StructType(
-        [*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_weight", T.DoubleType())]
+        [*base.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("toxic_weight", T.DoubleType())]
     )
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("toxicity")
         s = Scorer(model[0]) if model else None
         for b in batches:
-            texts = b.column(kept.index(text)).to_pylist()
+            texts = b.column(at).to_pylist()
             if s:
                 x = np.array([s.features(t or "") for t in texts]).reshape(len(texts), len(FEATURES))
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(model[1][:-1]) + model[1][-1], -30, 30)))
@@ -298,10 +298,10 @@ def score(docs: DataFrame, model: tuple[list[str], list[float]] | None, text: st
             else:
                 p = w = np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(kept))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(w)], [*kept, *names]
+                [*(b.column(i) for i in range(len(kept))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(w)], [*b.schema.names, *names]
             )
 
-    return docs.select(*kept).mapInArrow(go, schema)
+    return base.mapInArrow(go, schema).toDF(*kept, *names)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions.sizes import if_small
-from sparkseek.llm.common import table
+from sparkseek.llm.common import fresh_name, table
 from sparkseek.session import materialise
 
 #: Action and rule (host, then path).
@@ -58,12 +58,14 @@ def with_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     r = r.withColumn("rule_host", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER))
     r = r.withColumn("rule_path", F.substring("rule", F.length("rule_host") + 1, F.length("rule"))).withColumn("labels", F.size(F.split("rule_host", r"\.")))
     numbers = sorted(x.labels for x in r.select("labels").distinct().collect())
-    out, found = pages, []
+    out, found, hidden, top = pages, [], [], fresh_name(pages, "_best")
     for k in numbers:
+        own_host, own_rules = fresh_name(pages, f"_host{k}"), fresh_name(pages, f"_rules{k}")
+        hidden.append(own_rules)
         fits = F.struct((F.length("rule_host") + F.length("rule_path")).alias("long"), F.length("rule_host").alias("host_long"), "rule", "action", "rule_path")
-        own = r.where(F.col("labels") == k).groupBy(F.col("rule_host").alias(f"_host{k}")).agg(F.collect_list(fits).alias(f"_rules{k}"))
-        out = out.join(if_small(own, FEW), F.substring_index("host", ".", -k) == F.col(f"_host{k}"), "left").drop(f"_host{k}")
-        found.append(F.coalesce(F.filter(f"_rules{k}", lambda x: F.col("path").startswith(x["rule_path"])), F.array()))
+        own = r.where(F.col("labels") == k).groupBy(F.col("rule_host").alias(own_host)).agg(F.collect_list(fits).alias(own_rules))
+        out = out.join(if_small(own, FEW), F.substring_index("host", ".", -k) == F.col(own_host), "left").drop(own_host)
+        found.append(F.coalesce(F.filter(own_rules, lambda x: F.col("path").startswith(x["rule_path"])), F.array()))
     if not found:
         return out.withColumns({"rule": F.lit(None).cast("string"), "action": F.lit(None).cast("string")})
 
@@ -71,7 +73,7 @@ def with_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
         return F.when(a["long"] != b["long"], b["long"] - a["long"]).when(a["host_long"] != b["host_long"], b["host_long"] - a["host_long"]).when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).when(a["action"] > b["action"], -1).otherwise(1)
 
     best = F.get(F.array_sort(F.concat(*found), before), F.lit(0))
-    return out.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "action": F.col("_best.action")}).drop("_best", *[f"_rules{k}" for k in numbers])
+    return out.withColumn(top, best).withColumns({"rule": F.col(f"{top}.rule"), "action": F.col(f"{top}.action")}).drop(top, *hidden)
 
 
 def registered(host: Column) -> tuple[Column, Column]:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkseek.llm.common import table
+from sparkseek.llm.common import by_place, table
 
 # Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -1524,10 +1524,11 @@ def decode_bytes(media: bytes) -> bytes:
 
 def _mapped(df: DataFrame, column: str, new: str, kind: pa.DataType, f) -> DataFrame:
     """Adds a column; f takes lists of values that have about `SLICE` bytes."""
+    base, names, col = by_place(df, column)
+    keep = [i for i, c in enumerate(names) if c.lower() != new.lower()]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            col = whole.schema.get_field_index(column)
             size = pc.fill_null(pc.binary_length(whole.column(col)), 0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(size)
             at = 0
@@ -1540,14 +1541,13 @@ def _mapped(df: DataFrame, column: str, new: str, kind: pa.DataType, f) -> DataF
                 got: list = [None] * len(values)
                 for i, y in zip(some, f([values[i] for i in some]), strict=True):
                     got[i] = y
-                keep = [i for i, n in enumerate(b.schema.names) if n != new]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(got, kind)], [*(b.schema.names[i] for i in keep), new])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(got, kind)], [*(b.schema.names[i] for i in keep), "made"])
 
     from pyspark.sql.pandas.types import from_arrow_type
     from pyspark.sql.types import StructField, StructType
 
-    fields = [x for x in df.schema.fields if x.name != new]
-    return df.select(*[F.col(f"`{x.name}`") for x in df.schema.fields]).mapInArrow(go, StructType([*fields, StructField(new, from_arrow_type(kind))]))
+    schema = StructType([*(base.schema.fields[i] for i in keep), StructField("made", from_arrow_type(kind))])
+    return base.mapInArrow(go, schema).toDF(*(names[i] for i in keep), new)
 
 
 def store_media(df: DataFrame, data: str, media: str = "media") -> DataFrame:
