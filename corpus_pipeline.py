@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.llm import decontaminate, langid, neardup, pieces, pii
-from sparkseek.llm.common import table
+from sparkseek.llm.common import by_place, table
 from sparkseek.session import bounded_batches, delete, scratch, shared_dir, ship
 
 #: Least posterior of the language, and most bits a byte under its model, for a document to stay.
@@ -25,8 +25,9 @@ LEAST_SCORE, MOST_BITS = 0.5, 12.0
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    found = langid.predict(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)).select(*docs.columns)
+    base, names, at = by_place(docs, "text")  # a column of the documents may be called like one of the prediction
+    found = langid.predict(base, langid.train(docs), text=f"_{at}")
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)).select(*base.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
