@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions import scalars as S
-from sparkseek.operators import blocks, chunking, evaluation, excerpt, fuse, lexical, paths, ranks, router, store, sync, vector
+from sparkseek.operators import blocks, chunking, embed, evaluation, excerpt, fuse, latent, lexical, paths, ranks, router, store, sync, vector
 from sparkseek.session import materialise, settled
 from sparkseek.sources import files as sources
 from sparkseek.sources import walk
@@ -207,6 +207,21 @@ def _(spark, d):
     return got.select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")
 
 
+@query("latent_topk")
+def _(spark, d):
+    """Every document whose number is divisible by 20, with the nearest ones by vectors learnt from all documents. No SQL: singular
+    vectors come from repeated products; tests hold them against a full decomposition."""
+
+    def made() -> DataFrame:
+        own = table(spark, d, "documents").select("doc_id", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("")).alias("id"), F.lit("/").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+        have = materialise(embed.embed_chunks(own, latent.learn(own)).drop("content"), "latent")
+        queries = have.where(f"doc_id % {EVERY} = 0").select(F.col("doc_id").alias("query_id"), "embedding", F.lit("").alias("scope"))
+        got = vector.top_k(queries, materialise(vector.build(have), "clusters"), 10)
+        return got.select("query_id", F.when(F.col("id") != "", F.col("id").cast("long")).alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+    return settled(spark, "latent_topk", made)
+
+
 @query("vector_scoped_topk", f"WITH {VEC} SELECT query_id, id, path, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 20 AND query_id IN (3, 4)")
 def _(spark, d):
     return _vec(spark, d, 20).where("query_id in (3, 4)").select("query_id", "id", "path", F.round("score", 6).alias("score"), "rank")

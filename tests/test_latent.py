@@ -99,5 +99,7 @@ def test_in_the_engine(spark, tmp_path):
     for k, (_, _, text) in enumerate(corpus(4, 24)):
         (tmp_path / "d" / f"f{k}.txt").write_text(text)
     e = Engine(spark, str(tmp_path / "store"), latent.learn(frame(spark, corpus(4, 24)), dim=6))
-    e.index(str(tmp_path / "d"))
+    assert e.index([str(tmp_path / "d")])["added"] == 24
     assert e.embedder.name.startswith("latent-6-")
+    paths = [r.path for r in e.locate(word(2, 3)).collect()]  # words of a topic, most of which the texts don't have
+    assert paths and all(int(p.rsplit("/f")[-1].removesuffix(".txt")) % TOPICS == 2 for p in paths[:2])
