@@ -23,6 +23,11 @@ from sparkseek.session import materialise, scratch, settled
 PREFIX_SCHEME, CHUNKER_VERSION = "search-prefix-v1", 3
 
 
+def _parts(files: int) -> int:
+    """Parts in which files are read: one for each up to 200, and then one for each 100."""
+    return max(1, min(files, 200), files // 100)
+
+
 class IdentityError(RuntimeError):
     """The index was made with another model, dimension, prefix scheme or chunker."""
 
@@ -98,7 +103,7 @@ class Engine:
         # Size and time decide first; only the others are read.
         same = seen.join(known.select("path", "size", "mtime_ns"), ["path", "size", "mtime_ns"])
         maybe = seen.join(same.select("path"), "path", "left_anti")
-        read = sources.read_files(maybe.repartition(max(1, min(200, maybe.count()))))
+        read = sources.read_files(maybe.repartition(_parts(maybe.count())))
         read = materialise(read.where(F.col("error").isNotNull() | walk.admitted(F.col("path"), F.col("size"), F.col("content"), self.config["index"]["max_file_size_mb"], allowed)), "read")
         status = sync.classify_changes(read.where("error is null").drop("content"), known)
         gone = sync.orphans(known, seen, ok_roots) if mode != "index" else known.limit(0)
@@ -123,20 +128,17 @@ class Engine:
         rows = done.join(ids, "path", "left").join(old_flag, "path", "left").select("path", "mtime_ns", "size", "hash", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"), F.coalesce("_t", F.lit(transient)).alias("transient"))
         # Times that moved without a change of content are noted, so that they aren't read again.
         moved = status.where("status = 'unchanged'").select("path", F.col("mtime_ns").alias("_m"))
-        out = known.join(gone.select("path"), "path", "left_anti").join(rows.select("path"), "path", "left_anti")
-        out = out.join(moved, "path", "left").withColumn("mtime_ns", F.coalesce("_m", "mtime_ns")).drop("_m").select(*known.columns).unionByName(rows)
+        files = materialise(known.join(moved, "path").withColumn("mtime_ns", F.col("_m")).select(*known.columns).unionByName(rows), "files")
         stale = gone.select("path").union(rows.select("path"))
         if mode == "reindex":
             stale = stale.union(self.store.table("files").join(known.select("path"), "path", "left_anti").select("path"))
         stale = materialise(stale.distinct(), "stale")
-        touched, old = self.store.bucketed(stale.union(made.select("path")))
-        chunks = old.join(stale, "path", "left_anti")
-        chunks = chunks.unionByName(made.join(rows.select("path", F.col("transient").alias("_t")), "path").withColumn("transient", F.col("_t")).select(*chunks.columns))
+        chunks = made.join(rows.select("path", F.col("transient").alias("_t")), "path").withColumn("transient", F.col("_t"))
         quarantine = bad_files.union(self.spark.createDataFrame(bad, "path string, reason string")).withColumn("time", F.current_timestamp())
         now = int(time.time())
         kept = self.store.table("roots").join(expired.select("root"), "root", "left_anti")
         new = ok_roots.join(kept, "root", "left_anti").join(expired.select("root"), "root", "left_anti").withColumn("last_access", F.lit(now if transient else None).cast("bigint"))
-        self.store.commit(touched, chunks=chunks, files=out, identity=self._identity(), roots=kept.unionByName(new), quarantine=quarantine)
+        self.store.commit({"chunks": stale, "files": stale.union(files.select("path"))}, chunks=chunks, files=files, identity=self._identity(), roots=kept.unionByName(new), quarantine=quarantine)
         summary |= {"indexed": rows.count(), "chunks": made.count(), "quarantined": quarantine.count(), "elapsed": time.time() - began}
         return summary
 
