@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions.scalars import excerpt_correct, intent_params_ok, path_matches
+from sparkseek.operators.percentiles import percentile
 from sparkseek.operators.router import route
 
 
-def percentile(column: str, p: float) -> Column:
-    """Nearest rank: the value at place ceil(p n); p of 0 or less is the least, of 1 or more the greatest; 0 without values."""
-    return F.expr(f"coalesce(percentile_disc({min(1.0, max(0.0, p))}) within group (order by {column}), 0)")
-
-
 def intent_metrics(cases: DataFrame, model=None) -> DataFrame:
     """One row: n, action_accuracy, param_accuracy, tier1_rate (percent), and how many tiers were as expected. cases: input, expected, tier."""
     got = route(cases.withColumnRenamed("tier", "expected_tier"), "input", model)

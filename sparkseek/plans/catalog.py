@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkseek.functions import scalars as S
-from sparkseek.operators import blocks, chunking, embed, evaluation, excerpt, fuse, latent, lexical, paths, ranks, router, store, sync, vector
+from sparkseek.operators import blocks, chunking, embed, evaluation, excerpt, fuse, latent, lexical, paths, percentiles, ranks, router, store, sync, vector
 from sparkseek.session import materialise, settled
 from sparkseek.sources import files as sources
 from sparkseek.sources import walk
@@ -678,7 +678,7 @@ def _(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM events GROUP BY event_type")
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(evaluation.percentile("value", 0.5).alias("p50"), evaluation.percentile("value", 0.95).alias("p95"))
+    return percentiles.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("path_match", f"WITH {C} SELECT id, ends_with(path, 'doc7.txt') AS ok FROM c")
