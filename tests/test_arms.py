@@ -65,6 +65,25 @@ def test_blocks_are_exact(spark, monkeypatch, chunks, k):
     assert blocks.top_k(q, index.limit(0), k).count() == 0 and blocks.top_k(q.limit(0), index, k).count() == 0
 
 
+def test_row_groups_of_an_index_are_small(spark, monkeypatch):
+    """Rows of an index are megabytes: neither its writer nor its readers hold a hundred of them at once."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from sparkseek import session
+    from sparkseek.plans import catalog
+
+    paths = []
+    monkeypatch.setattr(session, "GROUP_BYTES", 100_000, raising=False)
+    monkeypatch.setattr(session._written, "paths", paths, raising=False)
+    monkeypatch.setattr(blocks, "TOKENS", 4000)
+    index = catalog._index(spark, "/root/testdata/sf0.01")
+    files = [pq.read_metadata(f) for f in glob.glob(paths[-1].removeprefix("file://") + "/*.parquet")]
+    groups = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+    assert index.count() > 20 and sum(groups) > 2_000_000 and max(groups) < 400_000
+
+
 def test_blocks_are_left_out(spark):
     own = spark.createDataFrame(corpus(3000), CHUNK).coalesce(1)
     index = materialise(own.select("id", "path", "content").transform(lambda df: blocks.build(df.repartitionByRange(30, "id"))), "blocks")
