@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sparkseek.operators import lexical
 from sparkseek.plans import catalog
 
 
@@ -26,3 +28,20 @@ def test_postings_are_counted_in_place(spark):
     plan = catalog.QUERIES["postings"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     once, again = plan.split("hashpartitioning(term")  # one exchange by term
     assert "Anti" in once and "Semi" in again and "Semi" not in once
+
+
+def test_unindexed_search_cuts_texts_once(spark, tables, monkeypatch):
+    d, sql = tables
+    assert sorted(map(tuple, catalog.QUERIES["bm25_unindexed"](spark, d).collect())) == sql("bm25_unindexed")
+    texts = spark.read.parquet(f"{d}/documents.parquet")
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        count.add(1)
+        return x
+
+    own = texts.selectExpr("concat('i', monotonically_increasing_id()) id", "'/p' path", "coalesce(text, '') content").withColumn("content", seen("content"))
+    q = spark.createDataFrame([(1, "the cat", ""), (2, "de la", "")], "query_id int, query string, scope string")
+    assert lexical.bm25(q, own).count() > 3
+    assert count.value == texts.count()
