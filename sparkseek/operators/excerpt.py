@@ -21,6 +21,13 @@ def _where(lines: Column, test) -> Column:
     return F.transform(F.filter(numbered, lambda x: x["ok"]), lambda x: x["n"])
 
 
+def _near(lines: Column, start: Column, end: Column, budget: Column, test) -> Column:
+    """As `_where`, of the lines that `_grow` can reach from start..end and one more: others don't change what it gives."""
+    first = F.greatest(F.lit(1), start - budget)
+    numbered = F.transform(F.slice(lines, first, F.greatest(F.lit(0), end + budget - first + 1)), lambda x, k: F.struct((first + k).alias("n"), test(x).alias("ok")))
+    return F.transform(F.filter(numbered, lambda x: x["ok"]), lambda x: x["n"])
+
+
 def _last_at_most(numbers: Column, n: Column) -> Column:
     return F.array_max(F.filter(numbers, lambda x: x <= n))
 
@@ -38,14 +45,14 @@ def _grow(low: Column, high: Column, start: Column, end: Column, budget: Column)
 
 
 def prose_bounds(lines: Column, start: Column, end: Column, budget: Column) -> Column:
-    blank = _where(lines, lambda x: F.trim(F.regexp_replace(x, r"\s", " ")) == "")
+    blank = _near(lines, start, end, budget, lambda x: ~x.rlike(r"\S"))
     low = F.least(F.coalesce(_last_at_most(blank, start - 1), F.lit(0)) + 1, start)
     high = F.greatest(F.coalesce(_first_above(blank, end), F.size(lines) + 1) - 1, end)
     return _grow(low, high, start, end, budget)
 
 
 def structured_bounds(lines: Column, start: Column, end: Column, budget: Column) -> Column:
-    top = _where(lines, lambda x: (x != "") & ~x.rlike(r"^[ \t#/]"))
+    top = _near(lines, start, end, budget, lambda x: (x != "") & ~x.rlike(r"^[ \t#/]"))
     low = F.coalesce(_last_at_most(top, start), F.lit(1))
     high = F.coalesce(_first_above(top, end), F.size(lines) + 1) - 1
     return _grow(low, high, start, end, budget)
@@ -101,12 +108,13 @@ def expand(chunks: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
         F.when(page, prose_bounds(lines, s, e, budget)).when(ext == ".go", go_bounds(lines, F.col("_go"), s, e, budget)).when(ext.isin(*STRUCTURED_EXT), structured_bounds(lines, s, e, budget))
         .when(ext.isin(*CODE_EXT), code_bounds(lines, s, e, budget)).otherwise(prose_bounds(lines, s, e, budget))
     )
-    df = df.withColumn("_b", bounds)
+    # As a row of its own it is worked out once; as a column it is put into each place that names it.
+    df = df.select("*", F.inline(F.array(bounds)).alias("_bs", "_be"))
     keep = (src == "") | (page & (at == 0))
-    text = F.array_join(F.slice(lines, F.col("_b.s"), F.greatest(F.col("_b.e") - F.col("_b.s") + 1, F.lit(0))), "\n")
+    text = F.array_join(F.slice(lines, F.col("_bs"), F.greatest(F.col("_be") - F.col("_bs") + 1, F.lit(0))), "\n")
     return df.select(
         *chunks.columns, F.when(keep, F.col("content")).otherwise(text).alias("excerpt"),
-        F.when(keep | page, F.col("locator.start")).otherwise(F.col("_b.s")).alias("start_line"), F.when(keep | page, F.col("locator.end")).otherwise(F.col("_b.e")).alias("end_line"),
+        F.when(keep | page, F.col("locator.start")).otherwise(F.col("_bs")).alias("start_line"), F.when(keep | page, F.col("locator.end")).otherwise(F.col("_be")).alias("end_line"),
     )
 
 
