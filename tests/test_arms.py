@@ -129,6 +129,18 @@ def test_vectors_are_exact(spark, monkeypatch, block):
     assert vector.top_k(q, materialise(vector.build(df.limit(0)), "clusters"), 8).count() == 0 and vector.vector_arm(q, df.limit(0), 8).count() == 0
 
 
+def test_blocks_of_queries_do_not_meet_in_a_task(spark, monkeypatch):
+    """Each block of queries is ranked and written by itself: one task over all of them would keep a sort of each."""
+    monkeypatch.setattr(vector, "QUERIES", 5)
+    df = spark.createDataFrame(vectors(400, 9), CHUNK)
+    q = df.where("cast(substr(id, 3) as int) % 40 = 0").select(F.expr("cast(substr(id, 3) as int)").alias("query_id"), "embedding", F.lit("").alias("scope"))
+    windows = lambda got: got._jdf.queryExecution().executedPlan().toString().count("Window [")
+    index = materialise(vector.build(df), "clusters")
+    got, arm = vector.top_k(q, index, 3), vector.vector_arm(q, df, 3)
+    assert windows(got) == 0 and windows(arm) == 1
+    assert rows(got, "query_id", "id", "rank", "score") == rows(arm, "query_id", "id", "rank", "score") and got.count() == 10 * 3
+
+
 def test_clusters_are_left_out(spark):
     df = spark.createDataFrame(vectors(4000, 40), CHUNK)
     index = materialise(vector.build(df), "clusters")
