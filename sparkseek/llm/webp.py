@@ -43,9 +43,9 @@ ROW_BYTES = 4 * WIDTH
 #: Payload bytes of an image; longer ones go to several, which are decoded in step.
 IMAGE_BYTES = 64 * ROW_BYTES
 #: Bytes coded together.
-SLICE = 1 << 21
+SLICE = 1 << 22
 #: Payload bytes encoded at once, and images decoded in step at most.
-ENCODE, LANES = 1 << 18, 4096
+ENCODE, LANES = 1 << 19, 4096
 #: Longest code that our encoder writes; keeps the decoder's tables small.
 ENCODER_BITS = 11
 
@@ -524,12 +524,15 @@ def write_image(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: i
     for g in lengths:
         for n in g:
             write_prefix(w, n)
-    codes = [[codes_of(n).astype(int).tolist() for n in g] for g in lengths]
+    # Of each code its fields by symbol, or None where one symbol takes no bits.
+    fields = [[list(zip(codes_of(n).astype(int).tolist(), n.tolist(), strict=True)) if np.count_nonzero(n) > 1 else None for n in g] for g in lengths]
     for g, use in coded:
+        own = fields[g]
         for c, s, extra, n in use:
-            if np.count_nonzero(lengths[g][c]) > 1:
-                w.put(codes[g][c][s], int(lengths[g][c][s]))
-            w.put(extra, n)
+            if own[c] is not None:
+                w.put(*own[c][s])
+            if n:
+                w.put(extra, n)
 
 
 def _riff(stream: bytes) -> bytes:

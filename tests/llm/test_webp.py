@@ -137,3 +137,19 @@ def test_columns(spark):
         assert got[i].tail_crc32 == zlib.crc32(p[-64:])
     assert got[1].media_sha256 == got[5].media_sha256 and got[2].feature == got[3].feature
     assert W.op9_webp(spark, d).where("false").count() == 0
+
+
+def test_much_is_coded_at_once(monkeypatch):
+    """Half a megabyte goes to the encoder at once, and the bytes don't depend on how much does."""
+    import random
+
+    from sparkseek.llm import webp
+
+    r = random.Random(3)
+    values = ["".join(r.choices("abcdefgh ", k=16_384)).encode() for _ in range(32)]
+    sizes, encode = [], webp.encode_many
+    monkeypatch.setattr(webp, "encode_many", lambda parts: sizes.append(sum(map(len, parts))) or encode(parts))
+    whole = webp.encode_columns(values)
+    assert sizes == [32 * 16_384]
+    monkeypatch.setattr(webp, "ENCODE", 1 << 16)
+    assert webp.encode_columns(values) == whole and [x for x, _ in webp.decode_columns(whole)] == values
