@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,12 +76,15 @@ class Model:
         self.tails = {x[k:]: -1 for x in self.id for k in range(len(x))} | self.id
         if any(SPACE in s.lstrip(SPACE) or (s[0] == SPACE and s[1:2] == SPACE and s.strip(SPACE)) for s in self.id):
             raise ValueError("pieces that span words are not supported")
-        self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
-        self._cuts: dict[tuple, tuple] = {}
         self.length = {i: len(x) for i, x in self.piece.items()}
+        self._pairs: dict[int, bool] = {}
+        self._built: dict[int, tuple] = {}
+        # Ids of words and of paths from and to cuts are kept as their bytes, which are put together faster than numbers.
+        self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._cuts: dict[tuple, tuple | bytes] = {}
+        # Bytes of each id, and, after those, without a space at their beginning.
+        self._bytes = pa.array(self.raw + [x.removeprefix(b" ") for x in self.raw], pa.binary())
         self._split = _SEGMENT["\n" in self.id].findall
 
     def merges(self, s: str) -> list[str]:
@@ -97,13 +101,29 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def whole(self, i: int) -> bool:
-        """Whether a piece is the encoding of its own text."""
-        got = self._whole.get(i)
+    def built(self, i: int) -> tuple[list[float], list[str], list[str], bool]:
+        """How BPE builds a piece's text: the score of each merge (-inf after the last), the last and the first part before it, and
+        whether the piece itself comes out."""
+        got = self._built.get(i)
         if got is None:
-            got = self._whole[i] = self.merges(self.piece[i]) == [self.piece[i]]
+            parts = list(self.piece[i])
+            scores, last, first = [], [parts[-1]], [parts[0]]
+            while True:
+                known = [(v, -k) for k in range(len(parts) - 1) if (v := self.score.get(parts[k] + parts[k + 1])) is not None]
+                if not known:
+                    break
+                best, k = max(known)
+                parts[-k : 2 - k] = [parts[-k] + parts[1 - k]]
+                scores.append(best)
+                last.append(parts[-1])
+                first.append(parts[0])
+            got = self._built[i] = ([*scores, float("-inf")], last, first, len(parts) == 1)
         return got
 
+    def whole(self, i: int) -> bool:
+        """Whether a piece is the encoding of its own text."""
+        return self.built(i)[3]
+
     def pair(self, i: int, j: int) -> bool:
         """Whether two pieces are the encoding of their text."""
         key = i << 20 | j
@@ -111,10 +131,28 @@ class Model:
         if got is None:
             if len(self._pairs) > 200_000:
                 self._pairs.clear()
-            a, b = self.piece[i], self.piece[j]
-            got = self._pairs[key] = self.merges(a + b) == [a, b]
+            got = self._pairs[key] = self.piece[i] + self.piece[j] not in self.id and self._apart(i, j)
         return got
 
+    def _apart(self, i: int, j: int) -> bool:
+        """The same, by the merges of both: each is built as by itself, the better merge first, as long as none over their border is due."""
+        left, last, _, one = self.built(i)
+        right, _, first, other = self.built(j)
+        if not (one and other):
+            return False
+        get, x, y = self.score.get, 0, 0
+        while True:
+            u, v = left[x], right[y]
+            over = get(last[x] + first[y])
+            if over is not None and over > u and over >= v:  # of equal ones the first from the left
+                return False
+            if u >= v:
+                if x == len(left) - 1:
+                    return True
+                x += 1
+            else:
+                y += 1
+
     # --- lattice over a text; -1 stands for no piece before, as at a place that every path passes ---
 
     def ending(self, s: str, end: int, floor: int) -> list[tuple[int, int]]:
@@ -155,16 +193,16 @@ class Model:
             n = back[n]
         return tuple(reversed(out))
 
-    def words(self, every: set[str]) -> dict[str, tuple[int, ...]]:
+    def words(self, every: set[str]) -> dict[str, bytes]:
         """Ids of different stretches, as `segment` finds them. In order, words share beginnings with the one before, and the forward pass
         goes on from there."""
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
         tails, known, pair, length = self.tails, self._pairs.get, self.pair, self.length
         last, before, done = [-1] * (_WORD + 1), "", 0
         for s in sorted(every):
             n = len(s)
             if n > _WORD:
-                out[s] = self.segment(s)
+                out[s] = array("i", self.segment(s)).tobytes()
                 continue
             k, most = 0, min(n, done)
             while k < most and s[k] == before[k]:
@@ -197,17 +235,18 @@ class Model:
                     i = last[n]
                     way.append(i)
                     n -= length[i]
-                out[s] = tuple(way[::-1])
+                way.reverse()
+                out[s] = array("i", way).tobytes()
                 continue
             done = end - 1
-            out[s] = self.segment(s)
+            out[s] = array("i", self.segment(s)).tobytes()
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of whole texts; each different word is looked at once."""
         split = [None if t is None else self._split(normalised(t)) for t in texts]
         self._learn(set().union(*(w for w in split if w)))
-        return [None if w is None else np.fromiter(chain.from_iterable(self.chunks(w)), np.int32) for w in split]
+        return [None if w is None else np.frombuffer(b"".join(self.chunks(w)), np.int32) for w in split]
 
     def _learn(self, every: set[str]) -> None:
         """Makes words known. Of those met before, the ones that recur stay."""
@@ -223,7 +262,7 @@ class Model:
         """Ids of a normalised text whose ends every path passes."""
         w = self._split(s)
         self._learn(set(w))
-        return list(chain.from_iterable(self.chunks(w)))
+        return array("i", b"".join(self.chunks(w))).tolist()
 
     def _at_cut(self, word: str, k: int, leading: bool) -> tuple[list[State], int]:
         """States at a cut of a word, and bits of those that lead to its end, or are reached from its beginning."""
@@ -262,7 +301,7 @@ class Model:
             bits |= own
         return bits
 
-    def _piece_path(self, word: str, enter: State, leave: State) -> tuple[int, ...]:
+    def _piece_path(self, word: str, enter: State, leave: State) -> bytes:
         key = (word, enter, leave)
         got = self._cuts.get(key)
         if got is None:
@@ -270,18 +309,18 @@ class Model:
                 own = (self.id[word[leave[0] : leave[1]]],) if leave[1] > leave[0] else ()
                 got = (*self.segment(word[: leave[0]]), *own)
             else:
-                got = tuple(self.trace(word, enter, leave, enter[1], leave[1]))
-            self._cuts[key] = got
+                got = self.trace(word, enter, leave, enter[1], leave[1])
+            got = self._cuts[key] = array("i", got).tobytes()
         return got
 
-    def chunks(self, words: list[str]) -> list:
+    def chunks(self, words: list[str]) -> list[bytes]:
         """Ids of a text that consists of words (all known) between places that every path passes, in parts: the text is cut after each
         `CHUNK` characters, chunks give matrices, their scan the states at the cuts, and each chunk is traced back."""
-        known = self._words
+        known = self._words.__getitem__
         ends = list(accumulate(map(len, words)))
         n = ends[-1] if ends else 0
         if n <= CHUNK:
-            return [known[w] for w in words]  # one chunk, and a path through every word
+            return list(map(known, words))  # one chunk, and a path through every word
         # Cuts: the word they lie in, and the place there (0: between words).
         cuts = []
         for c in range(CHUNK, n, CHUNK):
@@ -304,7 +343,7 @@ class Model:
                 matrices.append((here, there, [bits if reached >> j & 1 else 0 for j in range(len(there))]))
             before = (i, k)
         states = cut_states(matrices)
-        out: list = []
+        out: list[bytes] = []
         before, enter = (0, 0), (0, 0)
         for (i, k), leave in zip([*cuts, (len(words), 0)], states[1:], strict=True):
             j, a = before
@@ -314,7 +353,7 @@ class Model:
                 if a:
                     out.append(self._piece_path(words[j], enter, (len(words[j]),) * 2))
                     j += 1
-                out += [known[w] for w in words[j:i]]
+                out += map(known, words[j:i])
                 if k:
                     out.append(self._piece_path(words[i], (0, 0), leave))
             before, enter = (i, k), leave
@@ -434,6 +473,18 @@ class Model:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
+    def texts(self, ids: list[np.ndarray | None]) -> pa.Array:
+        """What `decode` gives for whole encodings, for many at once."""
+        ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
+        flat = np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)])
+        begin = ends[:-1][np.diff(ends) > 0]
+        if not all(self.raw[i][:1] == b" " for i in flat[begin].tolist()):
+            return pa.array([None if x is None else self.decode(x.tolist()) for x in ids], pa.string())
+        flat[begin] += len(self.raw)  # without the space before the text
+        got = self._bytes.take(pa.array(flat))
+        at = np.frombuffer(got.buffers()[1], np.int32, len(flat) + 1, got.offset * 4)
+        return pa.StringArray.from_buffers(len(ids), pa.py_buffer(np.ascontiguousarray(at[ends])), got.buffers()[2], pa.array([x is not None for x in ids], pa.bool_()).buffers()[1])
+
 
 def normalised(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -490,7 +541,7 @@ _MODELS: dict[str, Model] = {}
 
 def _forget() -> None:
     for m in _MODELS.values():
-        for kept in (m._words, m._older, m._cuts, m._pairs):
+        for kept in (m._words, m._older, m._cuts, m._pairs, m._built):
             kept.clear()
 
 
@@ -589,7 +640,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", folder: str = T
         m = model(folder, name)
         for b in _slices(batches, at):
             ids = m.encode_batch(b.column(at).to_pylist())
-            more = [pa.array([None if x is None else m.decode(x.tolist()) for x in ids], pa.string())] if decoded else []
+            more = [m.texts(ids)] if decoded else []
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), _flat(ids), *more], [*b.schema.names, *(f.name for f in fields)])
 
     short = base.where(~giant).mapInArrow(go, schema)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sparkseek.llm import pieces as P
@@ -107,3 +108,29 @@ def test_documents_have_several_chunks(m, monkeypatch):
     m.encode_batch(texts)
     assert sum(scans) + len(texts) - len(scans) == sum(max(1, -(-len(P.normalised(t)) // P.CHUNK)) for t in texts)
     assert len(scans) > len(texts) / 2 and sum(scans) > 1.8 * len(texts)
+
+
+def test_pairs_by_how_pieces_are_built(m, monkeypatch):
+    """As BPE by its definition, which is not run over the text of each pair."""
+    r = random.Random(5)
+    ids = sorted(m.piece)
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(10_000)]
+    for i in r.sample(ids, 4_000):
+        s = m.piece[i]
+        pairs += [(m.id[s[:k]], m.id[s[k:]]) for k in range(1, len(s)) if s[:k] in m.id and s[k:] in m.id]
+        pairs += [(m.id[s[:k]], r.choice(ids)) for k in range(1, len(s)) if s[:k] in m.id]
+    want = [m.merges(m.piece[i] + m.piece[j]) == [m.piece[i], m.piece[j]] for i, j in pairs]
+    assert 0.05 < sum(want) / len(want) < 0.95
+    m._pairs.clear()
+    monkeypatch.setattr(m, "merges", None)
+    assert [m.pair(i, j) for i, j in pairs] == want
+
+
+def test_texts_of_many(m):
+    r = random.Random(2)
+    for texts in ([], [None], [""], [None, "", " ", "a", "  b", "日本 𓀀", *(text(r, 50) for _ in range(20)), None, ""]):
+        got = m.texts(m.encode_batch(texts))
+        got.validate(full=True)
+        assert got.to_pylist() == texts
+    some = [m.encode_batch(["a b"])[0], np.array([m.id["a"], m.id["b"]], np.int32)]
+    assert m.texts(some).to_pylist() == [m.decode(x.tolist()) for x in some]
