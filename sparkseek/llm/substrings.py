@@ -11,6 +11,10 @@ or more mark their starts.
 Texts that are equal as a whole are looked at once. Hashes with more than `HOT` anchors are split by where a string has its anchor
 and by the bytes that all strings with it there have in common; equal stretches are sorted once.
 
+Passages of fewer bytes than `LENGTH` stay, but are reported: of each `WORDS` words in a row one run of `RUN` words, that of the least hash, is
+chosen. It depends on these words alone, so documents that share such a passage share a run. `n_shared` counts the chosen runs that another
+document has chosen, too: over 0 where `WORDS` words are shared, and 0 where no `RUN` words are.
+
 Defined results: null text is empty; texts under `LENGTH` bytes stay whole; a doc_id may be null or repeat, each row gets its
 result (and rows with equal texts of `LENGTH` bytes or more empty each other); extra columns are ignored; empty tables give empty
 results.
@@ -33,6 +37,8 @@ LENGTH, GRAM = 400, 32
 HOT, STEP = 2048, 46
 #: Bytes of stretches sorted together, as long as hashes allow.
 PIECE = 1 << 22
+#: Words of a passage, and of a run that stands for it (a power of two).
+WORDS, RUN = 50, 16
 _SPAN = LENGTH - GRAM + 1
 _PLACE_BITS = 21
 _U = np.uint64
@@ -87,6 +93,28 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
+def passages(data: bytes) -> np.ndarray:
+    """Hashes of the runs of `RUN` words that are chosen from the passages of `WORDS` words, each once. Words end at ASCII space and control characters."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(data, np.uint8) > 32
+    step = np.diff(inside)
+    start = np.flatnonzero(step == 1)
+    if len(start) < WORDS:
+        return np.zeros(0, np.int64)
+    left = np.flatnonzero(step == -1) - start
+    eight = words8(np.frombuffer(data, np.uint8))
+    h, at = left.astype(_U), np.arange(len(start))
+    for k in range(0, int(left.max()), 8):
+        at = at[left[at] > k]
+        beyond = (8 * np.maximum(0, 8 - left[at] + k)).astype(_U)
+        h[at] = _mix(h[at] * _U(0x9E3779B97F4A7C15) + (eight[start[at] + k] >> beyond))
+    n = 1
+    while n < RUN:
+        h = _mix(h[:-n] * _U(0x9E3779B97F4A7C15) + h[n:])
+        n *= 2
+    return np.unique(_sliding_least(h, WORDS - RUN + 1)).view(np.int64)
+
+
 def suffix_order(text: np.ndarray, raw: bytes, need: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Places in `need`, in the order of their suffixes. text: bytes + 1, and 0 where a stretch ends; end: where the stretch of each
     place ends. With a place, its successors up to the first that is smaller than its own successor have to be in `need`."""
@@ -189,7 +217,7 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1) - 1
 
 
-META = "doc_id long, key binary, n_bytes long, sha string, hash array<long>, place array<int>, low array<int>, high array<int>"
+META = "doc_id long, key binary, n_bytes long, sha string, hash array<long>, place array<int>, low array<int>, high array<int>, chosen array<long>, n_chosen long"
 
 
 def _meta(docs: DataFrame) -> DataFrame:
@@ -199,10 +227,12 @@ def _meta(docs: DataFrame) -> DataFrame:
             got = [anchors(t) for t in texts]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([g[k] for g in got]).astype(np.int32 if k else np.int64))) for k in range(4)] if got else [pa.array([], pa.list_(pa.int64() if k == 0 else pa.int32())) for k in range(4)]
+            runs = [passages(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), *lists],
-                ["doc_id", "key", "n_bytes", "sha", "hash", "place", "low", "high"],
+                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), *lists,
+                 pa.array(runs, pa.list_(pa.int64())), pa.array([len(x) for x in runs], pa.int64())],
+                ["doc_id", "key", "n_bytes", "sha", "hash", "place", "low", "high", "chosen", "n_chosen"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(go, META)
@@ -337,8 +367,15 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
     return rows.select("key", "text", "runs").mapInArrow(go, KEPT)
 
 
+def _shared(meta: DataFrame) -> DataFrame:
+    """mark (of a text), n_shared: its chosen runs that another text has, too."""
+    rows = meta.select("mark", F.explode("chosen").alias("run")).repartition("run")  # dealt out once, for both sides
+    several = rows.groupBy("run").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).where("a <> z").select("run")
+    return rows.join(several, "run").groupBy("mark").agg(F.count_distinct("run").alias("n_shared"))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_text) kept: the remaining bytes, null where nothing was removed."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, (with_text) kept: the remaining bytes, null where nothing was removed, and n_shared."""
     meta = materialise(_meta(docs), "anchors")
     nodes = meta.groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     # One row for each different text.
@@ -354,13 +391,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     single = runs.join(nodes.where("copies = 1").select("key", "node"), "key")
     # The same columns as above, so that the texts are shuffled once.
     kept = _kept(texts.join(single, "key").where(F.col("doc_id").eqNullSafe(F.col("node"))), with_text)
-    whole = meta.drop("hash", "place", "low", "high").join(nodes.select("key", "copies"), "key")
+    whole = meta.select("doc_id", "key", "n_bytes", "sha", "n_chosen").join(nodes.select("key", "copies"), "key")
+    shared = _shared(meta.select(F.xxhash64("key").alias("mark"), "chosen"))
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     same = F.coalesce("n_removed", F.lit(0))
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    out = whole.join(kept, "key", "left").select(
+    out = whole.join(kept, "key", "left").withColumn("mark", F.xxhash64("key")).join(shared, "mark", "left").select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(same).alias("n_removed"), F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(F.col("copies") > 1, F.col("n_chosen")).otherwise(F.coalesce("n_shared", F.lit(0))).alias("n_shared"),
     )
     return out if with_text else out.drop("kept")
 

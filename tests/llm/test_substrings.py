@@ -90,3 +90,33 @@ def test_no_rows_and_odd_ids(spark):
     rows = [(None, t, "k"), (None, t, "k"), (5, t + "!", "k"), (5, "other", None)]
     got = sorted(((r.doc_id or 0, r.n_removed) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, key string")).collect()))
     assert got == [(0, 800), (0, 800), (5, 0), (5, 800)]
+
+
+def test_shared_passages_are_reported(spark):
+    """Passages of 50 words or more that are too short to be removed; copies share all they have."""
+    r = random.Random(5)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(n))
+    passage, longer = fresh(50), fresh(4) + " " + "w" * 40 + " " + fresh(45) + " é x"
+    assert len(passage) < S.LENGTH and len(longer) < S.LENGTH
+    texts = [f"{fresh(120)} {passage} {fresh(30)}", f"{fresh(7)}\n{passage}", f"{passage.replace(' ', chr(10), 9)} {fresh(80)}", f"{fresh(60)} {longer}", f"{longer}  {fresh(2)}"]
+    alone = [fresh(400), fresh(30), passage.rsplit(" ", 1)[0], "", None, f"{fresh(90)} {' '.join(passage.split()[:15])} {fresh(90)}"]
+    rows = [*texts, *alone, alone[0] + " end", "copy " + fresh(60), fresh(70)]
+    rows += [rows[-1], "few words", "few words"]
+    got = {x.doc_id: x for x in S.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[k].n_removed == 0 < got[k].n_shared for k in range(5))
+    assert all(got[k].n_shared == 0 for k in (6, 7, 8, 9, 10, 12, 15, 16))
+    assert got[5].n_shared and got[11].n_shared and got[13].n_shared == got[14].n_shared == len(S.passages(rows[13].encode()))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shared_words_share_a_run(seed):
+    r = random.Random(seed)
+    texts = [[r.choice(["a", "bc", "é", "longerthan8", "x" * 17, "yz"]) for _ in range(r.randint(40, 200))] for _ in range(12)]
+    for k in range(1, 12, 2):
+        texts[k][10:10] = texts[k - 1][5 : 5 + 35 + 5 * k]
+    found = [set(S.passages("\n ".join(t).encode()).tolist()) for t in texts]
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    for a in range(12):
+        for b in range(a):
+            assert found[a] & found[b] or not grams(texts[a], S.WORDS) & grams(texts[b], S.WORDS)
+            assert grams(texts[a], S.RUN) & grams(texts[b], S.RUN) or not found[a] & found[b]
