@@ -141,6 +141,54 @@ def test_blocks_of_queries_do_not_meet_in_a_task(spark, monkeypatch):
     assert rows(got, "query_id", "id", "rank", "score") == rows(arm, "query_id", "id", "rank", "score") and got.count() == 10 * 3
 
 
+def test_many_queries_share_a_pass(spark, monkeypatch):
+    """The stored form is read a bounded number of times, not once for each thousand queries; and queries of one vector are one."""
+    own = vectors(3000, 9)
+    df = spark.createDataFrame(own + [(f"same{k:04d}", "/b/same", "", own[5][3]) for k in range(600)], CHUNK)
+    q = df.select(F.expr("cast(substr(xxhash64(id), 2, 9) as int)").alias("query_id"), "embedding", F.lit("").alias("scope"))
+    index = materialise(vector.build(df), "clusters")
+    passes, real = [], vector.hits_of_block
+
+    def counted(asked, *a):
+        passes.append(len(asked.ids))
+        return real(asked, *a)
+
+    monkeypatch.setattr(vector, "hits_of_block", counted)
+    got = vector.top_k(q, index, 3)
+    assert passes == [3000]  # 600 of the 3,600 have the vector of another
+    assert rows(got, "query_id", "id", "rank", "score") == rows(vector.vector_arm(q, df, 3), "query_id", "id", "rank", "score")
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_passes_are_bounded(spark, monkeypatch, most):
+    monkeypatch.setattr(vector, "QUERIES", 5)
+    monkeypatch.setattr(vector, "TOGETHER", most)
+    df = spark.createDataFrame(vectors(400, 9), CHUNK)
+    q = df.where("cast(substr(id, 3) as int) % 20 = 0").select(F.expr("cast(substr(id, 3) as int)").alias("query_id"), "embedding", F.lit("").alias("scope"))
+    got = vector.top_k(q, materialise(vector.build(df), "clusters"), 3)
+    assert rows(got, "query_id", "id", "rank", "score") == rows(vector.vector_arm(q, df, 3), "query_id", "id", "rank", "score") and got.count() == 20 * 3
+
+
+@pytest.mark.parametrize("scopes", [("",), ("", "/a", "/b/f1", "/none")])
+def test_a_task_cuts_what_it_holds(spark, monkeypatch, scopes):
+    """Rows of a task are cut to the k best of each query again and again, with ties, equal vectors, zeros and lengths."""
+    monkeypatch.setattr(vector, "HELD", 10)
+    monkeypatch.setattr(vector, "COSINES", 100)
+    own = vectors(300, 5)
+    own += [(f"s{k:03d}", f"/{'ab'[k % 2]}/same", "", own[5][3]) for k in range(90)] + [(f"z{k:03d}", "/b/z", "", [0.0] * 16) for k in range(40)] + [(f"w{k}", "/a/w", "", [1.0] * 7) for k in range(5)]
+    index = vector.build(spark.createDataFrame(own, CHUNK)).toArrow().combine_chunks().to_batches()
+    asked = [(k, v, s) for k, (v, s) in enumerate((v, s) for v in [x[3] for x in own[:20]] + [[0.0] * 16, [2.0] * 7, [1.0] * 3, []] for s in scopes)]
+    a = vector._asked(spark.createDataFrame(asked, "query_id int, q_embedding array<float>, scope string"))
+    found = {}
+    for b in vector._compared(a, 4, np.full(len(a.ids), -np.inf), None)(iter(index)):
+        for r in b.to_pylist():
+            for i in a.ids[r["query"]] if r["query"] >= 0 else []:
+                found.setdefault(i, []).append((-round(r["score"], 6) + 0.0, r["id"]))
+    for i, v, s in asked:
+        want = sorted((-round(plain_cosine(v, e), 6) + 0.0, c) for c, p, _, e in own if ranks.in_scope(p, s))[:4]
+        assert sorted(found.get(i, [])) == want, (i, s)
+
+
 def test_clusters_are_left_out(spark):
     df = spark.createDataFrame(vectors(4000, 40), CHUNK)
     index = materialise(vector.build(df), "clusters")

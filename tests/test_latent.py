@@ -104,3 +104,39 @@ def test_in_the_engine(spark, tmp_path):
     want = {k for k, (_, _, text) in enumerate(corpus(4, 24)) if word(2, 3) in text.split()}
     found = {int(r.path.rsplit("/f")[-1].removesuffix(".txt")) for r in e.locate(word(2, 3)).collect()}
     assert found >= want and found - want  # by its vector, texts that do not hold the word as well
+
+
+def rows_of(b):
+    return [list(zip(f, n, strict=True)) for f, n in zip(b.column("features").to_pylist(), b.column("counts").to_pylist(), strict=True)]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 40])
+def test_features_of_many_texts(monkeypatch, size):
+    """Cut, hashed and counted as arrays: the same as by one term after the other."""
+    monkeypatch.setattr(latent, "BYTES", size)
+    r = random.Random(9)
+    letters = "aAbZ09_-éßİΣ中\U0001f600\ud800 ./(\"\n\t\x0b\x1c\x85    　"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(120))) for _ in range(300)]
+    texts += [None, "", " ", "x" * 47, "x" * 48, "x" * 49 + " y", "é" * 200 + "/" + "b" * 500, "a " * 70_000, " /.a", "A a"]
+    for features in (7, 1 << 15):
+        assert rows_of(latent._lists(texts, features)) == [sorted(latent.counted(t, features).items()) for t in texts]
+    assert latent._lists([], 7).num_rows == 0
+
+
+def test_texts_are_cut_once(spark):
+    """The embeddings of the chunks come from what the embedder was learnt from."""
+    rows = [*corpus(5, 120), ("e", "/e", ""), ("n", "/n", None), ("d", "/d", "... //"), ("l", "/l", " ".join(word(k % 6, k % 20) for k in range(3000)))]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = frame(spark, rows).repartition(3)
+    m, own = latent.learnt(df.mapInArrow(seen, df.schema), dim=6, features=256)
+    got = {r.id: r for r in own.collect()}
+    assert read.value == len(rows) and own.columns == ["id", "path", "embedding"] and got["l"].path == "/l"
+    want = m.embed([t or "" for _, _, t in rows])
+    assert all(np.allclose(got[i].embedding, v, atol=1e-6) for (i, _, _), v in zip(rows, want, strict=True)) and not np.any(got["d"].embedding)
+    assert np.allclose(m.vectors, latent.learn(df, dim=6, features=256).vectors, atol=1e-5)
