@@ -140,3 +140,19 @@ def test_texts_are_cut_once(spark):
     want = m.embed([t or "" for _, _, t in rows])
     assert all(np.allclose(got[i].embedding, v, atol=1e-6) for (i, _, _), v in zip(rows, want, strict=True)) and not np.any(got["d"].embedding)
     assert np.allclose(m.vectors, latent.learn(df, dim=6, features=256).vectors, atol=1e-5)
+
+
+def test_few_tasks_multiply_little(spark, monkeypatch):
+    """What a pass shuffles doesn't grow with the number of partitions: the sums of a task are as large however few rows it has."""
+    tasks = []
+    real = latent._multiplied
+    monkeypatch.setattr(latent, "_multiplied", lambda rows, *a: (tasks.append(rows.rdd.getNumPartitions()), real(rows, *a))[1])
+    df = frame(spark, corpus(6, 120)).repartition(30)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        m = latent.learn(df, dim=4, features=256)
+        monkeypatch.setattr(latent, "LEAST", 100)
+        again = latent.learn(df, dim=4, features=256)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks == [1] * 4 + [12] * 4 and np.allclose(m.vectors, again.vectors, atol=1e-5) and m.name == again.name
